@@ -223,7 +223,7 @@ def per_chunk(
     Joining on both keys keeps the samples where the cleaning step put them and splits hot
     records; nothing is broadcast unless the engine measures it as small.
     """
-    return df.groupBy(*keys, "chunk").agg().join(small, list(keys))
+    return df.select(*keys, "chunk").distinct().join(small, list(keys))
 
 
 def ranked(

@@ -90,3 +90,45 @@ variability as (select record_id, case when nw > 0 then round_even(m, 1) else 0.
          else 'Marked' end as category,
     case when nw > 0 then round_even(lo, 1) else 0.0 end as min_value,
     case when nw > 0 then round_even(hi, 1) else 0.0 end as max_value, nw as n_windows from va_agg)"""
+
+DECELS = """
+de_low as (select fc.record_id, fc.i, c.fhr, b.value as base, fc.i - row_number() over (partition by fc.record_id order by fc.i) as g
+    from fc join clean c on c.record_id = fc.record_id and c.i = fc.i
+    join baseline b on b.record_id = fc.record_id where c.fhr < b.value - 15),
+de_run as (select record_id, g, any_value(base) as base, min(i) as s, max(i) + 1 as e, min(fhr) as nv, max(fhr) as hv,
+    arg_min(fhr, i) as fv, count(*) filter (fhr < 70) as below from de_low group by 1, 2 having count(*) >= 60),
+de_nad as (select r.*, (select min(l.i) from de_low l where l.record_id = r.record_id and l.g = r.g and l.fhr = r.nv) as na from de_run r),
+de_pk as (select r.record_id, r.s, max(coalesce(c.uc, 0)) as pu, count(c.uc) as present,
+    count(*) filter (c.uc is null or c.uc <> 0) as notzero
+    from de_nad r join clean c on c.record_id = r.record_id and c.i >= greatest(r.s - 480, 0) and c.i < r.s + 240 group by 1, 2),
+de_pi as (select p.*, (select min(c.i) from clean c where c.record_id = p.record_id and c.i >= greatest(p.s - 480, 0)
+    and c.i < p.s + 240 and coalesce(c.uc, 0) = p.pu) as pidx from de_pk p),
+de_sh as (select r.record_id, r.s,
+    max(c.fhr) filter (c.i >= r.e) as ahigh,
+    min(c.fhr) filter (c.i < r.s + (r.e - r.s) // 2) as low1,
+    min(c.fhr) filter (c.i >= r.s + (r.e - r.s) // 2 and c.i < r.e) as low2,
+    max(c.fhr) filter (c.i >= r.s + (r.e - r.s) // 2 - 5 and c.i < r.s + (r.e - r.s) // 2 + 5) as midhigh
+    from de_nad r join clean c on c.record_id = r.record_id and c.i >= r.s and c.i < r.e + 240 group by 1, 2),
+de_m as (select r.*, p.present > 0 and p.notzero > 0 as has_uc, (r.na - p.pidx) / 4.0 as lag0, s2.ahigh, s2.low1, s2.low2, s2.midhigh,
+    case when r.na > r.s then (r.fv - r.nv) / (r.na - r.s) else 0.0 end as rate, (r.e - r.na) / 4.0 as rec
+    from de_nad r join de_pi p on p.record_id = r.record_id and p.s = r.s
+    join de_sh s2 on s2.record_id = r.record_id and s2.s = r.s),
+decels as (select record_id, s as start_idx, e as end_idx, na as nadir_idx, round_even(base - nv, 1) as depth,
+    round_even((e - s) / 4.0, 1) as duration_seconds,
+    case when (e - s) / 4.0 > 120 then 'Prolonged' when rate > 0.5 then 'Variable' when not has_uc then 'Unclassified'
+         when abs(lag0) < 5 then 'Early' when lag0 > 15 then 'Late' when rate > 0.3 then 'Variable' else 'Unclassified' end as decel_type,
+    round_even(case when has_uc then lag0 else 0.0 end, 1) as lag_seconds,
+    concat_ws('; ', case when below / 4.0 > 60 then 'Severe drop (<70 bpm for >60s)' end,
+        case when hv - nv < 5 then 'Absent internal variability' end,
+        case when rec > 60 then 'Slow recovery (' || cast(cast(round_even(rec, 0) as bigint) as varchar) || 's)' end,
+        case when ahigh > base + 10 then 'Overshoot' end,
+        case when e - s > 20 and low1 < base - 10 and low2 < base - 10 and midhigh > low1 + 10 then 'W-shape (biphasic)' end) as signs,
+    round_even(rate, 3) as descent_rate, round_even(nv, 1) as nadir_value from de_m)"""
+
+COUNTS = """
+counts as (select r.record_id, count(d.start_idx) as decel_count,
+    count(*) filter (decel_type = 'Early') as early_count, count(*) filter (decel_type = 'Late') as late_count,
+    count(*) filter (decel_type = 'Variable') as variable_count, count(*) filter (decel_type = 'Prolonged') as prolonged_count,
+    count(*) filter (decel_type = 'Unclassified') as unclassified_count,
+    count(*) filter (decel_type = 'Variable' and signs <> '') as severe_variable_count
+    from (select distinct record_id from fc) r left join decels d on d.record_id = r.record_id group by 1)"""
