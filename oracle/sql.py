@@ -132,3 +132,60 @@ counts as (select r.record_id, count(d.start_idx) as decel_count,
     count(*) filter (decel_type = 'Unclassified') as unclassified_count,
     count(*) filter (decel_type = 'Variable' and signs <> '') as severe_variable_count
     from (select distinct record_id from fc) r left join decels d on d.record_id = r.record_id group by 1)"""
+
+
+def tachysystole_step(window: int, minutes: float) -> str:
+    """Contraction peaks and rate of the last ``window`` samples of ``clean``."""
+    return f"""
+ta_u as (select record_id, i - greatest(n - {window}, 0) as i, n, coalesce(uc, 0.0) as u from clean where i >= n - {window}),
+ta_f as (select record_id, any_value(n) as n, stddev_pop(u) as sd, quantile_cont(u, 0.75) as p75, max(abs(u)) as big, max(i) as li
+    from ta_u group by 1),
+ta_c as (select * from (select record_id, i, u, u > lag(u) over w as rise, lag(u) over w as pu from ta_u
+    window w as (partition by record_id order by i)) where u <> pu),
+ta_n as (select *, lead(i) over w as ni, lead(rise) over w as nr from ta_c window w as (partition by record_id order by i)),
+ta_p as (select t.record_id, (t.i + t.ni - 1) // 2 as p, t.u as h from ta_n t join ta_f f on f.record_id = t.record_id
+    where t.rise and not t.nr and f.big > 0 and f.sd >= 1e-6 and t.u >= f.p75),
+ta_o as (select record_id, list(struct_pack(q := -h, p := -p) order by -h, -p) as l from ta_p group by 1),
+ta_k as (select record_id, unnest(list_reduce(l, lambda acc, e: case when len(list_filter(acc, lambda k: abs(k.p - e.p) < 240)) > 0
+    then acc else list_append(acc, e) end, [l[1]])) as k from ta_o),
+ta_s as (select record_id, -k.p as p, -k.q as h from ta_k),
+ta_b as (select s.record_id, s.p, s.h, max(u.i) filter (u.i < s.p and u.u > s.h) as lb, min(u.i) filter (u.i > s.p and u.u > s.h) as rb
+    from ta_s s join ta_u u on u.record_id = s.record_id group by 1, 2, 3),
+ta_m as (select b.record_id, b.p, b.h, min(u.u) filter (u.i <= b.p) as lm, min(u.u) filter (u.i >= b.p) as rm
+    from ta_b b join ta_u u on u.record_id = b.record_id and u.i > coalesce(b.lb, -1) and (b.rb is null or u.i < b.rb) group by 1, 2, 3),
+ta_a as (select m.* from ta_m m join ta_f f on f.record_id = m.record_id where m.h - greatest(m.lm, m.rm) >= 0.5 * f.sd),
+ta_r as (select f.*, coalesce(a.total, 0) as total, coalesce(a.idx, '') as idx, f.big = 0 or f.sd < 1e-6 as flat,
+    case when f.n < {window} then f.n / 4.0 / 60 else {minutes} end as mins
+    from ta_f f left join (select record_id, count(*) as total, string_agg(cast(p as varchar), ',' order by p) as idx from ta_a group by 1) a
+    on a.record_id = f.record_id),
+tachy as (select record_id, not flat and total / (mins / 10.0) > 5 as detected,
+    case when flat then 0.0 else round_even(total / (mins / 10.0), 1) end as contractions_per_10min,
+    total as total_contractions, case when flat then mins else round_even(mins, 1) end as analysis_duration_minutes,
+    idx as contraction_indices, case when flat then 0.0 else round_even(least(1.0, sd / 20), 2) end as confidence from ta_r)"""
+
+
+def sinusoidal_step(window: int, minutes: float) -> str:
+    """Direct Fourier sums over the last ``window`` samples of ``fc``."""
+    return f"""
+si_t as (select record_id, i - (n - {window}) as k, n, x from fc where n >= {window} and i >= n - {window}),
+si_f as (select record_id, any_value(n) as n, count(x) filter (i >= n - {window}) as nv,
+    max(x) filter (i >= n - {window}) - min(x) filter (i >= n - {window}) as amp,
+    avg(x) filter (i >= n - {window}) as m from fc group by 1),
+si_d as (select t.record_id, t.k, coalesce(t.x, f.m) - f.m as y from si_t t join si_f f on f.record_id = t.record_id
+    where f.nv >= {window} * 0.5),
+si_w as (select k as a, cos(2 * pi() * k / {window}) as c, sin(2 * pi() * k / {window}) as s from range({window}) r(k)),
+si_b as (select unnest(range(1, ({window} + 1) // 2)) as b),
+si_m as (select d.record_id, b.b, sqrt(sum(d.y * w.c) ** 2 + sum(d.y * w.s) ** 2) as mag
+    from si_d d cross join si_b b join si_w w on w.a = (d.k * b.b) % {window} group by 1, 2),
+si_q as (select *, b * (1.0::double / ({window} * 0.25::double)) as fr from si_m),
+si_i as (select record_id, arg_max(fr, struct_pack(m := mag, nb := -b)) as fr, sum(mag) as inband
+    from si_q where fr >= 3.0::double / 60 and fr <= 5.0::double / 60 group by 1),
+si_a as (select i.record_id, i.fr, i.inband / (select sum(mag) from si_q q where q.record_id = i.record_id) as dom from si_i i),
+si_r as (select f.*, a.fr, a.dom, a.fr is not null as seen, f.amp between 5 and 15 as fit from si_f f left join si_a a on a.record_id = f.record_id),
+sinus as (select record_id, coalesce(seen and fit and dom >= 0.3, false) as detected,
+    case when seen then round_even(greatest(0.0, least(1.0, 0.6 * least(1.0, dom / 0.6) + 0.4 * greatest(0.0, 1 - abs(amp - 10) / 5))), 2)
+         when n >= {window} and nv < {window} * 0.5 then 0.2 else 0.0 end as confidence,
+    round_even(fr, 4) as dominant_frequency, round_even(fr * 60, 1) as frequency_cycles_per_min,
+    case when seen then round_even(amp, 1) else 0.0 end as amplitude, coalesce(seen and fit, false) as amplitude_in_range,
+    case when seen then round_even(dom, 3) else 0.0 end as dominance_ratio,
+    case when n < {window} then n / 4.0 / 60 else {minutes} end as analysis_duration_minutes from si_r)"""
