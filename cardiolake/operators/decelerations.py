@@ -80,15 +80,16 @@ def with_context(
     """Interval joins of each run with the samples around it, in one pass.
 
     Runs are expanded to the chunks their neighbourhood touches and joined on
-    ``(record, chunk)``, the layout the samples already have; the result is aggregated back to
-    one row per run before it moves.
+    ``(record, chunk)``, the layout the samples already have; each chunk aggregates its part
+    before one row per run moves. A run always meets its own samples, so none is lost.
     """
     before = params.samples(params.contraction_before_seconds)
     after = params.samples(params.contraction_after_seconds)
     recovery = params.samples(params.recovery_seconds)
     start, end, i = F.col("start_idx"), F.col("end_idx"), F.col("i")
     mid = start + F.expr("(end_idx - start_idx) div 2")
-    spans = found.select(*keys, "start_idx", "end_idx").withColumns(
+    carried = [c for c in found.columns if c not in (*keys, "start_idx")]
+    spans = found.withColumns(
         {
             "_from": F.greatest(start - before, F.lit(0).cast("long")),
             "_to": F.greatest(start + after, end + recovery),
@@ -106,7 +107,8 @@ def with_context(
     middle = F.when(F.col("_mid") - start > 5, (i >= F.col("_mid") - 5) & (i < F.col("_mid") + 5)).otherwise(
         (i >= start) & (i < start + 10)
     )
-    context = near.groupBy(*keys, "start_idx").agg(
+    return near.groupBy(*keys, "start_idx").agg(
+        *[F.first(c).alias(c) for c in carried],
         F.max(F.when(in_uc, F.struct(F.coalesce("uc", F.lit(0.0)).alias("u"), (-i).alias("m")))).alias("_peak"),
         F.count(F.when(in_uc, F.col("uc"))).alias("_uc_present"),
         F.count_if(in_uc & (F.col("uc").isNull() | (F.col("uc") != 0))).alias("_uc_not_zero"),
@@ -115,7 +117,6 @@ def with_context(
         F.min(F.when(second_half, F.col("fhr"))).alias("_second_low"),
         F.max(F.when(middle & (i < end), F.col("fhr"))).alias("_middle_high"),
     )
-    return found.join(context, [*keys, "start_idx"])
 
 
 def decelerations(

@@ -1,0 +1,49 @@
+"""Tables shared by several branches of a job, written once to the cluster's shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``; a private one only for local sessions."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="cardiolake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    return None
+
+
+def stage(
+    df: DataFrame,
+    by: Sequence[str] = ("record_id", "chunk"),
+    sort: Sequence[str] = ("record_id", "chunk", "i"),
+    buckets: int | None = None,
+) -> DataFrame:
+    """Write ``df`` bucketed and sorted by its processing key and read it back.
+
+    Readers keep the bucket layout: later joins, windows and aggregates on ``by`` move no
+    sample again, each reads only its columns, and lost executors do not replay the cleaning.
+    Without a shared folder the plan is left as it is.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if folder is None:
+        return df
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"staged_{uuid.uuid4().hex}"
+    (
+        df.repartition(count, *by)
+        .write.bucketBy(count, *by)
+        .sortBy(*sort)
+        .option("path", f"{folder}/{name}")
+        .saveAsTable(name)
+    )
+    return spark.table(name)
