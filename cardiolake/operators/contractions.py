@@ -203,3 +203,171 @@ def rate_row(
             .alias("confidence"),
         )
     )
+
+
+def spaced_long(
+    peaks: DataFrame, distance: int, keys: Sequence[str] = series.KEYS, size: int = CHUNK
+) -> DataFrame:
+    """``spaced`` for series of any length.
+
+    A peak that is the best within ``distance`` is kept and its neighbours go, whatever happens
+    elsewhere. What is left falls into sessions at least ``distance`` apart, which cannot affect
+    each other and are settled one by one.
+    """
+    reach = distance - 1
+    placed = series.with_halo(peaks.select(*keys, "p", "h"), 3 * distance, 3 * distance, size, "p")
+    order = Window.partitionBy(*keys, "chunk").orderBy("p")
+    around = order.rangeBetween(-reach, reach)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    p = F.col("p")
+    judged = (
+        placed.withColumn("_best", F.max(F.struct("h", "p")).over(around).p == p)
+        .withColumn("_open", ~F.max("_best").over(around))
+        .withColumn("_previous", F.last(F.when(F.col("_open"), p), True).over(earlier))
+    )
+    judged = series.core_rows(judged, size, "p")
+    kept = judged.where("_best").select(*keys, "p", "h")
+    fresh = F.col("_previous").isNull() | (p - F.col("_previous") >= distance)
+    opened = judged.where("_open").withColumn("_start", F.when(fresh, p))
+    chunks = opened.groupBy(*keys, "chunk").agg(F.max("_start").alias("_begin"))
+    chunks = series.carry(chunks, "_begin", keys, True).drop("_begin")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sessions = (
+        opened.withColumn("_inside", F.last("_start", True).over(upto))
+        .join(chunks, [*keys, "chunk"])
+        .withColumn("session", F.coalesce("_inside", "_begin_carried"))
+    )
+    settled = spaced(sessions, distance, [*keys, "session"]).select(*keys, "p", "h")
+    return kept.union(settled)
+
+
+def prominences_long(
+    peaks: DataFrame, points: DataFrame, keys: Sequence[str] = series.KEYS, size: int = CHUNK
+) -> DataFrame:
+    """``prominences`` for series of any length; ``peaks`` carry the series length ``n``.
+
+    Nearly every base lies in the peak's chunk or the ones beside it. A peak whose nearest higher
+    point is farther away looks at one (low, high) row per chunk and then at the points of a
+    single chunk.
+    """
+    points = points.withColumn("chunk", series.chunk_of("i", size))
+    extents = points.groupBy(*keys, "chunk").agg(F.min("u").alias("_lo"), F.max("u").alias("_hi"))
+    i, p, h = F.col("i"), F.col("p"), F.col("h")
+    home = F.col("_home")
+    peak_id = [*keys, "p", "h", "n", "_home"]
+    homes = peaks.select(*keys, "p", "h", "n").withColumn("_home", series.chunk_of("p", size))
+    beside = homes.withColumn("chunk", F.explode(F.expr("sequence(greatest(_home - 1, 0L), _home + 1)")))
+    higher = F.col("u") > h
+    bounds = (
+        beside.join(points, [*keys, "chunk"], "left")
+        .groupBy(*peak_id)
+        .agg(
+            F.max(F.when(higher & (i < p), i)).alias("_lb"),
+            F.min(F.when(higher & (i > p), i)).alias("_rb"),
+        )
+    )
+    again = bounds.withColumn(
+        "chunk", F.explode(F.expr("sequence(greatest(_home - 1, 0L), _home + 1)"))
+    ).join(points, [*keys, "chunk"], "left")
+    near = again.groupBy(*peak_id, "_lb", "_rb").agg(
+        F.min(F.when((i < p) & (i > F.coalesce("_lb", F.lit(-1))), F.col("u"))).alias("_left"),
+        F.min(F.when((i > p) & (F.col("_rb").isNull() | (i < F.col("_rb"))), F.col("u"))).alias("_right"),
+    )
+
+    def far(left: bool) -> DataFrame:
+        if left:
+            waiting = near.where(F.col("_lb").isNull() & (home > 1))
+            beyond, nearest = F.col("chunk") < home - 1, F.max
+        else:
+            waiting = near.where(F.col("_rb").isNull() & ((home + 2) * size < F.col("n")))
+            beyond, nearest = F.col("chunk") > home + 1, F.min
+        waiting = waiting.select(*peak_id)
+        stop = (
+            waiting.join(extents, list(keys))
+            .where(beyond)
+            .groupBy(*peak_id)
+            .agg(nearest(F.when(F.col("_hi") > h, F.col("chunk"))).alias("_stop"))
+        )
+        open_side = F.col("_stop").isNull()
+        passed = open_side | (F.col("chunk") > F.col("_stop") if left else F.col("chunk") < F.col("_stop"))
+        between = (
+            stop.join(extents, list(keys))
+            .where(beyond & passed)
+            .groupBy(*peak_id)
+            .agg(F.min("_lo").alias("_base"))
+        )
+        last = stop.where(~open_side).join(
+            points.withColumnRenamed("chunk", "_stop"), [*keys, "_stop"]
+        )
+        edge = last.groupBy(*peak_id, "_stop").agg(nearest(F.when(higher, i)).alias("_edge"))
+        inside = edge.join(points.withColumnRenamed("chunk", "_stop"), [*keys, "_stop"]).where(
+            i > F.col("_edge") if left else i < F.col("_edge")
+        )
+        rest = inside.groupBy(*peak_id).agg(F.min("u").alias("_base"))
+        name = "_far_left" if left else "_far_right"
+        return between.union(rest).groupBy(*keys, "p").agg(F.min("_base").alias(name))
+
+    joined = near.join(far(True), [*keys, "p"], "left").join(far(False), [*keys, "p"], "left")
+    left_base = F.least(h, F.col("_left"), F.col("_far_left"))
+    right_base = F.least(h, F.col("_right"), F.col("_far_right"))
+    return joined.select(*keys, "p", "h", (h - F.greatest(left_base, right_base)).alias("prominence"))
+
+
+def contraction_count(
+    samples: DataFrame,
+    params: TachysystoleParams = TachysystoleParams(),
+    keys: Sequence[str] = series.KEYS,
+    size: int = CHUNK,
+) -> DataFrame:
+    """Contractions over whole series of any length: ``total_contractions`` per record."""
+    if "chunk" not in samples.columns:
+        samples = series.with_chunk(samples, size)
+    fs = F.lit(params.sampling_rate)
+    lengths = samples.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
+    # The length passes through minutes and back, which can lose the first sample.
+    kept = F.floor(F.col("n") / fs / 60 * 60 * fs)
+    lengths = lengths.withColumn("_from", F.col("n") - kept)
+    signal = (
+        samples.select(*keys, "chunk", "i", F.coalesce("uc", F.lit(0.0)).alias("u"))
+        .join(series.per_chunk(lengths, samples, keys), [*keys, "chunk"])
+        .where("i >= _from")
+    )
+    figures = (
+        signal.groupBy(*keys)
+        .agg(
+            F.max("n").alias("n"),
+            F.max("_from").alias("_from"),
+            F.stddev_pop("u").alias("deviation"),
+            F.max(F.abs("u")).alias("largest"),
+        )
+        .where("largest > 0 and deviation >= 1e-6")
+        .join(series.percentiles(signal, "u", 0.75, keys, name="floor_height"), list(keys))
+    )
+    by_chunk = series.per_chunk(figures, samples, keys)
+    stepped = changes(signal, "u", keys, size)
+    ends = (
+        signal.select(*keys, "chunk", "i", "u")
+        .join(by_chunk.select(*keys, "chunk", "n", "_from"), [*keys, "chunk"])
+        .where("i = _from or i = n - 1")
+    )
+    points = turning_points(stepped, keys).union(ends.select(*keys, "i", "u"))
+    peaks = (
+        local_maxima(stepped, keys)
+        .withColumn("chunk", series.chunk_of("p", size))
+        .join(by_chunk.select(*keys, "chunk", "floor_height"), [*keys, "chunk"])
+        .where("h >= floor_height")
+    )
+    apart = spaced_long(peaks, params.distance, keys, size).withColumn(
+        "chunk", series.chunk_of("p", size)
+    )
+    apart = apart.join(by_chunk.select(*keys, "chunk", "n"), [*keys, "chunk"])
+    found = prominences_long(apart, points, keys, size).withColumn(
+        "chunk", series.chunk_of("p", size)
+    )
+    counted = (
+        found.join(by_chunk.select(*keys, "chunk", "deviation"), [*keys, "chunk"])
+        .where(F.col("prominence") >= F.col("deviation") * 0.5)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("total_contractions"))
+    )
+    return lengths.select(*keys).join(counted, list(keys), "left").na.fill(0, ["total_contractions"])
