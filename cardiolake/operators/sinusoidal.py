@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from cardiolake.functions.scalar import half_even
 from cardiolake.operators import series
 from cardiolake.params import CHUNK, SinusoidalParams
 
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def confidence(dominance: Column, amplitude: Column, params: SinusoidalParams) -> Column:
     center = (params.min_amplitude + params.max_amplitude) / 2

@@ -81,7 +81,7 @@ def parse_headers(headers: DataFrame) -> DataFrame:
 
     ``error`` is NULL for usable records; callers split the rest off as quarantine.
     """
-    trimmed = F.transform(F.split("content", r"\r?\n"), F.trim)
+    trimmed = F.transform(F.split("content", r"\r?\n"), lambda l: F.trim(l))
     parsed = headers.withColumn("_lines", trimmed).withColumn("_rows", _fields(F.col("_lines")))
     head = F.split(F.element_at("_rows", 1), r"\s+")
     parsed = parsed.withColumn("_head", F.when(F.size("_rows") > 0, head))
@@ -154,7 +154,7 @@ def parse_headers(headers: DataFrame) -> DataFrame:
 
 def channel(signals: str, target: str) -> Column:
     """The first signal whose upper-cased name contains ``target``; NULL if there is none."""
-    return F.get(F.filter(signals, lambda s: F.contains(F.upper(s.name), F.lit(target.upper()))), F.lit(0))
+    return F.get(F.filter(signals, lambda s: F.contains(F.upper(s["name"]), F.lit(target.upper()))), F.lit(0))
 
 
 def ph_values(headers: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def ph_values(headers: DataFrame) -> DataFrame:
 
     The first ``#pH`` line with a second token decides, even when that token is no number.
     """
-    lines = F.transform(F.split("content", r"\r?\n"), F.trim)
+    lines = F.transform(F.split("content", r"\r?\n"), lambda l: F.trim(l))
     tokens = F.transform(F.filter(lines, lambda l: l.startswith("#pH")), lambda l: F.split(l, r"\s+"))
     usable = F.filter(tokens, lambda t: F.size(t) >= 2)
     value = F.get(F.get(usable, F.lit(0)), F.lit(1)).try_cast("double")
