@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions.scalar import half_even
 from cardiolake.operators import series
+from cardiolake.operators.staging import stage
 from cardiolake.params import CHUNK, TachysystoleParams
 
 
@@ -250,7 +251,8 @@ def prominences_long(
     point is farther away looks at one (low, high) row per chunk and then at the points of a
     single chunk.
     """
-    points = points.withColumn("chunk", series.chunk_of("i", size))
+    if "chunk" not in points.columns:
+        points = points.withColumn("chunk", series.chunk_of("i", size))
     extents = points.groupBy(*keys, "chunk").agg(F.min("u").alias("_lo"), F.max("u").alias("_hi"))
     i, p, h = F.col("i"), F.col("p"), F.col("h")
     home = F.col("_home")
@@ -319,7 +321,10 @@ def contraction_count(
     keys: Sequence[str] = series.KEYS,
     size: int = CHUNK,
 ) -> DataFrame:
-    """Contractions over whole series of any length: ``total_contractions`` per record."""
+    """Contractions over whole series of any length: ``total_contractions`` per record.
+
+    Turning points and spaced peaks are read several times, so both are written once.
+    """
     if "chunk" not in samples.columns:
         samples = series.with_chunk(samples, size)
     fs = F.lit(params.sampling_rate)
@@ -351,6 +356,8 @@ def contraction_count(
         .where("i = _from or i = n - 1")
     )
     points = turning_points(stepped, keys).union(ends.select(*keys, "i", "u"))
+    place = [*keys, "chunk"]
+    points = stage(points.withColumn("chunk", series.chunk_of("i", size)), place, [*place, "i"])
     peaks = (
         local_maxima(stepped, keys)
         .withColumn("chunk", series.chunk_of("p", size))
@@ -361,6 +368,7 @@ def contraction_count(
         "chunk", series.chunk_of("p", size)
     )
     apart = apart.join(by_chunk.select(*keys, "chunk", "n"), [*keys, "chunk"])
+    apart = stage(apart, place, [*place, "p"])
     found = prominences_long(apart, points, keys, size).withColumn(
         "chunk", series.chunk_of("p", size)
     )

@@ -34,7 +34,7 @@ from cardiolake.operators.variability import variability, variability_windows
 from cardiolake.operators.windows import prepare, window_bounds, window_samples, windows
 from cardiolake.params import BaselineParams, SinusoidalParams, WindowParams
 from cardiolake.plans import dataset, scoring, training
-from cardiolake.plans.staging import stage
+from cardiolake.operators.staging import stage
 from cardiolake.sources import headers, signals
 from cardiolake.sources.tables import samples_from_events, table
 
@@ -364,9 +364,10 @@ def rule_engine_per_window(spark, folder):
 
 def prepared_windows(spark, folder):
     ready = prepare(windows(heart(spark, folder), SHORT_WINDOWS), SHORT_WINDOWS)
-    return rounded(
+    return (
         ready.select(
-            "record_id", "w", "start_idx", "end_idx", "window_mean", "window_std",
+            "record_id", "w", "start_idx", "end_idx",
+            F.round("window_mean", 8).alias("window_mean"), F.round("window_std", 8).alias("window_std"),
             F.array_min("prepared").cast("double").alias("z_min"),
             F.array_max("prepared").cast("double").alias("z_max"),
             F.size("prepared").alias("width"),
@@ -602,7 +603,8 @@ def record_detail(spark, folder):
 
 def unprocessed_records(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("record_id"))
-    results = table(spark, folder, "orders").select(F.col("o_custkey").alias("record_id"))
+    large = table(spark, folder, "orders").where(F.col("o_totalprice") > 300_000)
+    results = large.select(F.col("o_custkey").alias("record_id"))
     return quality.unprocessed(customers, results)
 
 

@@ -11,7 +11,7 @@ from cardiolake.operators import embedding, features, series
 from cardiolake.operators.windows import prepare, windows
 from cardiolake.params import CHUNK, WindowParams
 from cardiolake.plans.scoring import RuleParams, clean_record_signals, rule_findings
-from cardiolake.plans.staging import stage
+from cardiolake.operators.staging import stage
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,7 @@ from cardiolake.params import (
     TachysystoleParams,
     VariabilityParams,
 )
-from cardiolake.plans.staging import stage
+from cardiolake.operators.staging import stage
 
 RULE_CONFIDENCE = 0.7
 NO_WINDOW_CONFIDENCE = 0.5

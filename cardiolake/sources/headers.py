@@ -72,73 +72,84 @@ def header_lines(headers: DataFrame) -> DataFrame:
     )
 
 
-def _fields(lines: Column) -> Column:
-    return F.filter(lines, lambda l: (l != "") & ~l.startswith("#"))
+def _token(tokens: Column, at: int) -> Column:
+    return F.get(tokens, F.lit(at))
 
 
 def parse_headers(headers: DataFrame) -> DataFrame:
     """One row per header: record fields, ``signals`` array, ``comments`` map, ``error``.
 
-    ``error`` is NULL for usable records; callers split the rest off as quarantine.
+    Every line is parsed once as a row; a header's lines are then gathered again. The texts are
+    spread by record first, which serves that gathering too. ``error`` is NULL for usable
+    records; callers split the rest off as quarantine.
     """
-    trimmed = F.transform(F.split("content", r"\r?\n"), lambda l: F.trim(l))
-    parsed = headers.withColumn("_lines", trimmed).withColumn("_rows", _fields(F.col("_lines")))
-    head = F.split(F.element_at("_rows", 1), r"\s+")
-    parsed = parsed.withColumn("_head", F.when(F.size("_rows") > 0, head))
-
-    def token(tokens: Column, at: int) -> Column:
-        return F.get(tokens, F.lit(at))
-
-    def signal(line: Column, order: Column) -> Column:
-        t = F.split(line, r"\s+")
-        spec = F.coalesce(token(t, 2), F.lit(""))
-        gain = F.regexp_extract(spec, GAIN, 1).try_cast("double")
-        zero = token(t, 4).try_cast("int")
-        base = F.coalesce(F.regexp_extract(spec, GAIN, 2).try_cast("int"), zero, F.lit(0))
-        units = F.regexp_extract(spec, GAIN, 3)
-        name = F.array_join(F.slice(t, 9, F.greatest(F.size(t) - 8, F.lit(0))), " ")
-        return F.struct(
-            order.cast("int").alias("position"),
-            token(t, 0).alias("file"),
-            token(t, 1).alias("format"),
-            F.when(gain.isNull() | (gain == 0), DEFAULT_GAIN).otherwise(gain).alias("gain"),
-            base.alias("baseline"),
-            F.when(units == "", DEFAULT_UNITS).otherwise(units).alias("units"),
-            token(t, 3).try_cast("int").alias("resolution"),
-            name.alias("name"),
-        )
-
-    n_signals = token(F.col("_head"), 1).try_cast("int")
-    comment = F.filter("_lines", lambda l: l.startswith("#") & ~l.startswith("#-"))
-    pattern = r"^#(.+?)\s+(\S+)$"
-    pairs = F.filter(comment, lambda l: F.regexp_like(l, F.lit(pattern)))
-    entries = F.transform(
-        pairs,
-        lambda l: F.struct(
-            F.trim(F.regexp_extract(l, pattern, 1)).alias("key"), F.regexp_extract(l, pattern, 2).alias("value")
+    parts = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = header_lines(headers.repartition(parts, "record_id")).withColumn("_t", F.split("line", r"\s+"))
+    is_data = (F.col("line") != "") & ~F.col("line").startswith("#")
+    pair = r"^#([^-].*?)\s+(\S+)$"
+    is_comment = F.regexp_like("line", F.lit(pair))
+    t = F.col("_t")
+    spec = F.coalesce(_token(t, 2), F.lit(""))
+    lines = lines.withColumns(
+        {
+            "_gain": F.regexp_extract(spec, GAIN, 1).try_cast("double"),
+            "_zero": F.coalesce(
+                F.regexp_extract(spec, GAIN, 2).try_cast("int"), _token(t, 4).try_cast("int"), F.lit(0)
+            ),
+            "_units": F.regexp_extract(spec, GAIN, 3),
+        }
+    )
+    data = F.struct(
+        "line_no",
+        "line",
+        _token(t, 0).alias("file"),
+        _token(t, 1).alias("format"),
+        F.when(F.coalesce(F.col("_gain"), F.lit(0.0)) == 0, DEFAULT_GAIN).otherwise(F.col("_gain")).alias("gain"),
+        F.col("_zero").alias("baseline"),
+        F.when(F.col("_units") == "", DEFAULT_UNITS).otherwise(F.col("_units")).alias("units"),
+        _token(t, 3).try_cast("int").alias("resolution"),
+        F.array_join(F.slice(t, 9, F.greatest(F.size(t) - 8, F.lit(0))), " ").alias("name"),
+    )
+    comment = F.struct(
+        "line_no",
+        F.trim(F.regexp_extract("line", pair, 1)).alias("key"),
+        F.regexp_extract("line", pair, 2).alias("value"),
+    )
+    gathered = lines.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.when(is_data, data))).alias("_data"),
+        F.array_sort(F.collect_list(F.when(is_comment, comment))).alias("_comments"),
+    )
+    head = F.split(F.get("_data", F.lit(0))["line"], r"\s+")
+    parsed = gathered.withColumn("_head", head).withColumns(
+        {
+            "n_signals": _token(F.col("_head"), 1).try_cast("int"),
+            "sampling_rate": F.regexp_extract(
+                F.coalesce(_token(F.col("_head"), 2), F.lit("")), rf"^({NUMBER})", 1
+            ).try_cast("double"),
+            "n_samples": _token(F.col("_head"), 3).try_cast("long"),
+        }
+    )
+    wanted = F.slice("_data", F.lit(2), F.greatest(F.coalesce("n_signals", F.lit(0)), F.lit(0)))
+    signals = F.transform(
+        wanted,
+        lambda s, k: F.struct(
+            k.alias("position"),
+            *[s[f].alias(f) for f in ("file", "format", "gain", "baseline", "units", "resolution", "name")],
         ),
     )
     # The first line of a repeated key counts.
+    entries = F.transform("_comments", lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))
+    repeated = F.size(F.array_distinct(F.transform("_comments", lambda c: c["key"]))) < F.size("_comments")
     firsts = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda o: o.key == e.key),
+        "_entries", lambda e, k: ~F.exists(F.slice("_entries", F.lit(1), k), lambda o: o["key"] == e["key"])
     )
-    parsed = parsed.withColumns(
-        {
-            "n_signals": n_signals,
-            "sampling_rate": F.regexp_extract(F.coalesce(token(F.col("_head"), 2), F.lit("")), rf"^({NUMBER})", 1).try_cast("double"),
-            "n_samples": token(F.col("_head"), 3).try_cast("long"),
-            "signals": F.transform(
-                F.slice("_rows", F.lit(2), F.coalesce(F.greatest(n_signals, F.lit(0)), F.lit(0))), signal
-            ),
-            "comments": F.map_from_entries(firsts),
-        }
+    parsed = parsed.withColumns({"signals": signals, "_entries": entries}).withColumn(
+        "comments", F.map_from_entries(F.when(repeated, firsts).otherwise(F.col("_entries")))
     )
-    fhr = channel("signals", "FHR")
     error = (
         F.when(F.col("n_signals").isNull() | F.col("n_samples").isNull(), "unreadable record line")
         .when(F.size("signals") != F.col("n_signals"), "missing signal lines")
-        .when(fhr.isNull(), "no FHR signal")
+        .when(channel("signals", "FHR").isNull(), "no FHR signal")
     )
     return parsed.select(
         "record_id",

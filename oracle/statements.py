@@ -163,7 +163,7 @@ pr as (select b.record_id, b.w, b.start_idx, b.end_idx, r.k, case when b.start_i
     from wb b cross join range(480) r(k) join pv on pv.record_id = b.record_id and pv.w = b.w
     left join fc on fc.record_id = b.record_id and fc.i = b.start_idx + r.k and fc.i < b.end_idx),
 pz as (select record_id, w, start_idx, end_idx, avg(x) as m, stddev_pop(x) as s, min(x) as lo, max(x) as hi, count(*) as width from pr group by 1, 2, 3, 4)
-select record_id, w, start_idx, end_idx, round(m, 6) as window_mean, round(s, 6) as window_std,
+select record_id, w, start_idx, end_idx, round(m, 8) as window_mean, round(s, 8) as window_std,
     round(case when s > 1e-8 then (lo - m) / s else lo - m end, 3) as z_min, round(case when s > 1e-8 then (hi - m) / s else hi - m end, 3) as z_max,
     cast(width as integer) as width from pz"""
 
@@ -321,5 +321,5 @@ STATEMENTS: dict[str, str] = {
         case when shown then round((start_idx / 240.0::double + end_idx / 240.0::double) / 2, 6) end as label_minute, case when shown then nadir_value end as label_bpm from ol""",
     "score_records": f"with {RULES},{ALL_FINDINGS.replace('fx as', 'fy as')}, fx as (select *, {RULE_CLASS} as ml_prediction, 0.7::double as confidence from fy),{OVERRIDE},{ALERT} select * from alert",
     "record_detail": f"with {RULES},{ALL_FINDINGS} select record_id, printf('%.0f bpm', baseline) as baseline, printf('%.1f bpm', variability_value) as variability, upper(variability_category) as variability_category, late_count, variable_count, decel_count from fx",
-    "unprocessed_records": "select c_custkey as record_id from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "unprocessed_records": "select c_custkey as record_id from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
 }
