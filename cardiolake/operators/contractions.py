@@ -113,58 +113,74 @@ def prominences(
     return bases.withColumn("prominence", h - F.greatest("left_base", "right_base"))
 
 
-def tail_contractions(
+def tail_marks(
     samples: DataFrame,
     params: TachysystoleParams = TachysystoleParams(),
     keys: Sequence[str] = series.KEYS,
     size: int = CHUNK,
-) -> tuple[DataFrame, DataFrame]:
-    """(signal figures per record, accepted peaks) of the last ``window`` samples.
+) -> DataFrame:
+    """The rows of each record's tail that peaks depend on, from one pass over the tail.
 
-    After the tail filter no group is longer than the window, whatever the record length.
+    Kept are both ends and every change of value, with ``rise``, the next change and the
+    record's signal figures. No group is longer than the window, whatever the record length.
     """
     if "chunk" not in samples.columns:
         samples = series.with_chunk(samples, size)
     last = series.tail(samples.select(*keys, "chunk", "i", "uc"), params.window, keys, size)
     last = last.select(*keys, "n", F.col("k").alias("i"), F.coalesce("uc", F.lit(0.0)).alias("u"))
-    figures = last.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.stddev_pop("u").alias("deviation"),
-        F.percentile("u", F.lit(0.75)).alias("floor_height"),
-        F.max(F.abs("u")).alias("largest"),
-        F.max("i").alias("_last"),
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("i")
+    u, i = F.col("u"), F.col("i")
+    marked = last.withColumns(
+        {
+            "_before": F.lag("u").over(order),
+            "deviation": F.stddev_pop("u").over(whole),
+            "floor_height": F.percentile("u", F.lit(0.75)).over(whole),
+            "largest": F.max(F.abs("u")).over(whole),
+            "_last": F.max("i").over(whole),
+        }
     )
-    active = figures.where((F.col("largest") > 0) & (F.col("deviation") >= 1e-6))
-    stepped = bounded_changes(last, keys)
-    ends = last.join(active.select(*keys, "_last"), list(keys)).where("i = 0 or i = _last")
-    points = turning_points(stepped, keys).union(ends.select(*keys, "i", "u"))
-    peaks = (
-        local_maxima(stepped, keys)
-        .join(active.select(*keys, "floor_height"), list(keys))
-        .where("h >= floor_height")
+    changed = u != F.col("_before")
+    marked = marked.where((i == 0) | (i == F.col("_last")) | changed).withColumns(
+        {"changed": F.coalesce(changed, F.lit(False)), "rise": u > F.col("_before")}
+    )
+    following = F.struct("i", "rise")
+    backwards = whole.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        marked.withColumn("_next", F.last(F.when(F.col("changed"), following), True).over(backwards))
+        .withColumns({"next_i": F.col("_next.i"), "next_rise": F.col("_next.rise")})
+        .drop("_before", "_next")
+    )
+
+
+def tail_contractions(
+    samples: DataFrame,
+    params: TachysystoleParams = TachysystoleParams(),
+    keys: Sequence[str] = series.KEYS,
+    size: int = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """(signal figures per record, accepted peaks) of the last ``window`` samples.
+
+    The marks are few and read several times, so they are written once.
+    """
+    marks = stage(tail_marks(samples, params, keys, size), list(keys), [*keys, "i"])
+    figures = marks.where("i = 0").select(
+        *keys, "n", "deviation", "floor_height", "largest"
     )
-    found = prominences(spaced(peaks, params.distance, keys), points, keys)
+    active = marks.where((F.col("largest") > 0) & (F.col("deviation") >= 1e-6))
+    ends = (F.col("i") == 0) | (F.col("i") == F.col("_last"))
+    turns = F.col("changed") & (F.col("next_rise").isNull() | (F.col("rise") != F.col("next_rise")))
+    points = active.where(ends | turns).select(*keys, "i", "u")
+    stepped = active.where("changed and u >= floor_height")
+    found = prominences(spaced(local_maxima(stepped, keys), params.distance, keys), points, keys)
     accepted = (
-        found.join(active.select(*keys, "deviation"), list(keys))
+        found.join(figures.select(*keys, "deviation"), list(keys))
         .where(F.col("prominence") >= F.col("deviation") * 0.5)
         .select(*keys, "p", "h", "prominence")
     )
     return figures, accepted
 
 
-def bounded_changes(signal: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
-    """As ``changes`` for series that are known to be short."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    return (
-        signal.withColumn("_before", F.lag("u").over(order))
-        .where(F.col("u") != F.col("_before"))
-        .withColumn("rise", F.col("u") > F.col("_before"))
-        .withColumn("next_i", F.lead("i").over(order))
-        .withColumn("next_rise", F.lead("rise").over(order))
-        .select(*keys, "i", "u", "rise", "next_i", "next_rise")
-    )
-
-
 def tachysystole(
     samples: DataFrame,
     params: TachysystoleParams = TachysystoleParams(),

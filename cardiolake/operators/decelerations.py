@@ -49,9 +49,20 @@ def below_baseline_runs(
         series.Piece("baseline", F.max("baseline"), "max"),
     ]
     minimum = params.samples(params.min_duration_seconds)
-    return series.runs(low, pieces, keys, size).where(
+    found = series.runs(low, pieces, keys, size).where(
         F.col("end_idx") - F.col("start_idx") >= minimum
     )
+    return found.select(
+        *keys,
+        "start_idx",
+        "end_idx",
+        "baseline",
+        F.col("_nadir.fhr").alias("nadir_bpm"),
+        F.col("_nadir.i").alias("nadir_idx"),
+        F.col("_first.fhr").alias("first_bpm"),
+        F.col("_high").alias("high_bpm"),
+        F.col("_below_70").alias("n_below_70"),
+    )
 
 
 def descent_rate(first: Column, nadir: Column, start: Column, at: Column) -> Column:
@@ -70,6 +81,29 @@ def decel_type(rate: Column, lag_seconds: Column, has_contraction: Column) -> Co
     )
 
 
+def _near(
+    found: DataFrame,
+    samples: DataFrame,
+    first: Column,
+    end: Column,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    size: int,
+) -> DataFrame:
+    """Interval join of runs with the samples in ``[first, end)``.
+
+    Runs are expanded to the chunks their interval touches and hashed per ``(record, chunk)``,
+    the layout the samples already have.
+    """
+    spans = found.withColumns({"_from": F.greatest(first, F.lit(0).cast("long")), "_to": end})
+    spans = spans.withColumn(
+        "chunk", F.explode(F.expr(f"sequence(_from div {size}, (_to - 1) div {size})"))
+    ).hint("shuffle_hash")
+    near = samples.select(*keys, "chunk", "i", *columns).join(spans, [*keys, "chunk"])
+    i = F.col("i")
+    return near.where((i >= F.col("_from")) & (i < F.col("_to"))).drop("_from", "_to")
+
+
 def with_context(
     found: DataFrame,
     samples: DataFrame,
@@ -77,39 +111,30 @@ def with_context(
     keys: Sequence[str] = series.KEYS,
     size: int = CHUNK,
 ) -> DataFrame:
-    """Interval joins of each run with the samples around it, in one pass.
+    """What surrounds each run: contraction peak, recovery and shape.
 
-    Runs are expanded to the chunks their neighbourhood touches and joined on
-    ``(record, chunk)``, the layout the samples already have; each chunk aggregates its part
-    before one row per run moves. A run always meets its own samples, so none is lost.
+    A run always meets its own samples, so none is lost. Extremes and their position are taken
+    in two passes: with plain numbers as state both aggregate by hash, and each chunk reduces
+    its part to one row per run before anything moves.
     """
     before = params.samples(params.contraction_before_seconds)
     after = params.samples(params.contraction_after_seconds)
     recovery = params.samples(params.recovery_seconds)
     start, end, i = F.col("start_idx"), F.col("end_idx"), F.col("i")
-    mid = start + F.expr("(end_idx - start_idx) div 2")
-    carried = [c for c in found.columns if c not in (*keys, "start_idx")]
-    spans = found.withColumns(
-        {
-            "_from": F.greatest(start - before, F.lit(0).cast("long")),
-            "_to": F.greatest(start + after, end + recovery),
-            "_mid": mid,
-        }
-    )
-    spans = spans.withColumn(
-        "chunk", F.explode(F.expr(f"sequence(_from div {size}, (_to - 1) div {size})"))
-    )
-    near = samples.select(*keys, "chunk", "i", "fhr", "uc").join(spans, [*keys, "chunk"])
-    near = near.where((i >= F.col("_from")) & (i < F.col("_to")))
+    uc = F.coalesce("uc", F.lit(0.0))
+    known = found.columns
+    near = _near(
+        found, samples, start - before, F.greatest(start + after, end + recovery), ("fhr", "uc"), keys, size
+    ).withColumn("_mid", start + F.expr("(end_idx - start_idx) div 2"))
+    mid = F.col("_mid")
     in_uc = i < start + after
-    first_half = (i >= start) & (i < F.col("_mid"))
-    second_half = (i >= F.col("_mid")) & (i < end)
-    middle = F.when(F.col("_mid") - start > 5, (i >= F.col("_mid") - 5) & (i < F.col("_mid") + 5)).otherwise(
+    first_half = (i >= start) & (i < mid)
+    second_half = (i >= mid) & (i < end)
+    middle = F.when(mid - start > 5, (i >= mid - 5) & (i < mid + 5)).otherwise(
         (i >= start) & (i < start + 10)
     )
-    return near.groupBy(*keys, "start_idx").agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.max(F.when(in_uc, F.struct(F.coalesce("uc", F.lit(0.0)).alias("u"), (-i).alias("m")))).alias("_peak"),
+    context = near.groupBy(*known).agg(
+        F.max(F.when(in_uc, uc)).alias("_uc_top"),
         F.count(F.when(in_uc, F.col("uc"))).alias("_uc_present"),
         F.count_if(in_uc & (F.col("uc").isNull() | (F.col("uc") != 0))).alias("_uc_not_zero"),
         F.max(F.when((i >= end) & (i < end + recovery), F.col("fhr"))).alias("_after_high"),
@@ -117,6 +142,10 @@ def with_context(
         F.min(F.when(second_half, F.col("fhr"))).alias("_second_low"),
         F.max(F.when(middle & (i < end), F.col("fhr"))).alias("_middle_high"),
     )
+    at_top = _near(context, samples, start - before, start + after, ("uc",), keys, size).where(
+        uc == F.col("_uc_top")
+    )
+    return at_top.groupBy(*context.columns).agg(F.min("i").alias("_uc_at"))
 
 
 def decelerations(
@@ -135,22 +164,22 @@ def decelerations(
     found = below_baseline_runs(samples, baseline, params, keys, size)
     events = with_context(found, samples, params, keys, size)
     start, end = F.col("start_idx"), F.col("end_idx")
-    nadir, at = F.col("_nadir.fhr"), F.col("_nadir.i")
+    nadir, at = F.col("nadir_bpm"), F.col("nadir_idx")
     base = F.col("baseline")
     contraction = (F.col("_uc_present") > 0) & (F.col("_uc_not_zero") > 0)
     events = events.withColumns(
         {
-            "_rate": descent_rate(F.col("_first.fhr"), nadir, start, at),
+            "_rate": descent_rate(F.col("first_bpm"), nadir, start, at),
             "_contraction": contraction,
-            "_lag": F.when(contraction, (at + F.col("_peak.m")) / fs).otherwise(0.0),
+            "_lag": F.when(contraction, (at - F.col("_uc_at")) / fs).otherwise(0.0),
             "_duration": (end - start) / fs,
             "_recovery": (end - at) / fs,
         }
     )
     signs = F.array_compact(
         F.array(
-            F.when(F.col("_below_70") / fs > 60, SEVERE_DROP),
-            F.when(F.col("_high") - nadir < 5, ABSENT_INTERNAL),
+            F.when(F.col("n_below_70") / fs > 60, SEVERE_DROP),
+            F.when(F.col("high_bpm") - nadir < 5, ABSENT_INTERNAL),
             F.when(
                 F.col("_recovery") > 60,
                 F.format_string(SLOW_RECOVERY, half_even(F.col("_recovery"))),
@@ -172,7 +201,7 @@ def decelerations(
         *keys,
         "start_idx",
         "end_idx",
-        at.alias("nadir_idx"),
+        "nadir_idx",
         half_even(base - nadir, 1).alias("depth"),
         half_even(F.col("_duration"), 1).alias("duration_seconds"),
         kind.alias("decel_type"),

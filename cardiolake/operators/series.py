@@ -86,6 +86,7 @@ def carry(chunks: DataFrame, column: str, keys: Sequence[str], forward: bool) ->
         .join(totals, [*keys, "_block"])
         .withColumn(out, F.coalesce("_inside", "_from_blocks"))
         .drop("_block", "_inside", "_from_blocks")
+        .hint("shuffle_hash")
     )
 
 
@@ -206,7 +207,7 @@ def tail(
     ends = ends.withColumn("tail_start", F.greatest(F.col("n") - samples, F.lit(0).cast("long")))
     touched = ends.withColumn(
         "chunk", F.explode(F.expr(f"sequence(tail_start div {size}, (n - 1) div {size})"))
-    )
+    ).hint("shuffle_hash")
     return (
         df.join(touched, [*keys, "chunk"])
         .where("i >= tail_start")
@@ -221,9 +222,10 @@ def per_chunk(
     """Expand one row per record to one row per ``(record, chunk)`` of ``df``.
 
     Joining on both keys keeps the samples where the cleaning step put them and splits hot
-    records; nothing is broadcast unless the engine measures it as small.
+    records. The result has one row per chunk, so each task hashes a handful of rows and the
+    samples need no sort for the join.
     """
-    return df.select(*keys, "chunk").distinct().join(small, list(keys))
+    return df.select(*keys, "chunk").distinct().join(small, list(keys)).hint("shuffle_hash")
 
 
 def ranked(
