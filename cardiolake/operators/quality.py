@@ -107,4 +107,5 @@ def fill_missing(
 
 def unprocessed(records: DataFrame, results: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
     """Records without a result row, such as those that have no samples."""
-    return records.select(*keys).distinct().join(results.select(*keys), list(keys), "left_anti")
+    done = results.select(*keys).distinct()
+    return records.select(*keys).distinct().join(done, list(keys), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.sources.headers import channel
@@ -111,25 +111,47 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def as_table(samples: DataFrame, sampling_rate: float = 4.0, with_second: bool = False) -> DataFrame:
-    """Record table: ``record_id, timestamp, fhr1, uc[, fhr2]``."""
+    """Record table: ``record_id, timestamp, fhr1, uc[, fhr2]``; a missing UC channel is zero."""
     columns = [
         F.col("record_id"),
         (F.col("i") / F.lit(sampling_rate)).alias("timestamp"),
         F.col("fhr").alias("fhr1"),
-        F.coalesce("uc", F.lit(0.0)).alias("uc") if "uc" not in samples.columns else F.col("uc"),
+        F.col("uc") if "uc" in samples.columns else F.lit(0.0).alias("uc"),
     ]
     if with_second:
         columns.append(F.col("fhr2"))
     return samples.select(*columns)
 
 
+def record_bucket(record_id, buckets: int = 256):
+    return F.pmod(F.xxhash64(record_id), F.lit(buckets))
+
+
 def write_samples(samples: DataFrame, path: str, buckets: int = 256) -> None:
     """Samples table, partitioned by a hash bucket of the record so lookups read few files."""
     (
-        samples.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets)))
+        samples.withColumn("bucket", record_bucket("record_id", buckets))
         .repartitionByRange("bucket", "record_id", "i")
         .sortWithinPartitions("bucket", "record_id", "i")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(path)
     )
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def read_record(spark: SparkSession, path: str, record_id: str, buckets: int = 256) -> DataFrame:
+    """One record: the bucket filter prunes partitions, the id filter reaches the scan.
+
+    A record that is not in the table fails with LookupError.
+    """
+    bucket = spark.range(1).select(record_bucket(F.lit(record_id), buckets)).first()[0]
+    found = spark.read.parquet(path).where(
+        (F.col("bucket") == bucket) & (F.col("record_id") == record_id)
+    )
+    if found.isEmpty():
+        raise LookupError(f"record {record_id!r} not found in {path}")
+    return found.drop("bucket")
