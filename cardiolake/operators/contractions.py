@@ -25,11 +25,17 @@ def changes(
     Runs of equal values collapse to their first row, so plateaus of any length need no group.
     The next change may lie many chunks ahead; it comes from one carried row per chunk.
     """
-    placed = series.with_halo(signal.select(*keys, idx, value), 1, 0, size, idx)
+    if "chunk" not in signal.columns:
+        signal = series.with_chunk(signal, size, idx)
+    signal = signal.select(*keys, "chunk", idx, value)
+    # The value before a chunk is the last one of the chunk before: one row per chunk.
+    edges = signal.groupBy(*keys, "chunk").agg(F.max_by(value, idx).alias("_edge"))
+    edges = edges.withColumn("chunk", F.col("chunk") + 1).hint("shuffle_hash")
     order = series.by_chunk(keys, idx)
     stepped = (
-        placed.withColumn("_before", F.lag(value).over(order))
-        .where(chunk_core(idx, size) & (F.col(value) != F.col("_before")))
+        signal.join(edges, [*keys, "chunk"], "left")
+        .withColumn("_before", F.coalesce(F.lag(value).over(order), "_edge"))
+        .where(F.col(value) != F.col("_before"))
         .withColumn("rise", F.col(value) > F.col("_before"))
         .withColumn("_self", F.struct(F.col(idx).alias("i"), "rise"))
         .withColumn("_next", F.lead("_self").over(order))
@@ -49,10 +55,6 @@ def changes(
     )
 
 
-def chunk_core(idx: str, size: int) -> Column:
-    return series.chunk_of(idx, size) == F.col("chunk")
-
-
 def local_maxima(stepped: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
     """Peaks ``p, h``: a rise followed by a fall; a plateau counts once, at its middle.
 
@@ -339,7 +341,8 @@ def contraction_count(
 ) -> DataFrame:
     """Contractions over whole series of any length: ``total_contractions`` per record.
 
-    Turning points and spaced peaks are read several times, so both are written once.
+    Turning points, spaced peaks and the figures per chunk are read several times, so each is
+    written once.
     """
     if "chunk" not in samples.columns:
         samples = series.with_chunk(samples, size)
@@ -364,33 +367,31 @@ def contraction_count(
         .where("largest > 0 and deviation >= 1e-6")
         .join(series.percentiles(signal, "u", 0.75, keys, name="floor_height"), list(keys))
     )
-    by_chunk = series.per_chunk(figures, samples, keys)
-    stepped = changes(signal, "u", keys, size)
-    ends = (
-        signal.select(*keys, "chunk", "i", "u")
-        .join(by_chunk.select(*keys, "chunk", "n", "_from"), [*keys, "chunk"])
-        .where("i = _from or i = n - 1")
-    )
-    points = turning_points(stepped, keys).union(ends.select(*keys, "i", "u"))
     place = [*keys, "chunk"]
-    points = stage(points.withColumn("chunk", series.chunk_of("i", size)), place, [*place, "i"])
-    peaks = (
-        local_maxima(stepped, keys)
-        .withColumn("chunk", series.chunk_of("p", size))
-        .join(by_chunk.select(*keys, "chunk", "floor_height"), [*keys, "chunk"])
-        .where("h >= floor_height")
+    chunk_figures = stage(series.per_chunk(figures, samples, keys), place, place).hint("shuffle_hash")
+
+    def with_figures(df: DataFrame, at: str, *columns: str) -> DataFrame:
+        placed = df.withColumn("chunk", series.chunk_of(at, size))
+        return placed.join(chunk_figures.select(*place, *columns), place)
+
+    stepped = changes(signal.select(*place, "i", "u"), "u", keys, size)
+    turns = stepped.where(F.col("next_rise").isNull() | (F.col("rise") != F.col("next_rise")))
+    ends = (
+        signal.select(*place, "i", "u")
+        .join(chunk_figures.select(*place, F.col("_from").alias("_first"), F.col("n").alias("_n")), place)
+        .where("i = _first or i = _n - 1")
     )
-    apart = spaced_long(peaks, params.distance, keys, size).withColumn(
-        "chunk", series.chunk_of("p", size)
+    marks = turns.select(*keys, "i", "u", "rise", "next_i", "next_rise").unionByName(
+        ends.select(*keys, "i", "u"), allowMissingColumns=True
     )
-    apart = apart.join(by_chunk.select(*keys, "chunk", "n"), [*keys, "chunk"])
+    marks = stage(marks.withColumn("chunk", series.chunk_of("i", size)), place, [*place, "i"])
+    points = marks.select(*place, "i", "u")
+    peaks = with_figures(local_maxima(marks, keys), "p", "floor_height").where("h >= floor_height")
+    apart = with_figures(spaced_long(peaks, params.distance, keys, size), "p", "n")
     apart = stage(apart, place, [*place, "p"])
-    found = prominences_long(apart, points, keys, size).withColumn(
-        "chunk", series.chunk_of("p", size)
-    )
+    found = with_figures(prominences_long(apart, points, keys, size), "p", "deviation")
     counted = (
-        found.join(by_chunk.select(*keys, "chunk", "deviation"), [*keys, "chunk"])
-        .where(F.col("prominence") >= F.col("deviation") * 0.5)
+        found.where(F.col("prominence") >= F.col("deviation") * 0.5)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("total_contractions"))
     )
