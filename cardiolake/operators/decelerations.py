@@ -142,8 +142,9 @@ def with_context(
         F.min(F.when(second_half, F.col("fhr"))).alias("_second_low"),
         F.max(F.when(middle & (i < end), F.col("fhr"))).alias("_middle_high"),
     )
+    # Not an equality: that would become a join key and move every sample again.
     at_top = _near(context, samples, start - before, start + after, ("uc",), keys, size).where(
-        uc == F.col("_uc_top")
+        uc >= F.col("_uc_top")
     )
     return at_top.groupBy(*context.columns).agg(F.min("i").alias("_uc_at"))
 

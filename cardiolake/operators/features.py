@@ -70,26 +70,27 @@ def default_variability(value: Column) -> Column:
     return F.when(value.isNull() | (value == 0), 10.0).otherwise(value)
 
 
-def fuse(
-    embedded: DataFrame,
-    findings: DataFrame,
-    contractions: Column | None = None,
-    keys: Sequence[str] = series.KEYS,
+def with_findings(
+    windows: DataFrame, findings: DataFrame, keys: Sequence[str] = series.KEYS
 ) -> DataFrame:
-    """``features array<float>[1035]`` per window.
+    """Findings for every window; windows of records without findings are dropped.
 
     ``findings`` has one row per ``(record, chunk)`` when ``chunk`` is present there (see
-    ``series.per_chunk``): the join then runs where the windows were built and a long record
-    stays split.
+    ``series.per_chunk``): the join then runs where the windows are built and a long record
+    stays split. Join before encoding: the encoder stage does not keep the layout.
     """
     on = [*keys, "chunk"] if "chunk" in findings.columns else list(keys)
-    joined = embedded.join(findings, on)
+    return windows.join(findings, on)
+
+
+def fuse(embedded: DataFrame, contractions: Column | None = None) -> DataFrame:
+    """Add ``features array<float>[1035]`` to embedded windows with findings."""
     named = rule_features(contractions)
     vector = F.concat("embedding", F.array(*[c.cast("float") for c in named.values()]))
     checked = F.when(F.size(vector) == FEATURE_COUNT, vector).otherwise(
         F.raise_error(F.lit(f"feature vector must be {FEATURE_COUNT}-dimensional")).cast("array<float>")
     )
-    return joined.withColumn("features", checked)
+    return embedded.withColumn("features", checked)
 
 
 def rule_part(features: Column) -> Column:

@@ -47,9 +47,10 @@ def feature_rows(
     if labels is not None:
         findings = findings.join(labels.select("record_id", "label"), "record_id", "left").na.fill(0, ["label"])
         extra = ["label"]
-    per_window = prepare(windows(cleaned, params.window, size=size), params.window)
-    encoded = embedding.embed(per_window, encoder, is_mock)
-    fused = features.fuse(encoded, series.per_chunk(findings, cleaned))
+    per_window = features.with_findings(
+        windows(cleaned, params.window, size=size), series.per_chunk(findings, cleaned)
+    )
+    fused = features.fuse(embedding.embed(prepare(per_window, params.window), encoder, is_mock))
     return fused.select(
         "record_id",
         "w",
