@@ -114,12 +114,13 @@ def train(
             metrics.grouped_folds(df, params.n_folds, group, params.seed)
             if group
             else metrics.stratified_folds(df, params.n_folds, key, "label", params.seed)
-        )
+        ).persist()
         for fold in range(params.n_folds):
             fitted = create(params, n_classes).fit(folded.where(F.col("fold") != fold))
             held = predict(fitted, folded.where(F.col("fold") == fold))
             cells = metrics.confusion(held.withColumn("label", F.col("label").cast("int")))
             scores.append(metrics.macro_f1(cells).first()["macro_f1"])
+        folded.unpersist()
     fitted = create(params, n_classes).fit(df)
     final = predict(fitted, df).withColumn("label", F.col("label").cast("int"))
     cells = metrics.confusion(final)

@@ -21,6 +21,18 @@ def shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
+def spread(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
+    """Parts for an explicit repartition: one per 64 MB of estimated data.
+
+    At least one per core and never more than ``spark.sql.shuffle.partitions``, which a cluster
+    sets for its full size; the estimate only keeps small inputs from being cut into crumbs.
+    """
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, max(spark.sparkContext.defaultParallelism, size // bytes_per_part))
+
+
 def stage(
     df: DataFrame,
     by: Sequence[str] = ("record_id", "chunk"),
@@ -37,7 +49,7 @@ def stage(
     folder = shared_folder(spark)
     if folder is None:
         return df
-    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or spread(df)
     name = f"staged_{uuid.uuid4().hex}"
     (
         df.repartition(count, *by)

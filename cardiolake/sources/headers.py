@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
+from cardiolake.operators.staging import spread
 
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 # gain, optionally (baseline), optionally /units
@@ -83,8 +84,7 @@ def parse_headers(headers: DataFrame) -> DataFrame:
     spread by record first, which serves that gathering too. ``error`` is NULL for usable
     records; callers split the rest off as quarantine.
     """
-    parts = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = header_lines(headers.repartition(parts, "record_id")).withColumn("_t", F.split("line", r"\s+"))
+    lines = header_lines(headers.repartition(spread(headers), "record_id")).withColumn("_t", F.split("line", r"\s+"))
     is_data = (F.col("line") != "") & ~F.col("line").startswith("#")
     pair = r"^#([^-].*?)\s+(\S+)$"
     is_comment = F.regexp_like("line", F.lit(pair))

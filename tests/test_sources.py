@@ -211,3 +211,15 @@ def test_public_headers(spark):
     assert {r[0]: r[1] for r in first.groupBy("label").agg(F.sum("w")).collect()} == {0: 2_047, 1: 391, 2: 802}
     assert counted.agg(F.sum("n_samples")).first()[0] == 9_825_177
     assert parsed.where("error is not null").count() == 0
+
+
+def test_ingest_job_and_rule_only_score(spark, recording_folder, tmp_path):
+    from cardiolake.plans.ingest import ingest
+
+    tables = ingest(spark, recording_folder, str(tmp_path / "lake"), buckets=4)
+    assert tables["records"].count() == 3 and tables["labels"].count() == 5
+    assert sorted(r["record_id"] for r in tables["quarantine"].collect()) == ["1004", "1005"]
+    assert tables["samples"].count() == 3000
+    scored = scoring.score(tables["samples"])
+    assert sorted(r["record_id"] for r in scored.collect()) == ["1001", "1002", "1003"]
+    assert ingest(spark, recording_folder, str(tmp_path / "two"), limit=2, buckets=4)["records"].count() == 2
