@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardiolake.functions import scalar
 from cardiolake.operators import series
 
 
@@ -127,11 +128,15 @@ def macro_f1(cells: DataFrame) -> DataFrame:
     return per_class(cells).agg(F.avg("f1").alias("macro_f1"))
 
 
-def report(cells: DataFrame, digits: int = 3) -> DataFrame:
-    """Rows per class plus accuracy, macro average and weighted average."""
+def report(cells: DataFrame, digits: int = 3, names: dict | None = None) -> DataFrame:
+    """Rows per class (by name where known) plus accuracy, macro average and weighted average."""
     classes = per_class(cells)
     figures = ("precision", "recall", "f1")
-    rows = classes.select(F.col("label").cast("string").alias("row"), *figures, "support")
+    label = F.col("label").cast("string")
+    if names:
+        known = scalar.lookup(F.col("label"), names)
+        label = F.coalesce(known, F.concat(F.lit("Class_"), label))
+    rows = classes.select(label.alias("row"), *figures, "support")
     total = F.sum("support")
     totals = classes.agg(
         total.alias("support"),

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardiolake.functions import scalar
 from cardiolake.operators import metrics
 
 
@@ -126,7 +127,7 @@ def train(
     cells = metrics.confusion(final)
     fold_scores = df.sparkSession.createDataFrame([(float(s),) for s in scores], "score double")
     return TrainingResult(
-        fitted, scores, metrics.cv_summary(fold_scores), cells, metrics.report(cells)
+        fitted, scores, metrics.cv_summary(fold_scores), cells, metrics.report(cells, names=scalar.CLASS_NAMES)
     )
 
 

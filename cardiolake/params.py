@@ -22,12 +22,14 @@ class CleanParams:
     spike_threshold: float = 30.0
 
     def __post_init__(self) -> None:
-        if self.sampling_rate <= 0:
-            raise ValueError(f"sampling_rate must be positive, got {self.sampling_rate}")
-        if self.low >= self.high:
-            raise ValueError(f"low ({self.low}) must be less than high ({self.high})")
-        if self.max_gap_seconds < 0:
-            raise ValueError(f"max_gap_seconds must be non-negative, got {self.max_gap_seconds}")
+        problems = {
+            "sampling rate is not above zero": self.sampling_rate <= 0,
+            "low bound is not below the high bound": self.low >= self.high,
+            "gap limit is below zero": self.max_gap_seconds < 0,
+        }
+        found = [text for text, holds in problems.items() if holds]
+        if found:
+            raise ValueError(f"{'; '.join(found)}: {self}")
 
     @property
     def max_gap_samples(self) -> int:

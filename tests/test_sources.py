@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cardiolake.functions import scalar
 from cardiolake.operators import embedding, features, metrics, model
 from cardiolake.operators.windows import prepare, window_bounds, windows, windows_from_length
 from cardiolake.params import WindowParams
@@ -192,6 +193,14 @@ def test_fold_rules():
     assert metrics.reduced_folds(3, 50, 2) is None
 
 
+def test_report_names_classes(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (2, 2), (7, 7)], "label int, prediction int")
+    rows = {r["row"]: r for r in metrics.report(metrics.confusion(df), names=scalar.CLASS_NAMES).collect()}
+    assert set(rows) == {"Normal (Cat 1)", "Intermediate (Cat 2)", "Pathological (Cat 3)", "Class_7", "accuracy", "macro avg", "weighted avg"}
+    assert rows["Normal (Cat 1)"]["recall"] == 0.5 and rows["Normal (Cat 1)"]["f1"] == 0.667
+    assert rows["Intermediate (Cat 2)"]["precision"] == 0.0 and rows["accuracy"]["f1"] == 0.75
+
+
 def test_folds_are_balanced(spark):
     df = spark.range(1000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     got = metrics.stratified_folds(df, 4, ["id"]).groupBy("label", "fold").count().collect()
