@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ from cardiolake.operators.variability import variability, variability_windows
 from cardiolake.operators.windows import prepare, window_bounds, window_samples, windows
 from cardiolake.params import BaselineParams, SinusoidalParams, WindowParams
 from cardiolake.plans import dataset, scoring, training
-from cardiolake.operators.staging import stage
+from cardiolake.operators.staging import shared_folder, stage
 from cardiolake.sources import headers, signals
 from cardiolake.sources.tables import samples_from_events, table
 
@@ -145,6 +146,14 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the cluster's shared folder."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 # --- queries ------------------------------------------------------------------------------
 
 
@@ -408,6 +417,18 @@ def feature_tail_per_window(spark, folder):
     )
 
 
+def dataset_roundtrip(spark, folder):
+    """Features written to the shared folder and read back, counted by label."""
+    path = _scratch(spark)
+    dataset.write_dataset(feature_rows(spark, folder), path)
+    rows = dataset.read_dataset(spark, path)
+    return rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.sum(F.size("features")).alias("n_values"),
+        F.max("end_idx").alias("last_idx"),
+    )
+
+
 def dataset_audit(spark, folder):
     """Windows and labels per label value; records without samples are reported as failed."""
     labels = _labels(spark, folder)
@@ -616,6 +637,14 @@ def trained_predictions(spark, folder):
     return model.predict(result.model, labelled(spark, folder).drop("prediction")).select("record_id", "w", "label", "prediction", "probability")
 
 
+def saved_model_predictions(spark, folder):
+    """A model saved to the shared folder, loaded again and applied."""
+    path, rows = _scratch(spark), labelled(spark, folder).drop("prediction")
+    model.save(model.train(rows, SMALL_FOREST, validate=False).model, SMALL_FOREST, path, spark)
+    fitted, _ = model.load(spark, path)
+    return metrics.confusion(model.predict(fitted, rows))
+
+
 def classifier_votes(spark, folder):
     rows = labelled(spark, folder).drop("prediction")
     return training.votes(model.train(rows, SMALL_FOREST, validate=False).model, rows)
@@ -643,13 +672,13 @@ QUERIES: dict[str, Query] = {
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,
         sinusoidal_default, sinusoidal_five_minutes, rule_engine, rule_engine_per_window,
         prepared_windows, window_embeddings, rule_feature_columns, feature_rows,
-        feature_tail_per_window, dataset_audit, feature_name_lookup, header_records,
+        feature_tail_per_window, dataset_roundtrip, dataset_audit, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
         class_weights, weighted_rows, confusion_matrix, classification_report, macro_f1,
         label_quality_report, cv_summary, majority_vote, mean_confidence, stratified_folds,
         grouped_folds, contiguous_labels, category_lookup, rule_only_class, safety_override,
         explained_alerts, findings_summary, deceleration_overlay, score_records, record_detail,
-        unprocessed_records, trained_predictions, classifier_votes, cross_validated_training,
+        unprocessed_records, trained_predictions, saved_model_predictions, classifier_votes, cross_validated_training,
         feature_importances,
     )
 }

@@ -265,6 +265,7 @@ STATEMENTS: dict[str, str] = {
     "feature_tail_per_window": f"with {RULES},{ALL_FINDINGS},{BOUNDS} select b.record_id, b.w, b.start_idx, b.end_idx, cast(length(b.record_id) % 3 as integer) as label, 1035 as width, 1024 as embedding_width, "
     + RULE_FEATURES.format(recurrent="0.0::double").replace(", 6)", ", 4)")
     + " from wb b join fx on fx.record_id = b.record_id",
+    "dataset_roundtrip": f"with {SIG},{BOUNDS} select cast(length(record_id) % 3 as integer) as label, count(*) as n_windows, count(*) * 1035 as n_values, max(end_idx) as last_idx from wb group by 1",
     "dataset_audit": f"""with {SIG},{BOUNDS}, lr as (select record_id, length(record_id) % 3 as label, count(*) as c from wb group by 1, 2)
         select count(*) as processed, (select count(distinct event_type) from events) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
         cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lr""",
