@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import packing, syncmers, token_file
+from cardiolake.llm import mixing, packing, simhash, syncmers, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,18 +32,29 @@ def op3_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(documents(spark, folder), radius=4)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     found = token_file.roundtrip(documents(spark, folder), vocabulary("word_bpe_49k.json"), end_id=1)
     n_tokens = F.expr("octet_length(ids) div 4")
     return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_mixing_tree(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, folder))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints,
         op3_power_of_two_packing,
+        op5_simhash_groups,
         op6_token_files,
+        op9_mixing_tree,
     )
 }
 
