@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import mixing, packing, simhash, syncmers, token_file
+from cardiolake.llm import langid, lm, mixing, packing, simhash, syncmers, token_file
+from cardiolake.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +43,24 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mixing_tree(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def op10_log_bilinear_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7, 2)
+    found = lm.score(documents(spark, folder), ~held_out)
+    return found.withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -54,7 +68,9 @@ QUERIES: dict[str, Query] = {
         op3_power_of_two_packing,
         op5_simhash_groups,
         op6_token_files,
+        op8_byte_cnn_language,
         op9_mixing_tree,
+        op10_log_bilinear_scores,
     )
 }
 

@@ -63,8 +63,8 @@ def range_cuts(df: DataFrame, key: str, parts: int) -> list:
     return sorted(set(found or []))
 
 
-def train_share(doc_id: Column, modulus: int, residue: int) -> Column:
-    """True where crc32 of the id's text leaves ``residue``: the held-out fold of a contract."""
+def fold(doc_id: Column, modulus: int, residue: int) -> Column:
+    """True where crc32 of the id's text leaves ``residue``: the held-out fold; false for NULL ids."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == residue, F.lit(False))
 
 
