@@ -68,8 +68,8 @@ def pack(
             for low in range(0, batch.num_rows, _DOCS_AT_ONCE):
                 part = batch.slice(low, _DOCS_AT_ONCE)
                 row, start, length, ids, total, sequence = [], [], [], [], [], []
-                for k, text in enumerate(part.column(1)):
-                    data = encode([text.as_py()])[0] + end
+                for k, data in enumerate(encode(part.column(1).to_pylist())):
+                    data += end
                     count, at = len(data) // 4, 0
                     for n in piece_lengths(count, most):
                         c = n.bit_length() - 1

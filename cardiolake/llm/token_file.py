@@ -183,10 +183,8 @@ def write(
                             done.append((at, *writer.close()))
                         at = int(buckets[a])
                         writer = ShardWriter(folder, at, length, max(tool.id_count, end_id + 1), part.column(1).type)
-                    texts = part.column(2).slice(a, b - a)
-                    ids = [
-                        np.append(np.frombuffer(tool.encode([t.as_py()])[0], "<u4").astype(kind), end) for t in texts
-                    ]
+                    texts = part.column(2).slice(a, b - a).to_pylist()
+                    ids = [np.append(np.frombuffer(x, "<u4").astype(kind), end) for x in tool.encode(texts)]
                     writer.add(part.column(1).slice(a, b - a), ids)
         if writer:
             done.append((at, *writer.close()))

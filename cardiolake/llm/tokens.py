@@ -3,24 +3,55 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Sequence
 
-# A space before white space: such a text isn't cut at its spaces.
-_RUN = re.compile(r" \s")
+# White space next to a space or line feed: such a text is cut at runs of ASCII white space instead.
+_RUN = re.compile(r"[ \n]\s|\s[ \n]")
+_PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+# Other white space before ASCII white space: such a text isn't cut at all.
+_MIXED = re.compile(r"[^\S \t-\r][ \t-\r]")
+# Marks that form one pre-token after letters (the apostrophe may belong to the word).
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 MAX_WORDS = 400_000
+_AT_ONCE = 250
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _kind(path: str) -> str:
+    """``byte``: byte-level BPE, white space starts pre-tokens. ``word``: white space is dropped, lower case."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, before = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type") != "BPE":
+        return "other"
+    if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+        return "byte"
+    steps = [s["type"] for s in before.get("pretokenizers", [])]
+    changes = [s["type"] for s in (normal or {}).get("normalizers", [])]
+    if steps == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed" and changes == ["NFC", "Replace", "Lowercase"]:
+        return "word"
+    return "other"
 
 
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
-    A space that stands between two other characters starts a new pre-token in every tokenizer
-    whose pre-tokens hold white space only at their start (byte-level BPE) or nowhere (word BPE),
-    and merges stay inside pre-tokens. So a text is the concatenation of its pieces ' word', each
-    distinct piece is encoded once, and ids are joined from a table. Texts with runs of white
-    space after a space are encoded whole. The table is emptied when it holds ``max_words`` pieces.
+    Where white space follows something else, a new pre-token starts in byte-level BPE, and word BPE
+    drops white space; merges stay inside pre-tokens. So a text is the concatenation of its pieces
+    ' word', each distinct piece is encoded once, and ids are joined from a table. A new piece of
+    Latin-1 letters, perhaps with marks after it, is one or two pre-tokens and goes to the
+    tokenizer's BPE model as such; other pieces go through the whole tokenizer, as does every text of
+    another kind of tokenizer. The table is emptied when it holds ``max_words`` pieces.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
@@ -29,8 +60,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = _kind(path)
+        self.model = self.tokenizer.model
         self.max_words = max_words
         self.known: dict[str, bytes] = {}
+        self.letters = str.maketrans(_byte_letters())
+        self.marks = {"": b""}
+        self.feed = self._plain(["\n"])[0] if self.kind == "byte" else b""
 
     @property
     def id_count(self) -> int:
@@ -40,28 +76,70 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
+        out, others = {}, []
+        tokenize, letters = self.model.tokenize, self.letters
+        for piece in pieces:
+            space, head = piece[0] == " ", b""
+            if piece[0] == "\n":
+                head = self.feed
+            rest = piece[1:] if space or piece[0] == "\n" else piece
+            word = rest.rstrip(_MARKS)
+            if not word.isalpha() or max(word) > "\xff":
+                others.append(piece)
+                continue
+            marks = rest[len(word) :]
+            end = self.marks.get(marks)
+            if end is None:
+                end = self.marks[marks] = self._plain([marks])[0]
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+            if self.kind == "word":
+                word = word.lower()
+            elif space:
+                word = " " + word
+            tokens = tokenize(word.encode().decode("latin-1").translate(letters))
+            out[piece] = head + array("I", [t.id for t in tokens]).tobytes() + end
+        if others:
+            out.update(zip(others, self._plain(others)))
+        return out
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; NULL counts as empty."""
         out: list[bytes] = []
+        for low in range(0, len(texts), _AT_ONCE):
+            out += self._block(texts[low : low + _AT_ONCE])
+        return out
+
+    def _block(self, texts: Sequence[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
         get = self.known.get
-        for text in texts:
+        waiting, new = [], set()
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
                 continue
-            if _RUN.search(text):
-                out.append(self._plain([text])[0])
+            if self.kind == "other" or _MIXED.search(text):
+                out[i] = self._plain([text])[0]
                 continue
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?= )", text)
+            if "\0" in text or _RUN.search(text):
+                pieces = _PIECES.findall(text)
+            else:
+                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             ids = list(map(get, pieces))
             if None in ids:
-                new = list({p for p, i in zip(pieces, ids) if i is None})
-                fresh = dict(zip(new, self._plain(new)))
-                ids = [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
-                if len(self.known) + len(fresh) > self.max_words:
-                    self.known.clear()
-                if len(fresh) <= self.max_words:
-                    self.known.update(fresh)
-            out.append(b"".join(ids))
+                new.update(p for p, x in zip(pieces, ids) if x is None)
+                waiting.append((i, pieces))
+            else:
+                out[i] = b"".join(ids)
+        new.discard("")
+        fresh = self._fresh(new) if new else {}
+        fresh[""] = b""
+        for i, pieces in waiting:
+            out[i] = b"".join([get(p) or fresh[p] for p in pieces])
+        if len(self.known) + len(fresh) > self.max_words:
+            self.known.clear()
+        if len(fresh) <= self.max_words:
+            self.known.update(fresh)
         return out
 
 
