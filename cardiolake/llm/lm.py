@@ -40,7 +40,7 @@ class Shape:
     known: int = 50_000  # words whose counts every task holds; other counts are joined
     dim: int = 16
     noise: int = 64
-    batch: int = 2048
+    batch: int = 1024
     rate: float = 0.1
     seed: int = 3
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import langid, lm, mixing, packing, simhash, syncmers, token_file
+from cardiolake.llm import langid, lm, mixing, packing, simhash, substrings, syncmers, token_file
 from cardiolake.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op3_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return substrings.deduplicate(docs).withColumn("n_removed", F.size("removed"))
+
+
 def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(documents(spark, folder), radius=4)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_syncmer_fingerprints,
         op3_power_of_two_packing,
+        op4_line_dedup,
         op5_simhash_groups,
         op6_token_files,
         op8_byte_cnn_language,
