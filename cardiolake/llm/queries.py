@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import langid, lm, mixing, packing, simhash, substrings, syncmers, token_file
+from cardiolake.llm import langid, licences, lm, mixing, neighbours, packing, simhash, substrings, syncmers, token_file
 from cardiolake.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, folder))
 
 
+def op2_cross_polytope_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(documents(spark, folder), vocabulary("byte_bpe_50k.json"), end_id=0, most=1024)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -48,6 +53,13 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = licences.scan(docs, licences.fit(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",")
+    return found.select("doc_id", families.alias("families"), F.size("licences").alias("n_notices"), "licences")
+
+
 def op8_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4, 2)
@@ -70,10 +82,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints,
+        op2_cross_polytope_neighbours,
         op3_power_of_two_packing,
         op4_line_dedup,
         op5_simhash_groups,
         op6_token_files,
+        op7_licence_paragraphs,
         op8_byte_cnn_language,
         op9_mixing_tree,
         op10_log_bilinear_scores,
