@@ -62,10 +62,10 @@ def train(
     widths: tuple[int, ...] = (2, 3, 4),
     per_width: int = 12,
     dim: int = 6,
-    rounds: int = 6,
+    steps: int = 2700,
     seed: int = 11,
 ) -> Network:
-    """Adam over cross-entropy; gradients reach a filter at the place of its maximum."""
+    """Adam over cross-entropy, ``steps`` batches; gradients reach a filter at the place of its maximum."""
     rng = np.random.default_rng(seed)
     width, n = max(widths), per_width * len(widths)
     shape = np.zeros((width, dim, n), np.float32)
@@ -85,10 +85,12 @@ def train(
     m = {k: np.zeros_like(getattr(net, k)) for k in names}
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
     step, size = 0, 32
-    for turn in range(rounds):
-        rate = 0.004 * 0.6**turn
+    while step < steps:
         order = rng.permutation(len(windows))
         for low in range(0, len(order), size):
+            if step == steps:
+                break
+            rate = 0.004 * 0.05 ** (step / steps)
             rows = order[low : low + size]
             bytes_, b = windows[rows], len(rows)
             x = net.columns(bytes_)
