@@ -305,18 +305,20 @@ def texts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: s
     cut to the taken words, with the white space that stood before them. Documents must differ in
     (id, text); of repeated rows each is kept with the takes of one.
     """
-    digest = F.xxhash64(F.col(text_col))
     plan = mixed.filter(F.size("takes") > 0).select(
-        F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), F.col("takes").alias("_takes")
+        F.col(id_col).alias("id"), "digest", F.struct("size", "takes").alias("p")
     )
-    plan = plan.groupBy("_id", "_digest").agg(F.max(F.struct("_size", "_takes")).alias("_p")).select("_id", "_digest", "_p.*")
-    whole = docs.withColumn("_own", digest)
-    found = whole.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    numbers = F.array_distinct(F.transform("_takes", lambda t: t["pass"]))
-    found = found.withColumn("_pass", F.explode(numbers))
-    mine = F.filter("_takes", lambda t: t["pass"] == F.col("_pass"))
-    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    parts = F.transform(mine, lambda t: F.array_join(F.slice(words, (t["first"] + 1).cast("int"), (t["last"] - t["first"]).cast("int")), ""))
+    plan = plan.groupBy("id", "digest").agg(F.max("p").alias("p"))
+    rows = docs.select(F.struct("*").alias("doc"))  # whatever the columns are called
+    own, text = F.col("doc")[id_col], F.col("doc")[text_col]
+    found = rows.join(plan, own.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("digest"))).select(
+        "doc", "p.size", "p.takes"
+    )
+    found = found.withColumn("pass", F.explode(F.array_distinct(F.transform("takes", lambda t: t["pass"]))))
+    mine = F.filter("takes", lambda t: t["pass"] == F.col("pass"))
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = lambda t: F.slice(words, (t["first"] + 1).cast("int"), (t["last"] - t["first"]).cast("int"))
+    cut = F.array_join(F.transform(mine, lambda t: F.array_join(part(t), "")), "")
     count = F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a + t["last"] - t["first"])
-    text = F.when(count == F.col("_size"), F.col(text_col)).otherwise(F.array_join(parts, ""))
-    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = F.when(count == F.col("size"), text).otherwise(cut)
+    return found.select(*[kept.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
