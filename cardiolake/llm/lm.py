@@ -365,8 +365,9 @@ def score(
                     b = a + (1 << 16)
                     own[a:b], unknown[a:b] = scorer.score(near[a:b], far[a:b], kind[a:b])
                 hot, end, rare = at >= 0, at == -2, at == -1
-                base = np.where(hot, base_log[at], 0.0) + np.where(end, end_base, 0.0)
-                mine = np.where(rare, 0.0, own) + np.where(hot, part_log[at], 0.0)
+                known = np.maximum(at, 0)
+                base = np.where(hot, base_log[known], 0.0) + np.where(end, end_base, 0.0)
+                mine = np.where(rare, 0.0, own) + np.where(hot, part_log[known], 0.0)
                 n = len(texts)
                 flat = [w for t in texts for w in (*t, None)]
                 spots = np.flatnonzero(rare)
