@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
     )
     dealt = placed.select("key", "text", F.explode(copies).alias("at")).select("at.*", "key", "text")
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
+    ordered = dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "guest", "key", "text")
     schema = T.StructType(
         [
             docs.schema[id_col],
