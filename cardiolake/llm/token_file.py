@@ -165,7 +165,7 @@ def write(
     parts = shards or 2 * shuffle_parts(spark)
     cuts = range_cuts(docs.select(id_col), id_col, parts)
     placed = docs.select(position(cuts, key).alias("bucket"), key.alias("key"), text.alias("text"))
-    ordered = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "text")
+    ordered = placed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)

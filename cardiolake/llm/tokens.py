@@ -16,7 +16,7 @@ _PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _MIXED = re.compile(r"[^\S \t-\r][ \t-\r]")
 # Marks that form one pre-token after letters (the apostrophe may belong to the word).
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 _AT_ONCE = 250
 
 
@@ -126,16 +126,20 @@ class Encoder:
             else:
                 pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             ids = list(map(get, pieces))
-            if None in ids:
-                new.update(p for p, x in zip(pieces, ids) if x is None)
-                waiting.append((i, pieces))
+            missing = [k for k, x in enumerate(ids) if x is None]
+            if missing:
+                names = [pieces[k] for k in missing]
+                new.update(names)
+                waiting.append((i, ids, missing, names))
             else:
                 out[i] = b"".join(ids)
         new.discard("")
         fresh = self._fresh(new) if new else {}
         fresh[""] = b""
-        for i, pieces in waiting:
-            out[i] = b"".join([get(p) or fresh[p] for p in pieces])
+        for i, ids, missing, names in waiting:
+            for k, name in zip(missing, names):
+                ids[k] = fresh[name]
+            out[i] = b"".join(ids)
         if len(self.known) + len(fresh) > self.max_words:
             self.known.clear()
         if len(fresh) <= self.max_words:
