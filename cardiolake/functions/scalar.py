@@ -32,8 +32,21 @@ def lookup(key: Column, names: dict, default: str | None = None) -> Column:
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    """Banker's rounding; NULL stays NULL."""
-    return F.bround(value, digits)
+    """Round the exact binary value, ties to even; NULL stays NULL.
+
+    The scaled value is a double and its exact error (the value is split in halves whose products
+    are exact), so 0.35, which is stored below 35 hundredths, gives 0.3 and 0.25 gives 0.2.
+    """
+    scale = F.lit(float(10**digits))
+    x = value.cast("double")
+    wide = x * F.lit(134217729.0)  # 2^27 + 1
+    high = wide - (wide - x)
+    scaled = x * scale
+    error = (high * scale - scaled) + (x - high) * scale
+    low = F.floor(scaled).cast("double")
+    part = scaled - low
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
+    return (low + up.cast("double")) / scale
 
 
 def nearest_5(value: Column) -> Column:

@@ -26,9 +26,21 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
+def by_class(column: str, values: dict) -> Column:
+    """A literal CASE over the classes: no join, so a class that holds most rows moves nowhere."""
+    out = F.lit(None)
+    for known, value in values.items():
+        out = F.when(F.col(column) == F.lit(known), F.lit(value)).otherwise(out)
+    return out
+
+
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = class_weights(df, label).select(F.col("label").alias(label), "weight")
-    return df.join(weights, label)
+    """Add the balanced weight of each row's class; rows without a label are left out.
+
+    One count per class reaches the driver, so this runs one aggregate when it is called.
+    """
+    weights = {r["label"]: r["weight"] for r in class_weights(df, label).where("label is not null").collect()}
+    return df.where(F.col(label).isNotNull()).withColumn("weight", by_class(label, weights).cast("double"))
 
 
 def stratified_folds(
@@ -46,18 +58,25 @@ def stratified_folds(
 
 
 def grouped_folds(df: DataFrame, folds: int, key: str = "record_id", seed: int = 42) -> DataFrame:
-    """Add ``fold`` by record, so overlapping windows never sit on both sides."""
+    """Add ``fold`` by record, so overlapping windows never sit on both sides.
+
+    Records are dealt out in hashed order: fold sizes differ by one record at most. Fewer records
+    than folds fail, as some fold would be empty.
+    """
     text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
-    prefix = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return df.withColumn("fold", (prefix % folds).cast("int"))
+    groups = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", F.md5(text))
+    ranks = series.ranked(groups, [], "_h", F.substring("_h", 1, 4), "_rank")
+    if ranks.limit(folds).count() < folds:
+        raise ValueError(f"{folds} folds need at least as many different values of {key}")
+    dealt = ranks.select(key, ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
+    return df.join(dealt, key)
 
 
 def contiguous_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Map the labels in use to 0, 1, ...; ``old_label`` keeps the inverse map."""
-    known = df.select(F.col(label).alias("old_label")).distinct()
-    order = Window.orderBy("old_label")  # one row per class
-    mapping = known.withColumn("new_label", (F.dense_rank().over(order) - 1).cast("int"))
-    return df.join(mapping, df[label] == mapping["old_label"]).drop(label)
+    known = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+    new = by_class("old_label", {old: i for i, old in enumerate(known)}).cast("int")
+    return df.where(F.col(label).isNotNull()).withColumnRenamed(label, "old_label").withColumn("new_label", new)
 
 
 def reduced_folds(requested: int, smallest_class: int, n_classes: int) -> int | None:

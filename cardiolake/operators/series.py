@@ -109,8 +109,8 @@ def runs(
     """Contiguous runs ``[start_idx, end_idx)`` of rows that already passed the flag filter.
 
     Islands are found per chunk; runs that touch a chunk border are then joined, first inside
-    blocks of ``FAN`` chunks and last over block borders. Runs that touch no border never move
-    to a shared group.
+    blocks of ``FAN`` chunks and last over block borders. A run that touches no border is a group
+    of its own (its cell is its start), however many a record has.
     """
     local = Window.partitionBy(*keys, "chunk").orderBy(idx)
     found = (
@@ -131,7 +131,7 @@ def runs(
     for inner, outer in ((size, size * FAN), (size * FAN, None)):
         touching = F.expr(f"start_idx % {inner} = 0 or end_idx % {inner} = 0")
         shared = F.lit(0).cast("long") if outer is None else chunk_of("start_idx", outer)
-        cell = F.when(touching, shared).otherwise(chunk_of("start_idx", inner))
+        cell = F.when(touching, shared).otherwise(F.col("start_idx"))
         placed = found.withColumns({"_border": touching, "_cell": cell})
         w = Window.partitionBy(*keys, "_border", "_cell").orderBy("start_idx")
         fresh = F.coalesce(F.lag("end_idx").over(w) != F.col("start_idx"), F.lit(True))

@@ -565,7 +565,7 @@ def grouped_folds(spark, folder):
 
 
 def contiguous_labels(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 4 * 10).alias("label")).where("label <> 10")
+    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 4 * 10 + 5).alias("label"))
     return metrics.contiguous_labels(rows)
 
 
@@ -623,10 +623,9 @@ def record_detail(spark, folder):
 
 
 def unprocessed_records(spark, folder):
-    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("record_id"))
-    large = table(spark, folder, "orders").where(F.col("o_totalprice") > 300_000)
-    results = large.select(F.col("o_custkey").alias("record_id"))
-    return quality.unprocessed(customers, results)
+    records = table(spark, folder, "part").select(F.col("p_partkey").alias("record_id"))
+    results = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("record_id"))
+    return quality.unprocessed(records, results)
 
 
 SMALL_FOREST = model.ClassifierParams(n_estimators=5, max_depth=3, n_folds=3)

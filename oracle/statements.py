@@ -293,8 +293,8 @@ STATEMENTS: dict[str, str] = {
         select record_id, p as ml_prediction from (select *, row_number() over (partition by record_id order by c desc, f) as rk from vt) where rk = 1""",
     "mean_confidence": """select l_suppkey as record_id, round(avg(greatest(l_quantity, l_discount * 100, l_tax * 100 + 1) / (l_quantity + l_discount * 100 + (l_tax * 100 + 1))), 6) as confidence from lineitem group by 1""",
     "stratified_folds": """select o_orderkey, o_orderstatus as label, cast((row_number() over (partition by o_orderstatus order by md5(cast(o_orderkey as varchar) || ':42')) - 1) % 5 as integer) as fold from orders""",
-    "grouped_folds": f"with {LABELLED} select record_id, cast(cast('0x' || substr(md5(record_id || ':42'), 1, 8) as bigint) % 3 as integer) as fold, count(*) as n from lb group by 1, 2",
-    "contiguous_labels": """with cl as (select vec_id, label % 4 * 10 as l from embeddings where label % 4 * 10 <> 10)
+    "grouped_folds": f"with {LABELLED} select l.record_id, g.fold, count(*) as n from lb l join (select record_id, cast((row_number() over (order by md5(record_id || ':42')) - 1) % 3 as integer) as fold from (select distinct record_id from lb)) g using (record_id) group by 1, 2",
+    "contiguous_labels": """with cl as (select vec_id, label % 4 * 10 + 5 as l from embeddings)
         select vec_id, l as old_label, cast(dense_rank() over (order by l) - 1 as integer) as new_label from cl""",
     "category_lookup": "select o_orderkey, "
     + sql_list({0: "Normal (Category 1)", 1: "Intermediate (Category 2)", 2: "Pathological (Category 3)"}, "o_orderkey % 5", "'Unknown'")
@@ -322,5 +322,25 @@ STATEMENTS: dict[str, str] = {
         case when shown then round((start_idx / 240.0::double + end_idx / 240.0::double) / 2, 6) end as label_minute, case when shown then nadir_value end as label_bpm from ol""",
     "score_records": f"with {RULES},{ALL_FINDINGS.replace('fx as', 'fy as')}, fx as (select *, {RULE_CLASS} as ml_prediction, 0.7::double as confidence from fy),{OVERRIDE},{ALERT} select * from alert",
     "record_detail": f"with {RULES},{ALL_FINDINGS} select record_id, printf('%.0f bpm', baseline) as baseline, printf('%.1f bpm', variability_value) as variability, upper(variability_category) as variability_category, late_count, variable_count, decel_count from fx",
-    "unprocessed_records": "select c_custkey as record_id from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
+    "unprocessed_records": "select p_partkey as record_id from part where not exists (select 1 from lineitem where l_suppkey = p_partkey)",
 }
+
+
+def exact_rounding(statement: str) -> str:
+    """Round the binary value: printf writes it out exactly, while round_even works on its decimal text."""
+    while (at := statement.find("round_even(")) >= 0:
+        depth, k, comma = 0, at + len("round_even"), -1
+        while True:
+            c = statement[k]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = k
+            if depth == 0:
+                break
+            k += 1
+        inner, digits = statement[at + len("round_even(") : comma], int(statement[comma + 1 : k])
+        statement = f"{statement[:at]}(cast(printf('%.{digits}f', cast({inner} as double)) as double) + 0.0){statement[k + 1:]}"
+    return statement
+
+
+STATEMENTS = {name: exact_rounding(statement) for name, statement in STATEMENTS.items()}
