@@ -477,8 +477,8 @@ def first_records(spark, folder):
     return headers.list_records(headers.first_records(order_headers(spark, folder), 20))
 
 
-def decode_signals(spark, folder):
-    """Samples written as 16-bit codes in blocks and decoded again."""
+def _blocks(spark, folder):
+    """Samples as 16-bit codes, 4,096 frames a row."""
     code = F.coalesce(F.round(F.col("fhr") * 100).cast("int") - 10_000, F.lit(signals.MISSING_CODE))
     second = F.round(F.col("uc") * 50).cast("int")
 
@@ -486,24 +486,83 @@ def decode_signals(spark, folder):
         unsigned = F.pmod(c, F.lit(65536))
         return F.format_string("%02X%02X", unsigned % 256, F.floor(unsigned / 256).cast("int"))
 
-    samples = samples_from_events(spark, folder)
-    blocks = (
-        samples.withColumn("first", F.expr("i div 4096 * 4096"))
+    return (
+        samples_from_events(spark, folder)
+        .withColumn("first", F.expr("i div 4096 * 4096"))
         .groupBy("record_id", "first")
         .agg(F.array_sort(F.collect_list(F.struct("i", F.concat(two_bytes(code), two_bytes(second)).alias("x")))).alias("b"))
-        .select(
-            "record_id",
-            F.unhex(F.array_join(F.transform("b", lambda s: s.x), "")).alias("content"),
-            "first",
-            F.lit(2).alias("n_signals"),
-            F.lit(0).alias("fhr_position"), F.lit(100.0).alias("fhr_gain"), F.lit(-10_000).alias("fhr_baseline"),
-            F.lit(None).cast("int").alias("fhr2_position"), F.lit(None).cast("double").alias("fhr2_gain"), F.lit(None).cast("int").alias("fhr2_baseline"),
-            F.lit(1).alias("uc_position"), F.lit(50.0).alias("uc_gain"), F.lit(0).alias("uc_baseline"),
-        )
+        .select("record_id", F.unhex(F.array_join(F.transform("b", lambda s: s.x), "")).alias("content"), "first")
+    )
+
+
+def decode_signals(spark, folder):
+    """Samples written as 16-bit codes in blocks and decoded again."""
+    blocks = _blocks(spark, folder).select(
+        "*",
+        F.lit(2).alias("n_signals"),
+        F.lit(0).alias("fhr_position"), F.lit(100.0).alias("fhr_gain"), F.lit(-10_000).alias("fhr_baseline"),
+        F.lit(None).cast("int").alias("fhr2_position"), F.lit(None).cast("double").alias("fhr2_gain"), F.lit(None).cast("int").alias("fhr2_baseline"),
+        F.lit(1).alias("uc_position"), F.lit(50.0).alias("uc_gain"), F.lit(0).alias("uc_baseline"),
     )
     return signals.decode_blocks(blocks).select("record_id", "i", F.round("fhr", 2).alias("fhr"), F.round("uc", 2).alias("uc"))
 
 
+def _write_recording(batches):
+    """Append each record's blocks, in order, to its signal file; rows are sorted by record."""
+    from pyarrow import fs
+
+    path, out = None, None
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.path != path:
+                if out:
+                    out.close()
+                system, name = fs.FileSystem.from_uri(r.path)
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                path, out = r.path, system.open_output_stream(name)
+            out.write(r.content)
+        yield batch[["path"]].drop_duplicates()
+    if out:
+        out.close()
+
+
+def _recordings(spark, folder):
+    """A folder of recordings: every fifth record's file is cut short, absent, of another format, or split."""
+    path = _scratch(spark)
+    root = signals.qualified(spark, path)
+    kind = F.expr("cast(split_part(record_id, '-', 2) as int) + length(split_part(record_id, '-', 1))") % 5
+    blocks = _blocks(spark, folder).withColumn("kind", kind)
+    size = blocks.groupBy("record_id", "kind").agg((F.sum(F.octet_length("content")) / 4).cast("long").alias("n"))
+    second = F.when(F.col("kind") == 4, "other.dat").otherwise(F.concat("record_id", F.lit(".dat")))
+    header = F.concat_ws(
+        "\n",
+        F.concat_ws(" ", "record_id", F.lit("2 4"), (F.col("n") + (F.col("kind") == 1).cast("int")).cast("string")),
+        F.concat(F.col("record_id"), F.lit(".dat "), F.when(F.col("kind") == 3, "212").otherwise("16"), F.lit(" 100(-10000)/bpm 16 -10000 0 0 0 FHR")),
+        F.concat(second, F.lit(" 16 50(0)/nd 16 0 0 0 0 UC")),
+    )
+    kept = blocks.where("kind <> 2").select(
+        F.concat(F.lit(root + "/"), F.col("record_id"), F.lit(".dat")).alias("path"), "first", "content"
+    )
+    # One row a file comes back: the action writes the files.
+    kept.repartition("path").sortWithinPartitions("path", "first").mapInPandas(_write_recording, "path string").count()
+    return root, headers.parse_headers(size.select("record_id", header.alias("content")))
+
+
+def ingested_samples(spark, folder):
+    """Samples read back from signal files, of the records whose files hold what the header promises."""
+    root, parsed = _recordings(spark, folder)
+    broken = signals.signal_problems(parsed, root).select("record_id")
+    found = signals.read_signals(signals.signal_splits(parsed.join(broken, "record_id", "left_anti"), root, 4096))
+    return found.select("record_id", "i", F.round("fhr", 2).alias("fhr"), F.round("uc", 2).alias("uc"))
+
+
+def ingest_quarantine(spark, folder):
+    """Records whose signal files are cut short, absent, of another format, or several."""
+    root, parsed = _recordings(spark, folder)
+    return signals.signal_problems(parsed, root)
+
+
+
 def class_weights(spark, folder):
     return rounded(metrics.class_weights(labelled(spark, folder)))
 
@@ -673,6 +732,7 @@ QUERIES: dict[str, Query] = {
         prepared_windows, window_embeddings, rule_feature_columns, feature_rows,
         feature_tail_per_window, dataset_roundtrip, dataset_audit, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
+        ingested_samples, ingest_quarantine,
         class_weights, weighted_rows, confusion_matrix, classification_report, macro_f1,
         label_quality_report, cv_summary, majority_vote, mean_confidence, stratified_folds,
         grouped_folds, contiguous_labels, category_lookup, rule_only_class, safety_override,

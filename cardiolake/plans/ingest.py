@@ -13,8 +13,9 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Write ``records``, ``labels``, ``quarantine`` and ``samples`` below ``path`` and read them back.
 
-    Unusable headers never stop the job; they are listed with their error. A folder without any
-    header gives empty tables.
+    Unusable headers and signal files (missing, short, of another format, or spread over several
+    files) never stop the job; their records are listed with the error and have no samples. A folder
+    without any header gives empty tables.
     """
     out = path.rstrip("/")
     found = headers.first_records(headers.read_headers(spark, folder), limit)
@@ -24,10 +25,10 @@ def ingest(
     headers.clinical_metadata(parsed.where(F.col("error").isNull())).write.mode("overwrite").parquet(
         f"{out}/records"
     )
-    parsed.where(F.col("error").isNotNull()).select("record_id", "error").write.mode("overwrite").parquet(
-        f"{out}/quarantine"
-    )
-    splits = signals.signal_splits(parsed, folder)
+    unusable = parsed.where(F.col("error").isNotNull()).select("record_id", "error")
+    unusable.unionByName(signals.signal_problems(parsed, folder)).write.mode("overwrite").parquet(f"{out}/quarantine")
+    broken = spark.read.parquet(f"{out}/quarantine").select("record_id").distinct()
+    splits = signals.signal_splits(parsed.join(broken, "record_id", "left_anti"), folder)
     signals.write_samples(signals.read_signals(splits), f"{out}/samples", buckets)
     return {
         "records": spark.read.parquet(f"{out}/records"),

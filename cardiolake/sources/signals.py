@@ -23,6 +23,58 @@ MISSING_CODE = -32768
 FRAMES_PER_SPLIT = 1 << 20
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme under which Spark reads it, so tasks open the same files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and "://" not in full else full
+
+
+def signal_problems(parsed: DataFrame, folder: str) -> DataFrame:
+    """``record_id, error`` of usable headers whose signal file cannot be decoded as it promises.
+
+    Found without reading samples: wanted channels in several files or in another format than 16,
+    a missing file, or one shorter than the header's sample count. One file lookup a record.
+    """
+    root = qualified(parsed.sparkSession, folder).rstrip("/")
+    wanted = [channel("signals", name) for name in ("FHR", "FHR2", "UC")]
+    files = F.array_distinct(F.array_compact(F.array(*[c.file for c in wanted])))
+    formats = F.array_distinct(F.array_compact(F.array(*[c.format for c in wanted])))
+    layout = (
+        F.when(F.size(files) > 1, F.lit("channels lie in several signal files"))
+        .when(F.size(files) == 0, F.lit("no signal file is named"))
+        .when(~F.forall(formats, lambda f: f == "16"), F.concat(F.lit("signal format is not 16: "), F.array_join(formats, ", ")))
+    )
+    rows = parsed.where(F.col("error").isNull() & (F.col("n_samples") > 0)).select(
+        "record_id",
+        F.concat(F.lit(root + "/"), F.get(files, F.lit(0))).alias("path"),
+        (F.col("n_samples") * F.col("n_signals") * 2).cast("long").alias("needed"),
+        layout.alias("error"),
+    )
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            errors = []
+            for r in batch.itertuples(index=False):
+                if r.error is not None:
+                    errors.append(r.error)
+                    continue
+                source, path = fs.FileSystem.from_uri(r.path)
+                info = source.get_file_info(path)
+                if info.type != fs.FileType.File:
+                    errors.append("signal file is missing")
+                elif info.size < r.needed:
+                    errors.append(f"signal file is short: {info.size} of {r.needed} bytes")
+                else:
+                    errors.append(None)
+            yield pd.DataFrame({"record_id": batch["record_id"], "error": errors})
+
+    return rows.mapInPandas(look, "record_id string, error string").where("error is not null")
+
+
 def signal_splits(parsed: DataFrame, folder: str, frames: int = FRAMES_PER_SPLIT) -> DataFrame:
     """One row per byte range of each record's signal file, with the calibration of its channels.
 
@@ -33,9 +85,10 @@ def signal_splits(parsed: DataFrame, folder: str, frames: int = FRAMES_PER_SPLIT
     fhr2 = channel("signals", "FHR2")
     starts = F.expr(f"sequence(0L, greatest(n_samples - 1, 0L), {frames}L)")
     usable = parsed.where(F.col("error").isNull() & (F.col("n_samples") > 0))
+    root = qualified(parsed.sparkSession, folder).rstrip("/")
     return usable.select(
         "record_id",
-        F.concat(F.lit(folder.rstrip("/") + "/"), fhr.file).alias("path"),
+        F.concat(F.lit(root + "/"), fhr.file).alias("path"),
         "n_signals",
         F.explode(starts).alias("first"),
         "n_samples",
@@ -75,14 +128,12 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for split in batch.itertuples(index=False):
             width = 2 * int(split.n_signals)
-            source, path = (
-                fs.FileSystem.from_uri(split.path)
-                if "://" in split.path or split.path.startswith("file:")
-                else (fs.LocalFileSystem(), split.path)
-            )
+            source, path = fs.FileSystem.from_uri(split.path)
             with source.open_input_file(path) as file:
                 data = file.read_at(int(split.count) * width, int(split.first) * width)
-            raw = np.frombuffer(data[: len(data) // width * width], dtype="<i2")
+            if len(data) < int(split.count) * width:
+                raise ValueError(f"{split.path} ends before sample {int(split.first) + int(split.count)}")
+            raw = np.frombuffer(data, dtype="<i2")
             yield _physical(raw.reshape(-1, int(split.n_signals)), split)
 
 
@@ -100,7 +151,10 @@ def missing_to_null(samples: DataFrame) -> DataFrame:
 
 
 def read_signals(splits: DataFrame) -> DataFrame:
-    """``record_id, i, fhr, fhr2, uc`` in physical units; a record without UC gets zeros."""
+    """``record_id, i, fhr, fhr2, uc`` in physical units; a record without UC gets zeros.
+
+    A file that is missing or ends early fails: ``signal_problems`` tells such records beforehand.
+    """
     spread = splits.repartition("record_id", "first")
     return missing_to_null(spread.mapInPandas(_decode, SAMPLE_SCHEMA))
 

@@ -280,6 +280,11 @@ STATEMENTS: dict[str, str] = {
         cast(k % 2 as integer) as hypertension, cast(18 + c % 25 as integer) as maternal_age from hd where not bad_line and not no_fhr""",
     "first_records": "select distinct cast(o_orderkey as varchar) as record_id from orders order by 1 limit 20",
     "decode_signals": f"with {SIG} select record_id, i, round(round(fhr * 100) / 100, 2) as fhr, round(round(uc * 50) / 50, 2) as uc from sig",
+    "ingested_samples": f"""with {SIG} select record_id, i, round(round(fhr * 100) / 100, 2) as fhr, round(round(uc * 50) / 50, 2) as uc from sig
+        where (cast(split_part(record_id, '-', 2) as int) + length(split_part(record_id, '-', 1))) % 5 = 0""",
+    "ingest_quarantine": f"""with {SIG}, k as (select record_id, count(*) as n, (cast(split_part(record_id, '-', 2) as int) + length(split_part(record_id, '-', 1))) % 5 as kind from sig group by 1)
+        select record_id, case kind when 1 then 'signal file is short: ' || (4 * n) || ' of ' || (4 * n + 4) || ' bytes' when 2 then 'signal file is missing'
+            when 3 then 'signal format is not 16: 212, 16' else 'channels lie in several signal files' end as error from k where kind <> 0""",
     "class_weights": f"with {LABELLED} select label, count(*) as n, round((select count(*) from lb) / ((select count(distinct label) from lb) * count(*))::double, 6) as weight from lb group by 1",
     "weighted_rows": f"""with {LABELLED}, cw as (select label, (select count(*) from lb) / ((select count(distinct label) from lb) * count(*))::double as weight from lb group by 1)
         select record_id, lb.label, round(sum(weight), 6) as weight from lb join cw on cw.label = lb.label group by 1, 2""",

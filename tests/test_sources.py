@@ -232,3 +232,26 @@ def test_ingest_job_and_rule_only_score(spark, recording_folder, tmp_path):
     scored = scoring.score(tables["samples"])
     assert sorted(r["record_id"] for r in scored.collect()) == ["1001", "1002", "1003"]
     assert ingest(spark, recording_folder, str(tmp_path / "two"), limit=2, buckets=4)["records"].count() == 2
+
+
+def test_broken_signal_files_are_set_apart(spark, tmp_path):
+    from cardiolake.plans.ingest import ingest
+
+    def record(name, file_bytes, fmt="16", second=None):
+        (tmp_path / f"{name}.hea").write_text(
+            f"{name} 2 4 100\n{name}.dat {fmt} 100(0)/bpm 12 0 0 0 0 FHR\n{second or name + '.dat'} 16 100(0)/nd 12 0 0 0 0 UC\n#pH 7.20\n"
+        )
+        if file_bytes is not None:
+            (tmp_path / f"{name}.dat").write_bytes(bytes(file_bytes))
+
+    record("good", 400)
+    record("longer", 402)
+    record("short", 399)
+    record("absent", None)
+    record("packed", 400, fmt="212")
+    record("spread", 400, second="good.dat")
+    tables = ingest(spark, str(tmp_path), str(tmp_path / "lake"), buckets=2)
+    errors = {r["record_id"]: r["error"] for r in tables["quarantine"].collect()}
+    assert set(errors) == {"short", "absent", "packed", "spread"}
+    assert "short: 399 of 400" in errors["short"] and "missing" in errors["absent"]
+    assert {r["record_id"]: r["n"] for r in tables["samples"].groupBy("record_id").agg(F.count("*").alias("n")).collect()} == {"good": 100, "longer": 100}
