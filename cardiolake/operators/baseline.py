@@ -24,17 +24,19 @@ def baseline_windows(
     Every bucket row also keeps its own figures, so the per-record fallback needs no second pass.
     """
     samples = samples if "chunk" in samples.columns else series.with_chunk(samples, size)
-    buckets = series.step_buckets(samples, params.step, value, keys, size)
-    placed, frame = series.bucket_frames(buckets, params.step, params.window, keys, size)
+    unit = series.common_step(params.step, params.window, size)
+    buckets = series.step_buckets(samples, unit, value, keys, size)
+    placed, frame = series.bucket_frames(buckets, unit, params.window, keys, size)
+    starts = F.col("bucket") * unit % params.step == 0
     valid = F.sum("n_valid").over(frame)
     whole = F.sum("n").over(frame) == params.window
     return (
         placed.withColumns(
             {
-                "_whole": whole & (valid >= params.window * params.min_valid_ratio),
+                "_whole": starts & whole & (valid >= params.window * params.min_valid_ratio),
                 "range": F.max("high").over(frame) - F.min("low").over(frame),
                 "mean": F.sum("total").over(frame) / valid,
-                "start_idx": F.col("bucket") * params.step,
+                "start_idx": F.col("bucket") * unit,
             }
         )
         .where("core")

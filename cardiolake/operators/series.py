@@ -9,6 +9,7 @@ the chunk edges as a halo; steps with unlimited reach carry one summary row per
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,6 +146,14 @@ def runs(
     return found
 
 
+def common_step(step: int, window: int, size: int = CHUNK) -> int:
+    """The largest block that divides step, window and chunk: what sliding windows are built from.
+
+    Any step and window work; those with a large common divisor touch the fewest rows.
+    """
+    return gcd(step, window, size)
+
+
 def step_buckets(
     df: DataFrame,
     step: int,

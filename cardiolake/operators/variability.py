@@ -25,8 +25,10 @@ def variability_windows(
     row with ``start_idx = NULL`` marks each bucket that starts no counted window.
     """
     samples = samples if "chunk" in samples.columns else series.with_chunk(samples, size)
-    buckets = series.step_buckets(samples, params.step, value, keys, size)
-    placed, frame = series.bucket_frames(buckets, params.step, params.window, keys, size)
+    unit = series.common_step(params.step, params.window, size)
+    buckets = series.step_buckets(samples, unit, value, keys, size)
+    placed, frame = series.bucket_frames(buckets, unit, params.window, keys, size)
+    starts = F.col("bucket") * unit % params.step == 0
     rows = F.sum("n").over(frame)
     valid = F.sum("n_valid").over(frame)
     spread = F.max("high").over(frame) - F.min("low").over(frame)
@@ -34,11 +36,11 @@ def variability_windows(
     short = (F.col("bucket") == 0) & (rows < params.window) & (valid > 0)
     counted = (rows == params.window) & (valid >= params.window * params.min_valid_ratio)
     return (
-        placed.withColumn("window_value", F.when(short | counted, spread))
+        placed.withColumn("window_value", F.when(short | (starts & counted), spread))
         .where("core")
         .select(
             *keys,
-            F.when(F.col("window_value").isNotNull(), F.col("bucket") * params.step).alias("start_idx"),
+            F.when(F.col("window_value").isNotNull(), F.col("bucket") * unit).alias("start_idx"),
             "window_value",
         )
     )

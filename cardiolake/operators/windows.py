@@ -27,9 +27,10 @@ def windows(
     if "chunk" not in samples.columns:
         samples = series.with_chunk(samples, size)
     zeroed = F.coalesce(F.col(value), F.lit(0.0))
+    unit = series.common_step(params.step, params.window, size)
     buckets = series.step_buckets(
         samples,
-        params.step,
+        unit,
         value,
         keys,
         size,
@@ -50,7 +51,7 @@ def windows(
     )
     placed, frame = series.bucket_frames(
         buckets.select(*keys, "bucket", "n", "n_valid", "total", "block", "part"),
-        params.step,
+        unit,
         params.window,
         keys,
         size,
@@ -67,11 +68,12 @@ def windows(
     )
     whole = F.col("n_samples") == params.window
     only = (F.col("bucket") == 0) & (F.col("n_samples") < params.window)
-    start = F.col("bucket") * params.step
-    return framed.where(F.col("core") & (whole | only)).select(
+    start = F.col("bucket") * unit
+    starts = start % params.step == 0
+    return framed.where(F.col("core") & starts & (whole | only)).select(
         *keys,
         "chunk",
-        F.col("bucket").alias("w"),
+        F.expr(f"bucket * {unit} div {params.step}").alias("w"),
         start.alias("start_idx"),
         (start + F.col("n_samples")).alias("end_idx"),
         (start / fs).alias("start_sec"),
@@ -92,22 +94,24 @@ def window_bounds(
     """Window keys and bounds without touching sample values."""
     if "chunk" not in samples.columns:
         samples = series.with_chunk(samples, size)
+    unit = series.common_step(params.step, params.window, size)
     counted = (
-        samples.withColumn("bucket", F.expr(f"i div {params.step}"))
+        samples.withColumn("bucket", F.expr(f"i div {unit}"))
         .groupBy(*keys, "chunk", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .drop("chunk")
     )
-    placed, frame = series.bucket_frames(counted, params.step, params.window, keys, size)
+    placed, frame = series.bucket_frames(counted, unit, params.window, keys, size)
     rows = F.sum("n").over(frame)
-    start = F.col("bucket") * params.step
+    start = F.col("bucket") * unit
     return (
         placed.withColumn("_rows", rows)
         .where("core")
+        .where(start % params.step == 0)
         .where((F.col("_rows") == params.window) | ((F.col("bucket") == 0) & (F.col("_rows") < params.window)))
         .select(
             *keys,
-            F.col("bucket").alias("w"),
+            F.expr(f"bucket * {unit} div {params.step}").alias("w"),
             start.alias("start_idx"),
             (start + F.col("_rows")).alias("end_idx"),
             (start / F.lit(params.sampling_rate)).alias("start_sec"),

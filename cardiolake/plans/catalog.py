@@ -33,7 +33,7 @@ from cardiolake.operators.decelerations import (
 from cardiolake.operators.sinusoidal import sinusoidal
 from cardiolake.operators.variability import variability, variability_windows
 from cardiolake.operators.windows import prepare, window_bounds, window_samples, windows
-from cardiolake.params import BaselineParams, SinusoidalParams, WindowParams
+from cardiolake.params import BaselineParams, SinusoidalParams, VariabilityParams, WindowParams
 from cardiolake.plans import dataset, scoring, training
 from cardiolake.operators.staging import shared_folder, stage
 from cardiolake.sources import headers, signals
@@ -251,6 +251,14 @@ def variability_window_values(spark, folder):
     return rounded(found)
 
 
+def variability_quarter_overlap(spark, folder):
+    return rounded(variability(heart(spark, folder), VariabilityParams(overlap_ratio=0.25)))
+
+
+def baseline_seven_second_step(spark, folder):
+    return rounded(baseline(heart(spark, folder), BaselineParams(step_seconds=7.0)))
+
+
 def variability_per_record(spark, folder):
     return rounded(variability(heart(spark, folder)))
 
@@ -725,6 +733,7 @@ QUERIES: dict[str, Query] = {
         clean_statistics, interpolate_linear, interpolate_nearest, signal_summary, safe_median,
         fill_with_mean, signal_quality_profile, sliding_window_bounds, stable_windows,
         baseline_per_record, rounding_and_classes, variability_window_values, variability_per_record,
+        variability_quarter_overlap, baseline_seven_second_step,
         runs_below_baseline, deceleration_events, deceleration_events_raw_uc, deceleration_counts,
         recurrence_rules, tail_segments, local_maxima, uc_upper_quartile, contraction_peaks,
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,

@@ -239,6 +239,8 @@ STATEMENTS: dict[str, str] = {
         case when s <= 2 then 'Absent' when s <= 5 then 'Minimal' when s <= 25 then 'Moderate' else 'Marked' end as variability from pt""",
     "variability_window_values": f"with {CLEAN},{VARIABILITY} select record_id, st as start_idx, round(rng, 6) as window_value from va_ok",
     "variability_per_record": f"with {CLEAN},{VARIABILITY} select record_id, value, category, category = 'Moderate' as is_normal, category in ('Absent', 'Minimal', 'Unknown') as is_concerning, min_value, max_value, n_windows from variability",
+    "variability_quarter_overlap": f"with {CLEAN},{VARIABILITY.replace('- 240 + 1, 120)', '- 240 + 1, 180)')} select record_id, value, category, category = 'Moderate' as is_normal, category in ('Absent', 'Minimal', 'Unknown') as is_concerning, min_value, max_value, n_windows from variability",
+    "baseline_seven_second_step": f"with {CLEAN},{BASELINE.replace('- 480 + 1, 40)', '- 480 + 1, 28)')} select record_id, value, is_normal, is_bradycardia, is_tachycardia, stable_segment_found, segment_start_idx, {r6('segment_variability', 'confidence')} from baseline",
     "runs_below_baseline": f"with {CLEAN_BOTH},{BASELINE},{DECELS} select record_id, s as start_idx, e as end_idx from de_run",
     "deceleration_events": f"with {CLEAN_BOTH},{BASELINE},{DECELS} {SIGNALS_OF}",
     "deceleration_events_raw_uc": f"with {CLEAN_RAW_UC},{BASELINE},{DECELS} {SIGNALS_OF}",
