@@ -4,33 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Staged tables that have not been released: (session, table, path).
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``; a private one only for local sessions."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a private one only for local sessions that set none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="cardiolake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
-
-
-def spread(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
-    """Parts for an explicit repartition: one per 64 MB of estimated data.
-
-    At least one per core and never more than ``spark.sql.shuffle.partitions``, which a cluster
-    sets for its full size; the estimate only keeps small inputs from being cut into crumbs.
-    """
-    spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(most, max(spark.sparkContext.defaultParallelism, size // bytes_per_part))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    folder = tempfile.mkdtemp(prefix="cardiolake-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def stage(
@@ -43,13 +35,12 @@ def stage(
 
     Readers keep the bucket layout: later joins, windows and aggregates on ``by`` move no
     sample again, each reads only its columns, and lost executors do not replay the cleaning.
-    Without a shared folder the plan is left as it is.
+    ``buckets`` is the caller's, else ``spark.sql.shuffle.partitions``: the plan does not depend on
+    data sizes, the master or an estimate. Tables stay until ``release`` or the end of ``scope``.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if folder is None:
-        return df
-    count = buckets or spread(df)
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"staged_{uuid.uuid4().hex}"
     (
         df.repartition(count, *by)
@@ -58,4 +49,24 @@ def stage(
         .option("path", f"{folder}/{name}")
         .saveAsTable(name)
     )
+    _WRITTEN.append((spark, name, f"{folder}/{name}"))
     return spark.table(name)
+
+
+def release(start: int = 0) -> None:
+    """Drop the tables staged since ``start`` and their files; what reads them must be done."""
+    while len(_WRITTEN) > start:
+        spark, name, path = _WRITTEN.pop()
+        spark.sql(f"drop table if exists {name}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged inside are dropped at the end, when the job's results are written."""
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(start)

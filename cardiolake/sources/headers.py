@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
-from cardiolake.operators.staging import spread
 
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 # gain, optionally (baseline), optionally /units
@@ -65,14 +64,6 @@ def first_records(headers: DataFrame, limit: int | None) -> DataFrame:
     return headers.join(wanted, "record_id", "left_semi")
 
 
-def header_lines(headers: DataFrame) -> DataFrame:
-    """``record_id, line_no, line`` with surrounding blanks removed."""
-    lines = F.split("content", r"\r?\n")
-    return headers.select("record_id", F.posexplode(lines).alias("line_no", "line")).withColumn(
-        "line", F.trim("line")
-    )
-
-
 def _token(tokens: Column, at: int) -> Column:
     return F.get(tokens, F.lit(at))
 
@@ -80,47 +71,40 @@ def _token(tokens: Column, at: int) -> Column:
 def parse_headers(headers: DataFrame) -> DataFrame:
     """One row per header: record fields, ``signals`` array, ``comments`` map, ``error``.
 
-    Every line is parsed once as a row; a header's lines are then gathered again. The texts are
-    spread by record first, which serves that gathering too. ``error`` is NULL for usable
+    Lines are array elements of their row, so nothing is shuffled. ``error`` is NULL for usable
     records; callers split the rest off as quarantine.
     """
-    lines = header_lines(headers.repartition(spread(headers), "record_id")).withColumn("_t", F.split("line", r"\s+"))
-    is_data = (F.col("line") != "") & ~F.col("line").startswith("#")
     pair = r"^#([^-].*?)\s+(\S+)$"
-    is_comment = F.regexp_like("line", F.lit(pair))
-    t = F.col("_t")
-    spec = F.coalesce(_token(t, 2), F.lit(""))
-    lines = lines.withColumns(
-        {
-            "_gain": F.regexp_extract(spec, GAIN, 1).try_cast("double"),
-            "_zero": F.coalesce(
-                F.regexp_extract(spec, GAIN, 2).try_cast("int"), _token(t, 4).try_cast("int"), F.lit(0)
+    lines = F.transform(F.split("content", r"\r?\n"), lambda l: F.trim(l))
+    staged = headers.select(
+        "record_id",
+        F.filter(lines, lambda l: (l != "") & ~l.startswith("#")).alias("_data"),
+        F.transform(
+            F.filter(lines, lambda l: F.regexp_like(l, F.lit(pair))),
+            lambda l: F.struct(
+                F.trim(F.regexp_extract(l, pair, 1)).alias("key"), F.regexp_extract(l, pair, 2).alias("value")
             ),
-            "_units": F.regexp_extract(spec, GAIN, 3),
-        }
-    )
-    data = F.struct(
-        "line_no",
-        "line",
-        _token(t, 0).alias("file"),
-        _token(t, 1).alias("format"),
-        F.when(F.coalesce(F.col("_gain"), F.lit(0.0)) == 0, DEFAULT_GAIN).otherwise(F.col("_gain")).alias("gain"),
-        F.col("_zero").alias("baseline"),
-        F.when(F.col("_units") == "", DEFAULT_UNITS).otherwise(F.col("_units")).alias("units"),
-        _token(t, 3).try_cast("int").alias("resolution"),
-        F.array_join(F.slice(t, 9, F.greatest(F.size(t) - 8, F.lit(0))), " ").alias("name"),
-    )
-    comment = F.struct(
-        "line_no",
-        F.trim(F.regexp_extract("line", pair, 1)).alias("key"),
-        F.regexp_extract("line", pair, 2).alias("value"),
+        ).alias("_comments"),
     )
-    gathered = lines.groupBy("record_id").agg(
-        F.array_sort(F.collect_list(F.when(is_data, data))).alias("_data"),
-        F.array_sort(F.collect_list(F.when(is_comment, comment))).alias("_comments"),
-    )
-    head = F.split(F.get("_data", F.lit(0))["line"], r"\s+")
-    parsed = gathered.withColumn("_head", head).withColumns(
+    head = F.split(F.get("_data", F.lit(0)), r"\s+")
+
+    def signal(t: Column, position: Column) -> Column:
+        spec = F.coalesce(_token(t, 2), F.lit(""))
+        gain = F.regexp_extract(spec, GAIN, 1).try_cast("double")
+        units = F.regexp_extract(spec, GAIN, 3)
+        zero = F.coalesce(F.regexp_extract(spec, GAIN, 2).try_cast("int"), _token(t, 4).try_cast("int"), F.lit(0))
+        return F.struct(
+            position.alias("position"),
+            _token(t, 0).alias("file"),
+            _token(t, 1).alias("format"),
+            F.when(F.coalesce(gain, F.lit(0.0)) == 0, DEFAULT_GAIN).otherwise(gain).alias("gain"),
+            zero.alias("baseline"),
+            F.when(units == "", DEFAULT_UNITS).otherwise(units).alias("units"),
+            _token(t, 3).try_cast("int").alias("resolution"),
+            F.array_join(F.slice(t, 9, F.greatest(F.size(t) - 8, F.lit(0))), " ").alias("name"),
+        )
+
+    parsed = staged.withColumn("_head", head).withColumns(
         {
             "n_signals": _token(F.col("_head"), 1).try_cast("int"),
             "sampling_rate": F.regexp_extract(
@@ -130,20 +114,14 @@ def parse_headers(headers: DataFrame) -> DataFrame:
         }
     )
     wanted = F.slice("_data", F.lit(2), F.greatest(F.coalesce("n_signals", F.lit(0)), F.lit(0)))
-    signals = F.transform(
-        wanted,
-        lambda s, k: F.struct(
-            k.alias("position"),
-            *[s[f].alias(f) for f in ("file", "format", "gain", "baseline", "units", "resolution", "name")],
-        ),
-    )
+    tokens = F.transform(wanted, lambda l: F.split(l, r"\s+"))
+    signals = F.transform(tokens, signal)
     # The first line of a repeated key counts.
-    entries = F.transform("_comments", lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))
     repeated = F.size(F.array_distinct(F.transform("_comments", lambda c: c["key"]))) < F.size("_comments")
     firsts = F.filter(
         "_entries", lambda e, k: ~F.exists(F.slice("_entries", F.lit(1), k), lambda o: o["key"] == e["key"])
     )
-    parsed = parsed.withColumns({"signals": signals, "_entries": entries}).withColumn(
+    parsed = parsed.withColumns({"signals": signals, "_entries": F.col("_comments")}).withColumn(
         "comments", F.map_from_entries(F.when(repeated, firsts).otherwise(F.col("_entries")))
     )
     error = (

@@ -59,3 +59,25 @@ def test_runs_of_one_record_do_not_share_a_group(spark):
     assert sorted((r["start_idx"], r["end_idx"]) for r in found.collect()) == expected
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "ELSE start_idx" in plan
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from cardiolake.operators.staging import scope, stage
+
+    rows = spark.range(10).select(F.lit("a").alias("record_id"), F.lit(0).alias("chunk"), F.col("id").alias("i"))
+    with scope():
+        kept = stage(rows, buckets=3)
+        path = kept.inputFiles()[0]
+        name = kept._jdf.queryExecution().analyzed().toString()
+        assert kept.count() == 10 and "staged_" in name
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    assert not [t for t in spark.catalog.listTables() if t.name in name]
+
+
+def test_header_parsing_moves_no_rows(spark):
+    from cardiolake.sources import headers
+
+    rows = spark.createDataFrame([("1", "1 1 4 10\n1.dat 16 100(0)/bpm 12 0 0 0 0 FHR\n#pH 7.1")], "record_id string, content string")
+    assert "Exchange" not in headers.parse_headers(rows)._jdf.queryExecution().executedPlan().toString()
