@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardiolake.functions.scalar import half_even
 from cardiolake.operators import series
 from cardiolake.operators.staging import stage
 from cardiolake.params import CHUNK, TachysystoleParams
 
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def changes(
     signal: DataFrame,
@@ -224,6 +233,30 @@ def rate_row(
     )
 
 
+def settled_sessions(peaks: DataFrame, distance: int, keys: Sequence[str]) -> DataFrame:
+    """``spaced`` for groups of any length: sorted once, each peak blocks its neighbours.
+
+    A peak that is kept blocks the places within ``distance`` of it, found by binary search; kept
+    peaks are ``distance`` apart, so a place is blocked a bounded number of times. Holds 17 bytes a peak.
+    """
+    columns = [*keys, "p", "h"]
+    schema = peaks.select(*columns).schema
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[("p", "ascending")]))
+        p, h = group["p"].to_numpy(), group["h"].to_numpy()
+        low = np.searchsorted(p, p - distance, side="right").tolist()
+        high = np.searchsorted(p, p + distance, side="left").tolist()
+        blocked, kept = np.zeros(len(p), bool), np.zeros(len(p), bool)
+        for k in np.lexsort((p, h))[::-1].tolist():  # highest first, the later one on ties
+            if not blocked[k]:
+                kept[k] = True
+                blocked[low[k] : high[k]] = True
+        return group.filter(pa.array(kept))
+
+    return peaks.select(*columns).groupBy(*keys).applyInArrow(settle, schema)
+
+
 def spaced_long(
     peaks: DataFrame, distance: int, keys: Sequence[str] = series.KEYS, size: int = CHUNK
 ) -> DataFrame:
@@ -231,7 +264,8 @@ def spaced_long(
 
     A peak that is the best within ``distance`` is kept and its neighbours go, whatever happens
     elsewhere. What is left falls into sessions at least ``distance`` apart, which cannot affect
-    each other and are settled one by one.
+    each other and are settled one by one, in time that grows with the session (level signals can
+    make a session of all peaks of a record).
     """
     reach = distance - 1
     placed = series.with_halo(peaks.select(*keys, "p", "h"), 3 * distance, 3 * distance, size, "p")
@@ -256,81 +290,128 @@ def spaced_long(
         .join(chunks, [*keys, "chunk"])
         .withColumn("session", F.coalesce("_inside", "_begin_carried"))
     )
-    settled = spaced(sessions, distance, [*keys, "session"]).select(*keys, "p", "h")
+    settled = settled_sessions(sessions, distance, [*keys, "session"]).select(*keys, "p", "h")
     return kept.union(settled)
 
 
 def prominences_long(
     peaks: DataFrame, points: DataFrame, keys: Sequence[str] = series.KEYS, size: int = CHUNK
 ) -> DataFrame:
-    """``prominences`` for series of any length; ``peaks`` carry the series length ``n``.
+    """``prominences`` for series of any length.
 
-    Nearly every base lies in the peak's chunk or the ones beside it. A peak whose nearest higher
-    point is farther away looks at one (low, high) row per chunk and then at the points of a
-    single chunk.
+    Each chunk finds the bases that lie inside it. Where no point of the chunk is higher than a
+    peak, one (low, high) row per chunk tells the nearest chunk with a higher point and the minimum
+    on the way, once per chunk, side and height; that chunk then adds the minimum of its own near
+    end, again once per height. So level peaks cost one look per chunk, and no peak meets the chunks
+    or the points of a whole series.
     """
     if "chunk" not in points.columns:
         points = points.withColumn("chunk", series.chunk_of("i", size))
-    extents = points.groupBy(*keys, "chunk").agg(F.min("u").alias("_lo"), F.max("u").alias("_hi"))
-    i, p, h = F.col("i"), F.col("p"), F.col("h")
-    home = F.col("_home")
-    peak_id = [*keys, "p", "h", "n", "_home"]
-    homes = peaks.select(*keys, "p", "h", "n").withColumn("_home", series.chunk_of("p", size))
-    beside = homes.withColumn("chunk", F.explode(F.expr("sequence(greatest(_home - 1, 0L), _home + 1)")))
-    higher = F.col("u") > h
-    bounds = (
-        beside.join(points, [*keys, "chunk"], "left")
-        .groupBy(*peak_id)
-        .agg(
-            F.max(F.when(higher & (i < p), i)).alias("_lb"),
-            F.min(F.when(higher & (i > p), i)).alias("_rb"),
-        )
+    place = [*keys, "chunk"]
+    # New column identities: peaks come from the same table, and cogroups need to tell both sides apart.
+    points = points.select(*[F.col(c).alias(c) for c in (*place, "i", "u")])
+    homes = peaks.select(*keys, series.chunk_of("p", size).alias("chunk"), "p", "h")
+    types = {f.name: f for f in [*points.schema, *homes.schema]}
+
+    def schema_of(*names: str, **more: T.DataType) -> T.StructType:
+        return T.StructType([*[types[n] for n in names], *[T.StructField(n, t) for n, t in more.items()]])
+
+    number, flag, index = T.DoubleType(), T.BooleanType(), T.LongType()
+
+    def inside(own: pa.Table, all_: pa.Table) -> pa.Table:
+        order = np.argsort(all_["i"].to_numpy())
+        i, u = all_["i"].to_numpy()[order], all_["u"].to_numpy()[order]
+        found = {"left": [], "right": [], "left_open": [], "right_open": []}
+        for p, h in zip(own["p"].to_numpy(), own["h"].to_numpy()):
+            a, b = np.searchsorted(i, p, side="left"), np.searchsorted(i, p, side="right")
+            for side, part in (("left", u[:a][::-1]), ("right", u[b:])):
+                higher = part > h
+                at = int(higher.argmax()) if higher.any() else len(part)
+                found[side].append(min(part[:at].min(initial=np.inf), h))
+                found[f"{side}_open"].append(at == len(part))
+        for name, values in found.items():
+            own = own.append_column(name, pa.array(values, pa.bool_() if name.endswith("open") else pa.float64()))
+        return own
+
+    near = (
+        homes.groupBy(*place)
+        .cogroup(points.groupBy(*place))
+        .applyInArrow(inside, schema_of(*place, "p", "h", left=number, right=number, left_open=flag, right_open=flag))
+    )
+    near = stage(near, place, [*place, "p"])
+    # One row per chunk, height and open side.
+    asked = near.select(*place, "h", F.explode(F.array_compact(F.array(
+        F.when(F.col("left_open"), F.lit(True)), F.when(F.col("right_open"), F.lit(False))
+    ))).alias("to_left")).distinct()
+    extents = points.groupBy(*place).agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    extents = extents.select(*[F.col(c).alias(c) for c in extents.columns])
+
+    def over_chunks(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        order = np.argsort(chunks["chunk"].to_numpy())
+        c, lo, hi = (chunks[n].to_numpy()[order] for n in ("chunk", "lo", "hi"))
+        home, height = queries["chunk"].to_numpy(), queries["h"].to_numpy()
+        left = queries["to_left"].to_numpy(zero_copy_only=False)
+        stop, base = np.full(len(home), -1, np.int64), np.full(len(home), np.inf)
+        found, base[left] = nearest_higher(c, lo, hi, home[left], height[left])
+        stop[left] = np.where(found >= 0, c[np.maximum(found, 0)], -1)
+        found, base[~left] = nearest_higher(-c[::-1], lo[::-1], hi[::-1], -home[~left], height[~left])
+        stop[~left] = np.where(found >= 0, c[::-1][np.maximum(found, 0)], -1)
+        return queries.append_column("stop", pa.array(stop, mask=stop < 0)).append_column("base", pa.array(base))
+
+    beyond = (
+        asked.groupBy(*keys)
+        .cogroup(extents.groupBy(*keys))
+        .applyInArrow(over_chunks, schema_of(*place, "h", to_left=flag, stop=index, base=number))
     )
-    again = bounds.withColumn(
-        "chunk", F.explode(F.expr("sequence(greatest(_home - 1, 0L), _home + 1)"))
-    ).join(points, [*keys, "chunk"], "left")
-    near = again.groupBy(*peak_id, "_lb", "_rb").agg(
-        F.min(F.when((i < p) & (i > F.coalesce("_lb", F.lit(-1))), F.col("u"))).alias("_left"),
-        F.min(F.when((i > p) & (F.col("_rb").isNull() | (i < F.col("_rb"))), F.col("u"))).alias("_right"),
+    stops = beyond.where("stop is not null").select(*keys, F.col("stop").alias("chunk"), "h", "to_left").distinct()
+
+    def at_stop(queries: pa.Table, all_: pa.Table) -> pa.Table:
+        order = np.argsort(all_["i"].to_numpy())
+        u = all_["u"].to_numpy()[order]
+        bases = []
+        for h, to_left in zip(queries["h"].to_pylist(), queries["to_left"].to_pylist()):
+            part = u[::-1] if to_left else u  # from the peak's side on
+            bases.append(part[: int((part > h).argmax())].min(initial=np.inf))
+        return queries.append_column("edge", pa.array(bases, pa.float64()))
+
+    edges = (
+        stops.groupBy(*place)
+        .cogroup(points.groupBy(*place))
+        .applyInArrow(at_stop, schema_of(*place, "h", to_left=flag, edge=number))
+        .withColumnRenamed("chunk", "stop")
     )
+    far = beyond.join(edges, [*keys, "stop", "h", "to_left"], "left").groupBy(*place, "h").agg(
+        F.min(F.when(F.col("to_left"), F.least("base", "edge"))).alias("far_left"),
+        F.min(F.when(~F.col("to_left"), F.least("base", "edge"))).alias("far_right"),
+    )
+    h = F.col("h")
+    joined = near.join(far, [*place, "h"], "left")
+    left = F.least("left", F.when(F.col("left_open"), F.col("far_left")))
+    right = F.least("right", F.when(F.col("right_open"), F.col("far_right")))
+    return joined.select(*keys, "p", "h", (h - F.greatest(left, right)).alias("prominence"))
 
-    def far(left: bool) -> DataFrame:
-        if left:
-            waiting = near.where(F.col("_lb").isNull() & (home > 1))
-            beyond, nearest = F.col("chunk") < home - 1, F.max
-        else:
-            waiting = near.where(F.col("_rb").isNull() & ((home + 2) * size < F.col("n")))
-            beyond, nearest = F.col("chunk") > home + 1, F.min
-        waiting = waiting.select(*peak_id)
-        stop = (
-            waiting.join(extents, list(keys))
-            .where(beyond)
-            .groupBy(*peak_id)
-            .agg(nearest(F.when(F.col("_hi") > h, F.col("chunk"))).alias("_stop"))
-        )
-        open_side = F.col("_stop").isNull()
-        passed = open_side | (F.col("chunk") > F.col("_stop") if left else F.col("chunk") < F.col("_stop"))
-        between = (
-            stop.join(extents, list(keys))
-            .where(beyond & passed)
-            .groupBy(*peak_id)
-            .agg(F.min("_lo").alias("_base"))
-        )
-        last = stop.where(~open_side).join(
-            points.withColumnRenamed("chunk", "_stop"), [*keys, "_stop"]
-        )
-        edge = last.groupBy(*peak_id, "_stop").agg(nearest(F.when(higher, i)).alias("_edge"))
-        inside = edge.join(points.withColumnRenamed("chunk", "_stop"), [*keys, "_stop"]).where(
-            i > F.col("_edge") if left else i < F.col("_edge")
-        )
-        rest = inside.groupBy(*peak_id).agg(F.min("u").alias("_base"))
-        name = "_far_left" if left else "_far_right"
-        return between.union(rest).groupBy(*keys, "p").agg(F.min("_base").alias(name))
 
-    joined = near.join(far(True), [*keys, "p"], "left").join(far(False), [*keys, "p"], "left")
-    left_base = F.least(h, F.col("_left"), F.col("_far_left"))
-    right_base = F.least(h, F.col("_right"), F.col("_far_right"))
-    return joined.select(*keys, "p", "h", (h - F.greatest(left_base, right_base)).alias("prominence"))
+def nearest_higher(
+    chunks: np.ndarray, lows: np.ndarray, highs: np.ndarray, home: np.ndarray, height: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``chunks`` of the nearest one before ``home`` whose high is above ``height`` (-1: none).
+
+    With it comes the least low of the chunks between. Chunks ascend; extents of 1, 2, 4, ... chunks
+    let all queries step back together in a logarithm of their number.
+    """
+    tops, bottoms = [highs], [lows]
+    while len(tops[-1]) > (half := 1 << (len(tops) - 1)):
+        tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+        bottoms.append(np.minimum(bottoms[-1][:-half], bottoms[-1][half:]))
+    at = np.searchsorted(chunks, home, side="left")
+    base = np.full(len(home), np.inf)
+    for level in reversed(range(len(tops))):
+        back = at - (1 << level)
+        jump = back >= 0
+        jump[jump] = tops[level][back[jump]] <= height[jump]
+        base[jump] = np.minimum(base[jump], bottoms[level][back[jump]])
+        at = np.where(jump, back, at)
+    return at - 1, base
 
 
 def contraction_count(
@@ -387,8 +468,7 @@ def contraction_count(
     marks = stage(marks.withColumn("chunk", series.chunk_of("i", size)), place, [*place, "i"])
     points = marks.select(*place, "i", "u")
     peaks = with_figures(local_maxima(marks, keys), "p", "floor_height").where("h >= floor_height")
-    apart = with_figures(spaced_long(peaks, params.distance, keys, size), "p", "n")
-    apart = stage(apart, place, [*place, "p"])
+    apart = spaced_long(peaks, params.distance, keys, size)
     found = with_figures(prominences_long(apart, points, keys, size), "p", "deviation")
     counted = (
         found.where(F.col("prominence") >= F.col("deviation") * 0.5)

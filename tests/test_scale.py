@@ -81,3 +81,38 @@ def test_header_parsing_moves_no_rows(spark):
 
     rows = spark.createDataFrame([("1", "1 1 4 10\n1.dat 16 100(0)/bpm 12 0 0 0 0 FHR\n#pH 7.1")], "record_id string, content string")
     assert "Exchange" not in headers.parse_headers(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_higher_extent():
+    import numpy as np
+
+    from cardiolake.operators.contractions import nearest_higher
+
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 3, 17, 64):
+        chunks = np.sort(rng.choice(200, m, replace=False))
+        highs = rng.integers(0, 9, m).astype(float)
+        lows = highs - rng.integers(0, 9, m)
+        home, height = rng.integers(-2, 203, 300), rng.integers(-1, 10, 300).astype(float)
+        stop, base = nearest_higher(chunks, lows, highs, home, height)
+        for k in range(300):
+            before = [j for j in range(m) if chunks[j] < home[k]]
+            want = next((j for j in reversed(before) if highs[j] > height[k]), -1)
+            assert stop[k] == want and base[k] == min([lows[j] for j in before if j > want], default=np.inf)
+
+
+def test_level_peaks_are_settled_as_one_by_one(spark):
+    """Equal and rising peaks in one long session: the same as taking the highest, latest first."""
+    import random
+
+    from cardiolake.operators.contractions import settled_sessions
+
+    rng = random.Random(2)
+    for heights in ([5.0] * 400, [float(k) for k in range(400)], [float(rng.randrange(4)) for _ in range(400)]):
+        peaks = [(k * 7 + rng.randrange(5), h) for k, h in enumerate(heights)]
+        kept = []
+        for h, p in sorted(((h, p) for p, h in peaks), reverse=True):
+            if all(abs(p - q) >= 40 for q in kept):
+                kept.append(p)
+        rows = spark.createDataFrame([("a", p, h) for p, h in peaks], "record_id string, p long, h double")
+        assert sorted(r["p"] for r in settled_sessions(rows, 40, ["record_id"]).collect()) == sorted(kept)
