@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
+from cardiolake.operators.staging import stage
 
 # Texts shown to clinicians.
 BASELINE_LOW_TEXT = "ברדיקרדיה - קצב בסיסי %.0f bpm"
@@ -166,8 +167,10 @@ def overlay(decels: DataFrame, sampling_rate: float = 4.0, labelled: int = 5) ->
     """Plot rows: minutes, fill colour by type and a label for the first few per record.
 
     The rank limit is applied before the shuffle, so each task sends at most ``labelled`` rows
-    per record; the join back to all rows is by event.
+    per record; the join back to all rows is by event. Events are read twice, so they are written
+    once: nothing that finds them runs again.
     """
+    decels = stage(decels, ["record_id"], ["record_id", "start_idx"])
     kind = F.col("decel_type")
 
     def by_type(part: int) -> Column:

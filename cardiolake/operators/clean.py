@@ -117,23 +117,6 @@ def clean(
     return series.core_rows(df, size).drop(*hidden)
 
 
-def median_filter(
-    samples: DataFrame,
-    column: str,
-    window: int = 5,
-    keys: Sequence[str] = series.KEYS,
-    size: int = CHUNK,
-) -> DataFrame:
-    """Centred rolling median of the present values; also fills gaps within reach of a value."""
-    if window < 2:
-        return samples
-    reach = window // 2
-    placed = series.with_halo(samples, reach, reach, size)
-    around = series.by_chunk(keys).rowsBetween(-reach, reach)
-    smoothed = placed.withColumn(column, F.percentile(F.col(column), F.lit(0.5)).over(around))
-    return series.core_rows(smoothed, size)
-
-
 def gap_regions(
     samples: DataFrame,
     column: str,

@@ -42,19 +42,21 @@ def feature_name_rows(positions: DataFrame) -> DataFrame:
     )
 
 
-def rule_features(contractions: Column | None = None) -> dict[str, Column]:
+def rule_features(contractions: Column | None = None, loose: bool = False) -> dict[str, Column]:
     """Rule features of a row with the per-record findings.
 
     Expects ``baseline, variability_value, variability_category, late_count, variable_count,
     decel_count, tachysystole, sinusoidal``. Without a contraction count the recurrence flag is 0.
+    ``loose`` accepts rows without a variability (see ``default_variability``).
     """
+    value = F.col("variability_value")
     flags = scalar.one_hot(F.col("variability_category"))
     recurrent = recurrent_for_features(
         F.col("decel_count"), F.lit(0) if contractions is None else contractions
     )
     columns = [
         F.col("baseline") / 160.0,
-        F.col("variability_value") / 25.0,
+        (default_variability(value) if loose else value) / 25.0,
         *flags.values(),
         F.col("late_count") / 10.0,
         F.col("variable_count") / 10.0,
@@ -83,9 +85,9 @@ def with_findings(
     return windows.join(findings, on)
 
 
-def fuse(embedded: DataFrame, contractions: Column | None = None) -> DataFrame:
+def fuse(embedded: DataFrame, contractions: Column | None = None, loose: bool = False) -> DataFrame:
     """Add ``features array<float>[1035]`` to embedded windows with findings."""
-    named = rule_features(contractions)
+    named = rule_features(contractions, loose)
     vector = F.concat("embedding", F.array(*[c.cast("float") for c in named.values()]))
     checked = F.when(F.size(vector) == FEATURE_COUNT, vector).otherwise(
         F.raise_error(F.lit(f"feature vector must be {FEATURE_COUNT}-dimensional")).cast("array<float>")
@@ -99,9 +101,3 @@ def rule_part(features: Column) -> Column:
 
 def embedding_part(features: Column) -> Column:
     return F.slice(features, 1, DIMENSION)
-
-
-def as_vector(df: DataFrame, column: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn(column, array_to_vector(column))

@@ -12,10 +12,6 @@ from cardiolake.operators import series
 from cardiolake.params import CHUNK, CleanParams
 
 
-def valid_values(samples: DataFrame, value: str) -> DataFrame:
-    return samples.where(F.col(value).isNotNull())
-
-
 def signal_summary(
     samples: DataFrame,
     value: str,

@@ -406,6 +406,15 @@ def rule_feature_columns(spark, folder):
     return rounded(order_findings(spark, folder).select("record_id", *[c.alias(n) for n, c in named.items()]))
 
 
+def loose_rule_features(spark, folder):
+    """Rule features of rows whose variability may be missing or zero."""
+    named = features.rule_features(F.col("early_count"), loose=True)
+    rows = order_findings(spark, folder).withColumn(
+        "variability_value", F.when(F.col("record_id") % 5 > 0, F.col("variability_value"))
+    )
+    return rounded(rows.select("record_id", *[c.alias(n) for n, c in named.items()]))
+
+
 def _labels(spark, folder):
     """A label per record from its name, known to both engines."""
     records = samples_from_events(spark, folder).select("record_id").distinct()
@@ -808,7 +817,7 @@ QUERIES: dict[str, Query] = {
         recurrence_rules, tail_segments, local_maxima, uc_upper_quartile, contraction_peaks,
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,
         sinusoidal_default, sinusoidal_five_minutes, rule_engine, rule_engine_per_window,
-        prepared_windows, window_embeddings, rule_feature_columns, feature_rows,
+        prepared_windows, window_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
         feature_tail_per_window, dataset_roundtrip, dataset_audit, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
         ingested_samples, ingest_quarantine,

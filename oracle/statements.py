@@ -261,6 +261,9 @@ STATEMENTS: dict[str, str] = {
     "rule_engine": f"with {RULES_RAW},{ALL_FINDINGS} select * replace (round(baseline_confidence, 6) as baseline_confidence) from fx",
     "rule_engine_per_window": PER_WINDOW,
     "prepared_windows": PREPARED,
+    "loose_rule_features": f"with {FINDINGS} select record_id, "
+    + RULE_FEATURES.replace("variability_value /", "case when record_id % 5 = 0 or variability_value = 0 then 10.0::double else variability_value end /").format(recurrent="case when early_count > 0 and decel_count / early_count::double > 0.5 then 1.0::double else 0.0::double end")
+    + " from fx",
     "rule_feature_columns": f"with {FINDINGS} select record_id, "
     + RULE_FEATURES.format(recurrent="case when early_count > 0 and decel_count / early_count::double > 0.5 then 1.0::double else 0.0::double end")
     + " from fx",
