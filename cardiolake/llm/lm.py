@@ -96,6 +96,25 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """(word, n) of the most frequent words, at most ``most``, in descending order.
+
+    A histogram over sixteenths of the count's binary logarithm (about a thousand rows at most) tells
+    from which count on words fit, so that no task sends a list of its own.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    words = counts.filter("word <> X''").select("word", "n", level.alias("level"))
+    room, least = most, None
+    for r in sorted(words.groupBy("level").count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    if least is None:
+        return []
+    found = words.filter(F.col("level") >= least).select("word", "n").collect()
+    return sorted(found, key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 @dataclass
 class Weights:
     """Scores are (r1 @ m1 + r2 @ m2) . q + b for the classes r1, r2 before a token."""
@@ -129,6 +148,14 @@ def noise_share(vocabulary: Vocabulary) -> np.ndarray:
     return counts / counts.sum()
 
 
+def add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """out[index] += rows where an index may repeat: rows are summed by index first."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out[ordered[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Trainer:
     """Noise-contrastive steps over minibatches that share their noise classes; Adagrad rates."""
 
@@ -151,12 +178,11 @@ class Trainer:
         gn = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
         dguess = gt[:, None] * qt + gn @ qn
         dq, db, dr = np.zeros_like(w.q), np.zeros_like(w.b), np.zeros_like(w.r)
-        np.add.at(dq, target, gt[:, None] * guess)
-        np.add.at(dq, noise, gn.T @ guess)
+        add_rows(dq, target, gt[:, None] * guess)
+        add_rows(dq, noise, gn.T @ guess)
         db += np.bincount(target, gt, len(db)).astype(np.float32)
         db += np.bincount(noise, gn.sum(0), len(db)).astype(np.float32)
-        np.add.at(dr, c1, dguess @ w.m1.T)
-        np.add.at(dr, c2, dguess @ w.m2.T)
+        add_rows(dr, np.concatenate([c1, c2]), np.concatenate([dguess @ w.m1.T, dguess @ w.m2.T]))
         for k, g in (("r", dr), ("q", dq), ("b", db), ("m1", r1.T @ dguess), ("m2", r2.T @ dguess)):
             g /= size
             seen = self.seen[k]
@@ -287,7 +313,7 @@ def score(
     counts = written(count_words(learning, text_col), "lm-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    hot_rows = counts.filter("word <> X''").orderBy(F.desc("n"), "word").limit(shape.known).collect()
+    hot_rows = frequent_words(counts, shape.known)
     ends = counts.filter("word = X''").first()
     frequent = hot_rows[: shape.frequent]
     groups = np.zeros((shape.groups, 3))
