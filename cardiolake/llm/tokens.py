@@ -16,7 +16,7 @@ _PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _MIXED = re.compile(r"[^\S \t-\r][ \t-\r]")
 # Marks that form one pre-token after letters (the apostrophe may belong to the word).
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 _AT_ONCE = 250
 
 
