@@ -180,3 +180,71 @@ def test_components_of_chains_stars_and_loops(spark):
     assert len({roots[i] for i in range(201)}) == 1 and len({roots[1000 + i] for i in range(100)}) == 1
     assert roots[0] != roots[1000]
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+# --- groups by similarity -------------------------------------------------------------------
+
+
+def slow_alike(texts, words=5, least=0.8):
+    """Least reachable id and all pairs below equality, by comparing shingle sets over an index."""
+    sets = {}
+    for d, text in texts.items():
+        w = (text or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    holders = {}
+    for d in sorted(sets):
+        for s in sets[d] or {None}:
+            holders.setdefault(s, []).append(d)
+    root, pairs = {d: d for d in sets}, []
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d in sorted(sets):
+        common = {}
+        for s in sets[d] or {None}:
+            for e in holders[s]:
+                if e < d:
+                    common[e] = common.get(e, 0) + 1
+        for e, c in common.items():
+            if sets[d] == sets[e] or c / (len(sets[d]) + len(sets[e]) - c) >= least:
+                pairs += [(e, d)] if sets[d] != sets[e] else []
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in sets}, pairs
+
+
+def test_alike_groups_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    expected, pairs = slow_alike(texts)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs).collect()}
+    far = [(a, b) for a, b in pairs if bin(slow_simhash(texts[a]) ^ slow_simhash(texts[b])).count("1") > 4]
+    assert far and all(found[a] == found[b] for a, b in far)
+    assert found == expected
+
+
+def test_alike_finds_edited_copies_and_no_others(docs_of):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        near, far = list(words), list(words)
+        for at in rng.sample(range(10, 290), 5):
+            near[at] = "edited"
+        for at in range(10, 290, 20):
+            far[at] = "changed"
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(far))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs_of(rows)).collect()}
+    assert found == slow_alike(dict(rows))[0] and all(found[10 * i + 1] == 10 * i for i in range(60))
+    assert len(set(found.values())) == 120
+
+
+def test_alike_of_odd_rows(odd):
+    more = odd.withColumns({c: F.lit("x") for c in ("node", "n", "low", "bits", "component_id", "version")})
+    rows = simhash.alike(more).collect()
+    by = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == 9 and by == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, None: None}
+    assert simhash.alike(odd.limit(0)).collect() == []
