@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_GAP = 12  # words between two triples of one notice
+_COMMENT = frozenset(["dnl", "rem"])  # comment marks that are words; all others are no words at all
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 UNKNOWN = "unknown"
 
@@ -85,6 +89,16 @@ class Model:
     telling: frozenset[str]  # words without which no paragraph is examined
     templates: dict[str, list[frozenset[str]]]
 
+    @cached_property
+    def places(self) -> dict[str, list[tuple[str, int]]]:
+        """The templates, as (family, number), that hold a triple."""
+        out = defaultdict(list)
+        for family, all_triples in self.templates.items():
+            for k, triples in enumerate(all_triples):
+                for triple in triples:
+                    out[triple].append((family, k))
+        return dict(out)
+
     def row(self, words: list[str]) -> np.ndarray:
         x = np.zeros(len(self.weights), np.float32)
         get = self.index.get
@@ -235,10 +249,10 @@ def fit(docs: DataFrame, text_col: str = "text", negatives: int = 3000, template
 def scan(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, licences) of every row: the paragraphs that hold a licence notice.
+    """(id, licences) of every row: the lines and paragraphs that hold a licence notice.
 
-    ``licences`` lists (start, stop, family, probability, likeness) of lines, by code points of the
-    whole text; it is empty for NULL or empty texts and texts without notices. Repeated rows give
+    ``licences`` lists (start, stop, family, probability, likeness) of a line, or of the consecutive
+    lines over which a notice is wrapped, comment marks aside, by code points of the whole text; it is empty for NULL or empty texts and texts without notices. Repeated rows give
     repeated results; other columns are ignored; no rows give none. No shuffle: a task examines lines
     that hold a telling word (one of a template that ordinary paragraphs lack).
     """
@@ -270,14 +284,90 @@ def scan(
 
 
 def notices(model: Model, screen: re.Pattern, text: str | None) -> list[dict]:
-    """The licence notices of one text, line by line."""
+    """The licence notices of one text: single lines, and notices that run over lines of a paragraph."""
     text = text or ""
-    out = []
-    for start, stop in _lines(text, text.lower(), screen):
-        got = model.classify(text[start:stop])
-        if got:
-            out.append({"start": start, "stop": stop, "family": got[0], "probability": got[1], "likeness": got[2]})
-    return out
+    out, past = [], -1
+    found = [(a, b, model.classify(text[a:b])) for a, b in _lines(text, text.lower(), screen)]
+    lines = {a: (a, b, got[0], got[1], got[2]) for a, b, got in found if got}
+    for start, _, _ in found:
+        if start < past:
+            continue
+        paragraph = _paragraph(text, start)
+        past = paragraph[-1][1] + 1
+        for first, last, parts, got in _wrapped(model, text, paragraph):
+            hit = [i for i in range(first, last + 1) if lines.get(paragraph[i][0], " " * 3)[2] == got[0]]
+            if parts - set(hit):
+                for i in hit:
+                    del lines[paragraph[i][0]]
+                out.append((paragraph[first][0], paragraph[last][1], *got))
+    names = ("start", "stop", "family", "probability", "likeness")
+    return [dict(zip(names, x)) for x in sorted([*lines.values(), *out])]
+
+
+def _paragraph(text: str, start: int) -> list[tuple[int, int]]:
+    """The consecutive lines with words around the line that begins at ``start``."""
+    end = text.find("\n", start)
+    own = (start, len(text) if end < 0 else end)
+    before, after = [], []
+    at = start
+    while at > 0:
+        low = text.rfind("\n", 0, at - 1) + 1
+        if not _WORD.search(text, low, at - 1):
+            break
+        before.append((low, at - 1))
+        at = low
+    at = own[1] + 1
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if not _WORD.search(text, at, end):
+            break
+        after.append((at, end))
+        at = end + 1
+    return [*reversed(before), own, *after]
+
+
+def _wrapped(
+    model: Model, text: str, paragraph: list[tuple[int, int]]
+) -> list[tuple[int, int, set[int], tuple[str, float, float]]]:
+    """(first line, last line, lines with triples of its template, class) of notices over several lines.
+
+    Where triples of one template follow each other closely and make half of it, the words from the
+    first to the last of them are classified like a line. Of overlapping notices the likest stays.
+    """
+    if len(paragraph) < 2:
+        return []
+    words: list[str] = []
+    line: list[int] = []
+    for i, (a, b) in enumerate(paragraph):
+        own = words_of(text[a:b])
+        own = own[1:] if own[0] in _COMMENT else own
+        words += own
+        line += [i] * len(own)
+    hits: dict[tuple[str, int], list[tuple[int, str]]] = defaultdict(list)
+    for at, three in enumerate(zip(words, words[1:], words[2:])):
+        triple = " ".join(three)
+        for key in model.places.get(triple, ()):
+            hits[key].append((at, triple))
+    found = []
+    for (family, k), places in hits.items():
+        size = len(model.templates[family][k])
+        low = 0
+        for high in range(1, len(places) + 1):
+            if high < len(places) and places[high][0] - places[high - 1][0] <= _GAP:
+                continue
+            group, low = places[low:high], high
+            first, last = group[0][0], group[-1][0] + 2
+            if 2 * len({t for _, t in group}) < size or line[first] == line[last]:
+                continue
+            got = model.classify(" ".join(words[first : last + 1]))
+            if got and got[0] == family:
+                found.append((line[first], line[last], {line[at + j] for at, _ in group for j in range(3)}, got))
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[3][2], x[0] - x[1], x[0])):
+        if all(x[1] < y[0] or y[1] < x[0] for y in kept):
+            kept.append(x)
+    return kept
 
 
 def _lines(text: str, low: str, screen: re.Pattern) -> Iterator[tuple[int, int]]:

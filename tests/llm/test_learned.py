@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -178,3 +179,27 @@ def test_licences_of_odd_rows(spark, odd, docs_of, licence_model):
     rows = licences.scan(docs, licence_model).collect()
     assert [(x["start"], x["stop"]) for r in rows for x in r["licences"]] == [(8, 28), (0, 20), (0, 20)]
     assert licences.scan(odd.limit(0), licences.fit(odd.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("mark,width", [("", 72), ("// ", 79), (" * ", 70), ("# ", 76), ("dnl ", 74)])
+def test_wrapped_notices(docs_of, licence_model, mark, width):
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    )
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    )
+    wrap = lambda x: textwrap.wrap(x, width, initial_indent=mark, subsequent_indent=mark)
+    lines = ["int main;", "", *wrap("Copyright of the people who wrote this"), mark, *wrap(mit), mark, *wrap("It ends here."), *wrap(gpl), "int more;"]
+    text = "\n".join(lines)
+    found = licences.scan(docs_of([(1, text), (2, "\n".join(wrap(mit))), (3, "\n".join(wrap(gpl)))]), licence_model)
+    rows = {r["doc_id"]: r["licences"] for r in found.collect()}
+    assert [[x["family"] for x in rows[d]] for d in (1, 2, 3)] == [["mit", "gpl-3.0"], ["mit"], ["gpl-3.0"]]
+    first, second = (text[x["start"] : x["stop"]] for x in rows[1])
+    assert first.startswith(f"{mark}Permission is") and "copies of the" in first and first.split("\n") == [x for x in lines if x in first.split("\n")]
+    assert second.split("\n") == wrap(gpl)
