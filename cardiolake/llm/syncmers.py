@@ -25,21 +25,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
+def _itself(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Short data as its own anchor, at place 0."""
+    h = np.array([len(data)], np.uint64)
+    for w in np.frombuffer(data.ljust(-(-len(data) // 8) * 8, b"\0"), "<u8"):
+        h = _mix(h * _M2 ^ w)
+    return np.zeros(1, np.int64), h
+
+
 def syncmers(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(byte positions, 64-bit hashes) of the closed syncmers of ``data``.
 
     A k-mer is kept if the least hash among its s-mers lies at its first or last place. That depends
     on its own bytes only, so equal passages carry equal anchors wherever they stand. ``data`` of
-    fewer than k bytes has one anchor, itself; empty data has none. 1 <= s <= 8 <= k, s < k.
+    fewer than k bytes, or without a closed syncmer (below 2k - s - 1 bytes), has one anchor, itself;
+    empty data has none. 1 <= s <= 8 <= k, s < k.
     """
     if not data:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < k:
-        words = np.frombuffer(data.ljust(-(-len(data) // 8) * 8, b"\0"), "<u8")
-        h = np.array([len(data)], np.uint64)
-        for w in words:
-            h = _mix(h * _M2 ^ w)
-        return np.zeros(1, np.int64), h
+        return _itself(data)
     words = np.ndarray((len(data) - 7,), "<u8", data + b"\0", 0, (1,))  # the 8 bytes from each place on
     if s < 8:
         tail = np.frombuffer(data[-8:] + b"\0" * 8, np.uint8)
@@ -56,6 +61,8 @@ def syncmers(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarra
         width += step
     least = least[:count]
     at = np.flatnonzero((h[:count] == least) | (h[span - 1 : span - 1 + count] == least))
+    if not len(at):
+        return _itself(data)
     value = np.zeros(len(at), np.uint64)
     for place in [*range(0, k - 8, 8), k - 8]:
         value = _mix(value * _M2 ^ words[at + place])

@@ -45,6 +45,17 @@ def test_short_and_empty():
     assert syncmers.likeness(syncmers.sketch(b"tiny"), syncmers.sketch(b"")) == 0.0
 
 
+def test_every_short_text_has_an_anchor():
+    rng = random.Random(1)
+    for n in range(1, 31):
+        texts = {bytes(rng.choices(b"abcdefghijklmnop ", k=n)) for _ in range(60)}
+        prints = [syncmers.sketch(x) for x in texts]
+        assert all(len(p) for p in prints)
+        assert all(syncmers.likeness(p, syncmers.sketch(b"")) == 0.0 and syncmers.likeness(p, p) == 1.0 for p in prints)
+        if 4 < n < 17:
+            assert len({p.tobytes() for p in prints}) == len(texts)
+
+
 def check_fingerprints(rows, source):
     order = sorted(source, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     expected = []
