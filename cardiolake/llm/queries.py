@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import langid, licences, lm, mixing, neighbours, packing, simhash, substrings, syncmers, token_file
+from cardiolake.llm import (
+    clustering,
+    importance,
+    jaccard,
+    langid,
+    licences,
+    lm,
+    mixing,
+    neighbours,
+    packing,
+    simhash,
+    substrings,
+    syncmers,
+    token_file,
+)
 from cardiolake.llm.shared import fold
+from cardiolake.llm.statements import STATEMENTS  # noqa: F401  read by the entry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +93,20 @@ def op10_log_bilinear_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+def op11_ns_bounds_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return clustering.with_inertia(clustering.cluster(vectors, dim=64, k=8, rounds=10, scale=1024, seed=3))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return importance.resample(documents(spark, folder), benchmark, percent=10, least_words=20)
+
+
+def op13_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(documents(spark, folder), words=5, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -91,8 +120,8 @@ QUERIES: dict[str, Query] = {
         op8_byte_cnn_language,
         op9_mixing_tree,
         op10_log_bilinear_scores,
+        op11_ns_bounds_clustering,
+        op12_importance_resampling,
+        op13_jaccard_join,
     )
 }
-
-# DuckDB SQL of the queries that SQL can state.
-STATEMENTS: dict[str, str] = {}
