@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardiolake.llm.shared import components, written
+from cardiolake.llm.shared import components, dropped, new_path, written
 
 # Sets of one scan hold about this many shingles; larger collections are cut into blocks of this size.
 _SCAN = 100_000
@@ -52,18 +52,24 @@ def _head(n: int, percent: int) -> tuple[int, int]:
     return n - common + shared, shared
 
 
+def _lists(values: pa.Array, owner: np.ndarray, size: int) -> pa.ListArray:
+    """Values, ordered by their owner, as one list an owner."""
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=size))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def heads(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, text1, text2, d1, d2, n, sure, need, head) of every row.
+    """(id, text1, text2, d1, d2, n, sure, need, head, met) of every row.
 
     (d1, d2) is a 128-bit digest of the shingle set, (text1, text2) one of the text; ``need`` shared
     shingles among the least ones are what a set with a partner has. ``sure`` of them are met in
     another set of the same Arrow batch already, and ``head`` holds the others, which the cluster has to
-    look up. Of shingles met in a batch only the first holder sends one, with a second holder, so a
-    frequent shingle is sent once a batch. A set that its task has met before sends no head.
+    look up. Of shingles met in a batch only the first holder sends one, as ``met`` with a second holder,
+    so a frequent shingle is sent once a batch. A set that its batch has met before sends nothing.
     """
     schema = (
         f"id {docs.schema[id_col].dataType.simpleString()}, text1 long, text2 long, d1 long, d2 long, "
-        "n long, sure long, need long, head array<struct<token: long, other: long>>"
+        "n long, sure long, need long, head array<long>, met array<struct<token: long, other: long>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,21 +97,22 @@ def heads(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
             length = np.diff(np.append(start, len(token)))
             many = np.repeat(length, length) > 1
             np.add.at(sure, owner[many], 1)
-            other = digests[owner[start], 0].copy()
-            other[length > 1] = digests[owner[start[length > 1] + 1], 0]
-            by_owner = np.argsort(owner[start], kind="stable")
-            sent = pa.StructArray.from_arrays(
-                [pa.array(token[start][by_owner].view(np.int64)), pa.array(other[by_owner])], ["token", "other"]
-            )
-            ends = np.append(0, np.cumsum(np.bincount(owner[start], minlength=size))).astype(np.int32)
+            twice = length > 1
+            other = digests[owner[start[twice] + 1], 0]
+            alone = token[start[~twice]].view(np.int64), owner[start[~twice]]
+            first = token[start[twice]].view(np.int64), owner[start[twice]]
+            order = np.argsort(first[1], kind="stable")
+            pairs = pa.StructArray.from_arrays([pa.array(first[0][order]), pa.array(other[order])], ["token", "other"])
+            order = np.argsort(alone[1], kind="stable")
             # A shingle that is sent and sure is looked up too, and must not count twice.
-            both = np.bincount(owner[start[length > 1]], minlength=size)
+            both = np.bincount(first[1], minlength=size)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), batch.column(2), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                    pa.array(counts), pa.array(sure - both), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), sent),
+                    pa.array(counts), pa.array(sure - both), pa.array(needs, pa.int64()),
+                    _lists(pa.array(alone[0][order]), alone[1], size), _lists(pairs, first[1], size),
                 ],
-                names=["id", "text1", "text2", "d1", "d2", "n", "sure", "need", "head"],
+                names=["id", "text1", "text2", "d1", "d2", "n", "sure", "need", "head", "met"],
             )
 
     text = F.col(text_col).cast("string")
@@ -114,15 +121,46 @@ def heads(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
 
 
 def promising(rows: DataFrame) -> DataFrame:
-    """(d1, d2) of the sets that share enough of their least shingles; loses none that has a partner."""
-    sent = rows.select("d1", "d2", F.explode("head").alias("h")).select("d1", "d2", "h.token", "h.other")
+    """d1 of the sets that share enough of their least shingles; loses none that has a partner.
+
+    Sets of equal d1 count as one with the shared shingles of both, which loses none either.
+    """
+    alone = F.transform("head", lambda t: F.struct(t.alias("token"), F.col("d1").alias("other")))
+    sent = rows.select("d1", F.explode(F.concat(alone, "met")).alias("h")).select("d1", "h.token", "h.other")
     over = Window.partitionBy("token")  # one row a batch that has met the shingle
     met = F.min(F.least("d1", "other")).over(over) != F.max(F.greatest("d1", "other")).over(over)
-    shared = sent.select("d1", "d2", met.alias("met")).filter("met")
-    counted = shared.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("shared"))
-    figures = rows.groupBy("d1", "d2").agg(F.max("need").alias("need"), F.max("sure").alias("sure"))
-    both = figures.join(counted, ["d1", "d2"], "left").filter("need > 0")
-    return both.filter(F.col("sure") + F.coalesce("shared", F.lit(0)) >= F.col("need")).select("d1", "d2")
+    shared = sent.select("d1", met.alias("met")).filter("met").groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
+    figures = rows.filter("need > 0").groupBy("d1").agg(F.min("need").alias("need"), F.max("sure").alias("sure"))
+    both = figures.join(shared, "d1", "left")
+    return both.filter(F.col("sure") + F.coalesce("shared", F.lit(0)) >= F.col("need")).select("d1")
+
+
+def opened(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, open_): every row, every set, and (node, n, text1, text2) of the promising sets."""
+    path = new_path(docs.sparkSession, "jaccard-heads")
+    found = written(heads(docs, id_col, text_col, words, percent), path=path)
+    rows = written(found.select("id", "text1", "text2", "d1", "d2", "n"), "jaccard-rows")
+    nodes = written(nodes_of(rows), "jaccard-nodes")
+    open_ = nodes.join(promising(found), "d1").select("node", "n", "text.text1", "text.text2")
+    open_ = written(open_, "jaccard-open")
+    dropped(docs.sparkSession, path)
+    return rows, nodes, open_
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(d1, d2, first_id, n, text, node): one row a set, with a number of its own (write it before use)."""
+    nodes = rows.groupBy("d1", "d2").agg(
+        F.min("id").alias("first_id"), F.max("n").alias("n"), F.min(F.struct("text1", "text2")).alias("text")
+    )
+    return nodes.withColumn("node", F.monotonically_increasing_id())
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the rows of ``chosen`` (node, text1, text2)."""
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("text1"), F.xxhash64(text, F.lit(1)).alias("text2"), text.alias("text"))
+    # Chosen sets grow with the input, so they are never broadcast.
+    return texts.join(chosen.hint("merge"), ["text1", "text2"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def postings(docs: DataFrame, chosen: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -135,16 +173,15 @@ def postings(docs: DataFrame, chosen: DataFrame, text_col: str, words: int) -> D
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"]
             )
 
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(text).alias("text1"), F.xxhash64(text, F.lit(1)).alias("text2"), text.alias("text"))
-    texts = texts.join(chosen, ["text1", "text2"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts_of(docs, chosen, text_col)
     return texts.mapInArrow(run, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
 
 
 def shared_postings(all_: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(node, n, token, df) of the shingles held by several sets, of the sets whose shared ones may do."""
+    path = new_path(all_.sparkSession, "jaccard-shared")
     held = all_.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    found = written(all_.join(held, "token").select("node", "token", "df"), "jaccard-shared")
+    found = written(all_.join(held, "token").select("node", "token", "df"), path=path)
     enough = (
         found.groupBy("node")
         .agg(F.count(F.lit(1)).alias("held"))
@@ -152,7 +189,9 @@ def shared_postings(all_: DataFrame, sizes: DataFrame, percent: int) -> DataFram
         .filter(F.col("held") * 100 >= F.col("n") * percent)
         .select("node", "n", "held")
     )
-    return written(found.join(enough, "node"), "jaccard-sets")
+    sets = written(found.join(enough, "node"), "jaccard-sets")
+    dropped(all_.sparkSession, path)
+    return sets
 
 
 # --- small sets ---------------------------------------------------------------------------------
@@ -249,14 +288,17 @@ def cells(prefix: DataFrame) -> DataFrame:
     lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("len"), F.min("node").alias("hub")).filter("len > 1")
     placed = written(prefix.join(lists, "token"), "jaccard-prefix")
     unit = components(placed.select(F.col("node").alias("u"), F.col("hub").alias("v")), "jaccard-units")
-    rows = written(placed.select("node", "token", "len").join(unit, "node"), "jaccard-unit-rows")
-    sets = rows.groupBy("root").agg(F.sum("len").alias("work"), F.count_distinct("node").alias("m"))
-    whole = sets.filter(F.col("m") * F.col("m") <= F.col("work") * 8).select("root", F.lit(True).alias("whole"))
-    both = rows.join(whole, "root", "left")
-    cell = F.when(F.col("whole"), F.struct(F.lit(0).alias("kind"), F.col("root").alias("id"))).otherwise(
-        F.struct(F.lit(1).alias("kind"), F.col("token").alias("id"))
-    )
-    return both.select(cell.alias("cell"), "node").distinct()
+    unit = written(unit, "jaccard-unit")
+    work = placed.groupBy("node").agg(F.sum("len").alias("work"))
+    sizes = unit.join(work, "node").groupBy("root").agg(F.sum("work").alias("work"), F.count(F.lit(1)).alias("m"))
+    dense = sizes.filter(F.col("m") * F.col("m") <= F.col("work") * 8).select("root")
+    loose = unit.join(dense, "root", "left_anti").select("node")
+    whole = unit.join(dense, "root").select(cell_of(0, "root"), "node")
+    return whole.unionByName(placed.join(loose, "node").select(cell_of(1, "token"), "node"))
+
+
+def cell_of(kind: int, name: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.col(name).alias("id")).alias("cell")
 
 
 def blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -360,6 +402,14 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt_rows.select("part", "node", "n", "tokens").mapInArrow(run, "u long, v long")
 
 
+def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(d1, d2, component_id) of every set, by the (node, root) rows of linked ones."""
+    roots = nodes.select("d1", "d2", "node", "first_id").join(found, "node", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "node"))
+    first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return roots.join(first, "root").select("d1", "d2", "component_id")
+
+
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -375,13 +425,7 @@ def join(
     behind, both without loss. What stays is joined by size: subsets up to ``boundary``, inverted lists
     above; a large set also meets the small ones. Links, not pairs, are formed.
     """
-    rows = written(heads(docs, id_col, text_col, words, percent), "jaccard-heads")
-    nodes = rows.groupBy("d1", "d2").agg(
-        F.min("id").alias("first_id"), F.max("n").alias("n"), F.min(F.struct("text1", "text2")).alias("text")
-    )
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    open_ = nodes.join(promising(rows), ["d1", "d2"]).select("node", "n", "text.text1", "text.text2")
-    open_ = written(open_, "jaccard-open")
+    rows, nodes, open_ = opened(docs, id_col, text_col, words, percent)
     sets = shared_postings(postings(docs, open_.drop("n"), text_col, words), open_.select("node", "n"), percent)
     largest = boundary(sets, percent)
     # A large set may be similar to small ones of at least its least partner's size.
@@ -390,10 +434,7 @@ def join(
     if largest:
         links = links.unionByName(small_links(sets, largest, percent))
     found = components(links, "jaccard-links")
-    roots = nodes.select("d1", "d2", "node", "first_id").join(found, "node", "left")
-    roots = roots.withColumn("root", F.coalesce("root", "node"))
-    first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = roots.join(first, "root").select("d1", "d2", "component_id")
+    label = labelled(nodes, found)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
         rows.select("id", "n", "d1", "d2")

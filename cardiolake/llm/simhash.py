@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardiolake.llm import jaccard
 from cardiolake.llm.shared import components, written
 
 BITS = 64
@@ -152,28 +153,21 @@ def groups(
 
 # --- groups by similarity -------------------------------------------------------------------
 
-# 512 bits are cut into 16 prints; a pair at likeness 0.8 differs in 15 % of its bits,
-# so 140 of 512 is more than seven deviations above it and more than ten below chance (256).
-PLANES, PRINTS, LOW, APART, BESIDE = 8, 16, 8, 140, 4
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Ascending distinct XXH64 values of the word shingles of ``simhash``; no words give none."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not data:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(data[i:] for i in range(words)))) if len(data) >= words else [b" ".join(data)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+# 1,024 bits are cut into 32 prints; a pair at likeness 0.8 differs in 15 % of its bits,
+# so 280 of 1,024 is more than ten deviations above it and more than ten below chance (512).
+PLANES, PRINTS, APART = 16, 32, 280
+_STEP = 0x9E3779B97F4A7C15
+# Members of a print's variant that meet pair by pair; larger collections are linked to their least member.
+_PAIRED = 8
 
 
 def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """A SimHash of 512 bits, as eight 64-bit numbers, over the distinct shingles."""
+    """A SimHash of 1,024 bits, as sixteen 64-bit numbers, over the distinct shingles."""
     out = np.zeros(PLANES, np.int64)
     for plane in range(PLANES if len(hashes) else 0):
         total = np.zeros(BITS, np.int64)
         for low in range(0, len(hashes), _AT_ONCE):
-            h = hashes[low : low + _AT_ONCE] + np.uint64(plane) * _STEP
+            h = hashes[low : low + _AT_ONCE] + np.uint64(plane * _STEP % (1 << 64))
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             _add_bits(total, h ^ (h >> np.uint64(31)))
@@ -181,42 +175,27 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, version, node, n, low, bits) of every row; texts of equal shingle sets share ``node``."""
-    schema = T.StructType(
-        [
-            docs.schema[id_col],
-            T.StructField("version", T.LongType()),
-            T.StructField("node", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("low", T.ArrayType(T.LongType())),
-            T.StructField("bits", T.ArrayType(T.LongType())),
-        ]
-    )
+def wide_prints(docs: DataFrame, chosen: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, bits, tokens) of the sets of ``chosen`` (node, text1, text2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
-            node, n, low, bits = [], [], [], []
-            for text in batch.column(2):
-                found = shingle_set(text.as_py(), words)
-                node.append(_signed(xxhash.xxh3_64_intdigest(found.tobytes())))
-                n.append(len(found))
-                low.append(found[:LOW].view(np.int64))
-                bits.append(wide_bits(found))
-            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(low, longs), pa.array(bits, longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
-
-    return docs.select(id_col, F.xxhash64(text_col).alias("version"), text_col).mapInArrow(run, schema)
-
-
-def close_pairs(near: DataFrame, least: float) -> DataFrame:
-    """(u, v) candidates among (node, n, bits): their likeness may reach ``least``.
-
-    Each of the 16 prints emits its ball of radius 1, so two nodes meet where a print differs in at
-    most two bits. A print has eight bits more than the count of nodes needs (24 to 32), so chance
-    meetings stay rare. Members of a key are put in order of their number of shingles and paired with
-    the four before them: pairs grow with the members, not with their square.
+            sets = [jaccard.shingle_set(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
+            columns = [pa.array([wide_bits(s) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "bits", "tokens"])
+
+    texts = jaccard.texts_of(docs, chosen, text_col)
+    return texts.mapInArrow(run, "node long, bits array<long>, tokens array<long>")
+
+
+def close_cells(near: DataFrame) -> DataFrame:
+    """(cell, node): candidates among (node, bits), together where prints connect them.
+
+    Each print emits its ball of radius 1, so two nodes meet where a print differs in at most two
+    bits. A print has eight bits more than the count of nodes needs (24 to 32), so chance meetings
+    stay rare, and where few meet they are paired and told apart by all bits. Where many meet, they
+    are linked to the least of them: links grow with the members, and none is left out.
     """
     width = min(32, max(24, near.count().bit_length() + 8))
     keys = []
@@ -227,69 +206,40 @@ def close_pairs(near: DataFrame, least: float) -> DataFrame:
             value = value.bitwiseOR(F.shiftleft(F.col("bits")[word + 1], BITS - shift))
         value = value.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 40))
         keys.append(_variants(value, ball(1, list(range(width)))))
-    keyed = near.select("node", "n", F.explode(F.flatten(F.array(*keys))).alias("key"))
-    order = Window.partitionBy("key").orderBy("n", "node")
-    beside = F.array_compact(F.array(*[F.lag("node", k).over(order) for k in range(1, BESIDE + 1)]))
-    met = keyed.select("node", beside.alias("beside")).select("node", F.explode("beside").alias("other"))
-    pairs = met.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-    side = lambda c: near.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    keyed = near.select("node", F.explode(F.flatten(F.array(*keys))).alias("key"))
+    lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
+    met = written(keyed.join(lists, "key"), "alike-met")
+    few = met.filter(F.col("members") <= _PAIRED).select("key", "node")
+    pairs = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key")
+    pairs = pairs.filter("u < v").select("u", "v").distinct()
+    side = lambda c: near.select(F.col("node").alias(c), F.col("bits").alias(f"bits{c}"))
     differ = sum(F.bit_count(F.col("bitsu")[i].bitwiseXOR(F.col("bitsv")[i])) for i in range(PLANES))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.filter((differ <= APART) & (F.least("nu", "nv") >= least * F.greatest("nu", "nv"))).select("u", "v")
-
-
-def shingles_of(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(node, shingles) of the (node, version) rows of ``wanted``."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
-
-    texts = docs.select(F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    chosen = texts.join(wanted, "version").groupBy("node").agg(F.first("text").alias("text"))
-    return chosen.select("node", "text").mapInArrow(run, schema)
+    close = pairs.join(side("u"), "u").join(side("v"), "v").filter(differ <= APART).select("u", "v")
+    many = met.filter(F.col("members") > _PAIRED).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    found = components(close.unionByName(many), "alike-cells")
+    return found.select(jaccard.cell_of(0, "root"), "node")
 
 
 def alike(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8
 ) -> DataFrame:
-    """(id, component_id) of every row: texts are linked if their shingle sets have Jaccard >= ``least``.
+    """(id, component_id) of every row: texts are linked if their shingle sets have Jaccard >= ``least`` (in hundredths).
 
     Shingles are those of ``simhash`` and count once a text; component_id is the least id reachable
     over links. Texts without words are one component. Repeated rows, NULL ids and other columns are
     treated as in ``groups``.
 
-    Texts of one shingle set collapse first. A text goes on if one of its eight least shingle hashes
-    stands among those of another (two texts at 0.8 fail that about once in 10^7). ``close_pairs``
-    proposes pairs by SimHash prints, and an equi-join with the shingle sets decides each one, so no
-    link is wrong; the README has the recall.
+    Texts of one shingle set collapse and sets that share too few shingles with any other are left
+    behind, without loss. ``close_cells`` brings candidates together by SimHash prints, and every
+    link inside a cell is counted on the whole shingle sets, so no link is wrong and none inside a
+    cell is left out; the README has the recall of the prints.
     """
-    rows = written(marks(docs, id_col, text_col, words), "alike")
-    nodes = written(
-        rows.groupBy("node").agg(
-            F.min(id_col).alias("first_id"), F.min("version").alias("version"),
-            *[F.first(c).alias(c) for c in ("n", "low", "bits")],
-        ),
-        "alike-nodes",
-    )
-    lows = nodes.select("node", F.explode("low").alias("key"))
-    shared = lows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
-    meet = lows.join(shared, "key").select("node").distinct()
-    near = written(nodes.select("node", "n", "bits").join(meet, "node", "left_semi"), "alike-near")
-    pairs = written(close_pairs(near, least), "alike-pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = nodes.select("node", "version").join(ends, "node", "left_semi")
-    sets = written(shingles_of(docs, wanted, text_col, words), "alike-sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    common = F.size(F.array_intersect("su", "sv"))
-    counted = pairs.join(side("u"), "u").join(side("v"), "v").select(
-        "u", "v", common.alias("common"), (F.size("su") + F.size("sv")).alias("total")
-    )
-    linked = counted.filter(F.col("common") / (F.col("total") - F.col("common")) >= least)
-    found = components(linked, "alike-links")
-    roots = nodes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = roots.join(first, "root").select("node", "component_id")
-    return rows.select(id_col, "node").join(label, "node").select(id_col, "component_id")
+    percent = round(100 * least)
+    rows, nodes, open_ = jaccard.opened(docs, id_col, text_col, words, percent)
+    prints = written(wide_prints(docs, open_.drop("n"), text_col, words), "alike-prints")
+    postings = prints.select("node", F.explode("tokens").alias("token"))
+    sets = jaccard.shared_postings(postings, open_.select("node", "n"), percent)
+    near = written(prints.select("node", "bits").join(sets.select("node").distinct(), "node"), "alike-near")
+    links = jaccard.cell_links(close_cells(near), sets, percent)
+    label = jaccard.labelled(nodes, components(links, "alike-links"))
+    return rows.select("id", "d1", "d2").join(label, ["d1", "d2"]).select(F.col("id").alias(id_col), "component_id")
