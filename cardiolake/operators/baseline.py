@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
 from cardiolake.operators import series
-from cardiolake.params import CHUNK, BaselineParams
+from cardiolake.params import CHUNK, BaselineParams, WindowParams
 
 
 def baseline_windows(
@@ -58,13 +58,58 @@ def baseline(
     without any valid sample yields 140 with confidence 0.
     """
     windows = baseline_windows(samples, params, value, keys, size)
-    best = F.struct("range", "start_idx", "mean")
     summary = windows.groupBy(*keys).agg(
-        F.min(F.when(F.col("stable"), best)).alias("best"),
+        F.min(F.when(F.col("stable"), F.struct(*_BEST))).alias("best"),
         F.sum("n_valid").alias("n_valid"),
         F.sum("total").alias("total"),
         (F.max("high") - F.min("low")).alias("spread"),
     )
+    return baseline_row(summary, params, keys)
+
+
+def baseline_inside(
+    samples: DataFrame,
+    window: WindowParams = WindowParams(),
+    params: BaselineParams = BaselineParams(),
+    value: str = "fhr",
+    keys: Sequence[str] = series.KEYS,
+    size: int = CHUNK,
+) -> DataFrame:
+    """``baseline`` of every sliding window, keyed by ``(*keys, w)`` with ``chunk`` and bounds.
+
+    Overlapping windows share their two-minute windows: those are found once for the whole series and
+    each window takes the best of the ones inside it from a frame of buckets, so no sample is repeated.
+    """
+    if window.step % params.step:
+        raise ValueError(f"windows start every {window.step} samples, off the grid of {params.step}")
+    unit = series.common_step(params.step, params.window, size)
+    inner = baseline_windows(samples, params, value, keys, size)
+    placed, whole, frame = series.window_frames(inner, unit, window.window, window.step, keys, size)
+    fitting = frame.rowsBetween(0, max(0, (window.window - params.window) // unit))
+    best = F.when(F.col("stable") & F.lit(params.window <= window.window), F.struct(*_BEST))
+    framed = placed.withColumns(
+        {
+            "best": F.min(best).over(fitting),
+            "_valid": F.sum("n_valid").over(frame),
+            "_total": F.sum("total").over(frame),
+            "spread": F.max("high").over(frame) - F.min("low").over(frame),
+        }
+    ).where(whole)
+    bounds = ["chunk", "w", "window_start", "window_end"]
+    summary = framed.select(
+        *keys, *bounds, F.col("_valid").alias("n_valid"), F.col("_total").alias("total"), "spread",
+        F.when(F.col("best").isNotNull(), F.struct(
+            F.col("best.range").alias("range"), (F.col("best.start_idx") - F.col("window_start")).alias("start_idx"), F.col("best.mean").alias("mean")
+        )).alias("best"),
+    )
+    return baseline_row(summary, params, [*keys, *bounds])
+
+
+_BEST = ("range", "start_idx", "mean")
+
+
+def baseline_row(summary: DataFrame, params: BaselineParams, keys: Sequence[str]) -> DataFrame:
+    """The result row of ``best`` (if any), ``n_valid``, ``total`` and ``spread``."""
     found = F.col("best").isNotNull()
     empty = F.col("n_valid") == 0
     raw = F.when(found, F.col("best.mean")).otherwise(F.col("total") / F.col("n_valid"))

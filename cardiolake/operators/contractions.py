@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 
 from cardiolake.functions.scalar import half_even
 from cardiolake.operators import series
+from cardiolake.operators.spacing import spaced_cells
 from cardiolake.operators.staging import stage
 from cardiolake.params import CHUNK, TachysystoleParams
 
@@ -233,65 +233,27 @@ def rate_row(
     )
 
 
-def settled_sessions(peaks: DataFrame, distance: int, keys: Sequence[str]) -> DataFrame:
-    """``spaced`` for groups of any length: sorted once, each peak blocks its neighbours.
-
-    A peak that is kept blocks the places within ``distance`` of it, found by binary search; kept
-    peaks are ``distance`` apart, so a place is blocked a bounded number of times. Holds 17 bytes a peak.
-    """
-    columns = [*keys, "p", "h"]
-    schema = peaks.select(*columns).schema
-
-    def settle(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, sort_keys=[("p", "ascending")]))
-        p, h = group["p"].to_numpy(), group["h"].to_numpy()
-        low = np.searchsorted(p, p - distance, side="right").tolist()
-        high = np.searchsorted(p, p + distance, side="left").tolist()
-        blocked, kept = np.zeros(len(p), bool), np.zeros(len(p), bool)
-        for k in np.lexsort((p, h))[::-1].tolist():  # highest first, the later one on ties
-            if not blocked[k]:
-                kept[k] = True
-                blocked[low[k] : high[k]] = True
-        return group.filter(pa.array(kept))
-
-    return peaks.select(*columns).groupBy(*keys).applyInArrow(settle, schema)
-
-
 def spaced_long(
     peaks: DataFrame, distance: int, keys: Sequence[str] = series.KEYS, size: int = CHUNK
 ) -> DataFrame:
     """``spaced`` for series of any length.
 
     A peak that is the best within ``distance`` is kept and its neighbours go, whatever happens
-    elsewhere. What is left falls into sessions at least ``distance`` apart, which cannot affect
-    each other and are settled one by one, in time that grows with the session (level signals can
-    make a session of all peaks of a record).
+    elsewhere. What is left open (rising and level stretches, valleys) cannot meet the kept ones any
+    more and is settled cell by cell.
     """
     reach = distance - 1
-    placed = series.with_halo(peaks.select(*keys, "p", "h"), 3 * distance, 3 * distance, size, "p")
-    order = Window.partitionBy(*keys, "chunk").orderBy("p")
-    around = order.rangeBetween(-reach, reach)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    p = F.col("p")
+    placed = series.with_halo(peaks.select(*keys, "p", "h"), 2 * reach, 2 * reach, size, "p")
+    around = Window.partitionBy(*keys, "chunk").orderBy("p").rangeBetween(-reach, reach)
     judged = (
-        placed.withColumn("_best", F.max(F.struct("h", "p")).over(around).p == p)
+        placed.withColumn("_best", F.max(F.struct("h", "p")).over(around).p == F.col("p"))
         .withColumn("_open", ~F.max("_best").over(around))
-        .withColumn("_previous", F.last(F.when(F.col("_open"), p), True).over(earlier))
     )
-    judged = series.core_rows(judged, size, "p")
+    judged = series.core_rows(judged, size, "p").where("_best or _open")
+    # Read twice; the open ones are cut anew.
+    judged = stage(judged.select(*keys, "chunk", "p", "h", "_best"), [*keys, "chunk"], [*keys, "chunk", "p"])
     kept = judged.where("_best").select(*keys, "p", "h")
-    fresh = F.col("_previous").isNull() | (p - F.col("_previous") >= distance)
-    opened = judged.where("_open").withColumn("_start", F.when(fresh, p))
-    chunks = opened.groupBy(*keys, "chunk").agg(F.max("_start").alias("_begin"))
-    chunks = series.carry(chunks, "_begin", keys, True).drop("_begin")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    sessions = (
-        opened.withColumn("_inside", F.last("_start", True).over(upto))
-        .join(chunks, [*keys, "chunk"])
-        .withColumn("session", F.coalesce("_inside", "_begin_carried"))
-    )
-    settled = settled_sessions(sessions, distance, [*keys, "session"]).select(*keys, "p", "h")
-    return kept.union(settled)
+    return kept.union(spaced_cells(judged.where("not _best").select(*keys, "p", "h"), distance, keys, size))
 
 
 def prominences_long(

@@ -41,28 +41,47 @@ def statistical_encoder(prepared: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.where(norm > 1e-8, out / np.maximum(norm, 1e-8), out).astype(np.float32)
 
 
+def _encoded(encoder: Encoder, prepared: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    out = np.asarray(encoder(prepared, seeds))
+    if out.shape != (len(prepared), DIMENSION):
+        raise ValueError(f"embedding must be {DIMENSION}-dimensional, got {out.shape[1:]}")
+    return out.astype(np.float32)
+
+
 def embed(
     windows: DataFrame,
     encoder: Encoder = statistical_encoder,
     is_mock: bool = True,
     seed_columns: tuple[str, ...] = ("record_id", "start_idx"),
+    isolate: bool = False,
 ) -> DataFrame:
     """Add ``embedding`` and ``is_mock`` to prepared windows, in Arrow batches.
 
-    Seeds come from the window key, so the result does not depend on process or partition.
+    Seeds come from the window key, so the result does not depend on process or partition. A window
+    that the encoder fails on fails the job; with ``isolate`` its batch is tried again row by row,
+    and the failing rows get a NULL embedding and the reason in ``error``.
     """
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def tried(prepared: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray | None, str | None]]:
+        try:
+            yield from ((row, None) for row in _encoded(encoder, prepared, seeds))
+        except Exception as problem:
+            if not isolate:
+                raise
+            if len(prepared) == 1:
+                yield None, f"{type(problem).__name__}: {problem}"
+                return
+            for k in range(len(prepared)):
+                yield from tried(prepared[k : k + 1], seeds[k : k + 1])
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for prepared, seeds in batches:
-            if len(prepared) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            out = np.asarray(encoder(np.stack(prepared.to_numpy()), seeds.to_numpy()))
-            if out.shape != (len(prepared), DIMENSION):
-                raise ValueError(f"embedding must be {DIMENSION}-dimensional, got {out.shape[1:]}")
-            yield pd.Series(list(out.astype(np.float32)))
-
-    return windows.withColumn("embedding", run("prepared", F.xxhash64(*seed_columns))).withColumn(
-        "is_mock", F.lit(is_mock)
-    )
+            found = list(tried(np.stack(prepared.to_numpy()), seeds.to_numpy())) if len(prepared) else []
+            yield pd.DataFrame(found, columns=["embedding", "error"])
+
+    out = windows.withColumn("_encoded", run("prepared", F.xxhash64(*seed_columns)))
+    found = {"embedding": F.col("_encoded.embedding"), "is_mock": F.lit(is_mock)}
+    if isolate:
+        found["error"] = F.col("_encoded.error")
+    return out.withColumns(found).drop("_encoded")

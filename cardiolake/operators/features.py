@@ -86,10 +86,10 @@ def with_findings(
 
 
 def fuse(embedded: DataFrame, contractions: Column | None = None, loose: bool = False) -> DataFrame:
-    """Add ``features array<float>[1035]`` to embedded windows with findings."""
+    """Add ``features array<float>[1035]`` to embedded windows with findings; NULL where the embedding is."""
     named = rule_features(contractions, loose)
     vector = F.concat("embedding", F.array(*[c.cast("float") for c in named.values()]))
-    checked = F.when(F.size(vector) == FEATURE_COUNT, vector).otherwise(
+    checked = F.when(F.col("embedding").isNull() | (F.size(vector) == FEATURE_COUNT), vector).otherwise(
         F.raise_error(F.lit(f"feature vector must be {FEATURE_COUNT}-dimensional")).cast("array<float>")
     )
     return embedded.withColumn("features", checked)

@@ -100,9 +100,10 @@ def confusion_matrix(cells: DataFrame, classes: Sequence[int]) -> DataFrame:
     return named.na.fill(0)
 
 
-def per_class(cells: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every class that occurs; undefined ratios are 0."""
+def per_class(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of every class that occurs (per key); undefined ratios are 0."""
     sides = cells.select(
+        *keys,
         F.explode(
             F.array(
                 F.struct(
@@ -119,8 +120,8 @@ def per_class(cells: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("s")
-    ).select("s.*")
-    summed = sides.groupBy(F.col("c").alias("label")).agg(
+    ).select(*keys, "s.*")
+    summed = sides.groupBy(*keys, F.col("c").alias("label")).agg(
         F.sum("hit").alias("hit"), F.sum("actual").alias("support"), F.sum("predicted").alias("predicted")
     )
 
@@ -128,6 +129,7 @@ def per_class(cells: DataFrame) -> DataFrame:
         return F.when(b > 0, F.col(a) / b).otherwise(0.0)
 
     return summed.select(
+        *keys,
         "label",
         ratio("hit", F.col("predicted")).alias("precision"),
         ratio("hit", F.col("support")).alias("recall"),
@@ -142,9 +144,9 @@ def per_class(cells: DataFrame) -> DataFrame:
     )
 
 
-def macro_f1(cells: DataFrame) -> DataFrame:
-    """Mean of the per-class F1 values (not the support-weighted one)."""
-    return per_class(cells).agg(F.avg("f1").alias("macro_f1"))
+def macro_f1(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of the per-class F1 values (not the support-weighted one), per key."""
+    return per_class(cells, keys).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
 
 
 def report(cells: DataFrame, digits: int = 3, names: dict | None = None) -> DataFrame:

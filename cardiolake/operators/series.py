@@ -204,6 +204,26 @@ def bucket_frames(
     return placed, frame
 
 
+def window_frames(
+    buckets: DataFrame, unit: int, window: int, step: int, keys: Sequence[str] = KEYS, size: int = CHUNK
+):
+    """(buckets with ``w`` and bounds, which rows start a window, its frame) for sliding windows of ``window`` samples.
+
+    ``buckets`` hold ``n`` samples each. A series shorter than a window has one window over all of it.
+    """
+    if step % unit or window % unit:
+        raise ValueError(f"window {window} and step {step} must be multiples of {unit}")
+    placed, frame = bucket_frames(buckets, unit, window, keys, size)
+    start, rows = F.col("bucket") * unit, F.sum("n").over(frame)
+    placed = placed.withColumns(
+        {"w": F.expr(f"bucket * {unit} div {step}"), "window_start": start, "window_end": start + rows}
+    )
+    length = F.col("window_end") - F.col("window_start")
+    short = (F.col("bucket") == 0) & (length < window)
+    whole = F.col("core") & (F.col("window_start") % step == 0) & ((length == window) | short)
+    return placed, whole, frame
+
+
 def tail(
     df: DataFrame, samples: int, keys: Sequence[str] = KEYS, size: int = CHUNK
 ) -> DataFrame:
@@ -262,45 +282,56 @@ def ranked(
     )
 
 
+def _magnitude_cell(value: Column) -> Column:
+    """A whole number that never falls while the value rises: its sign and its logarithm, 65,000 cells a side."""
+    size = F.least(F.log(F.abs(value)) + 750.0, F.lit(1500.0))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.floor(F.signum(value) * size * 43))
+
+
 def percentiles(
     df: DataFrame,
     value: str,
     quantile: float,
     keys: Sequence[str] = KEYS,
-    resolution: int = 1024,
     name: str = "percentile",
 ) -> DataFrame:
-    """Exact linear percentile per key for keys of any size.
+    """Exact linear percentile per key for keys and value ranges of any size.
 
-    Equal values are counted first, then ranked by value cell (``1/resolution`` wide); only the
-    one or two cells that hold the requested ranks are looked at value by value.
+    Equal values are counted first. Then the one or two cells that hold the requested ranks are
+    narrowed down for all keys at once: by sign and logarithm, and twice by parts of what a cell
+    still spans, after which a cell holds a few thousand different doubles at most. Only those are looked at
+    value by value.
     """
-    counted = (
+    v, at = F.col("_v"), F.col("_at")
+    rows = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cell", F.floor(F.col("_v") * resolution))
+        .withColumns({"_group": F.lit(0).cast("long"), "_cell": _magnitude_cell(v).cast("long")})
     )
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cells_n"))
-    over_key = Window.partitionBy(*keys)
-    upto = over_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.select(
-        *keys,
-        "_cell",
-        (F.sum("_cells_n").over(upto) - F.col("_cells_n")).alias("_skip"),
-        F.sum("_cells_n").over(upto).alias("_upto"),
-        ((F.sum("_cells_n").over(over_key) - 1) * F.lit(quantile)).alias("_at"),
-    ).where("_upto > floor(_at) and _skip <= ceil(_at)")
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked_values = (
-        counted.join(cells, [*keys, "_cell"])
-        .withColumn("_last", F.col("_skip") + F.sum("_c").over(inside))
-        .withColumn("_first", F.col("_last") - F.col("_c"))
+    for turn in range(3):
+        cells = rows.groupBy(*keys, "_group", "_cell").agg(
+            F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            *([F.max("_at").alias("_at")] if turn else []),
+        )
+        if not turn:
+            cells = cells.withColumn("_at", (F.sum("_n").over(Window.partitionBy(*keys)) - 1) * F.lit(quantile))
+        # A group is named by how many values come before it.
+        upto = Window.partitionBy(*keys, "_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("_upto", F.col("_group") + F.sum("_n").over(upto)).withColumn("_skip", F.col("_upto") - F.col("_n"))
+        cells = cells.where((F.col("_upto") > F.floor(at)) & (F.col("_skip") <= F.ceil(at)))
+        held = cells.select(*keys, "_group", "_cell", "_skip", "_lo", "_hi", "_at")
+        span = F.col("_hi") - F.col("_lo")
+        part = F.when(span > 0, F.floor((v - F.col("_lo")) / span * 65_536)).otherwise(F.lit(0))
+        rows = rows.drop("_at").join(held, [*keys, "_group", "_cell"]).select(
+            *keys, "_v", "_c", "_at", F.col("_skip").alias("_group"), part.cast("long").alias("_cell")
+        )
+    inside = Window.partitionBy(*keys, "_group").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked_values = rows.withColumn("_last", F.col("_group") + F.sum("_c").over(inside)).withColumn(
+        "_first", F.col("_last") - F.col("_c")
     )
-    lower = F.when(F.expr("_first <= floor(_at) and _last > floor(_at)"), F.col("_v"))
-    upper = F.when(F.expr("_first <= ceil(_at) and _last > ceil(_at)"), F.col("_v"))
+    lower = F.when(F.expr("_first <= floor(_at) and _last > floor(_at)"), v)
+    upper = F.when(F.expr("_first <= ceil(_at) and _last > ceil(_at)"), v)
     picked = ranked_values.groupBy(*keys).agg(
         F.max(lower).alias("_lo"), F.max(upper).alias("_hi"), F.max("_at").alias("_at")
     )

@@ -9,8 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Staged tables that have not been released: (session, table, path).
-_WRITTEN: list[tuple[SparkSession, str, str]] = []
+# Staged tables and files that have not been released: (session, table, path).
+_WRITTEN: list[tuple[SparkSession, str | None, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,11 +53,21 @@ def stage(
     return spark.table(name)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder: cuts lineage and survives lost executors. Dropped like tables."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, None, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(start: int = 0) -> None:
     """Drop the tables staged since ``start`` and their files; what reads them must be done."""
     while len(_WRITTEN) > start:
         spark, name, path = _WRITTEN.pop()
-        spark.sql(f"drop table if exists {name}")
+        if name:
+            spark.sql(f"drop table if exists {name}")
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -9,21 +9,17 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import scalar
 from cardiolake.operators import series
-from cardiolake.params import CHUNK, VariabilityParams
+from cardiolake.params import CHUNK, VariabilityParams, WindowParams
 
 
-def variability_windows(
+def variability_buckets(
     samples: DataFrame,
     params: VariabilityParams = VariabilityParams(),
     value: str = "fhr",
     keys: Sequence[str] = series.KEYS,
     size: int = CHUNK,
 ) -> DataFrame:
-    """One row per counted window: ``start_idx`` and ``window_value``.
-
-    This is the long form of the window list; as an array it would grow with the series. The
-    row with ``start_idx = NULL`` marks each bucket that starts no counted window.
-    """
+    """One row per bucket ``bucket`` of ``n`` samples; ``window_value`` where a counted window starts."""
     samples = samples if "chunk" in samples.columns else series.with_chunk(samples, size)
     unit = series.common_step(params.step, params.window, size)
     buckets = series.step_buckets(samples, unit, value, keys, size)
@@ -38,14 +34,47 @@ def variability_windows(
     return (
         placed.withColumn("window_value", F.when(short | (starts & counted), spread))
         .where("core")
-        .select(
-            *keys,
-            F.when(F.col("window_value").isNotNull(), F.col("bucket") * unit).alias("start_idx"),
-            "window_value",
-        )
+        .select(*keys, "bucket", "n", (F.col("bucket") * unit).alias("start_idx"), "window_value")
+    )
+
+
+def variability_windows(
+    samples: DataFrame,
+    params: VariabilityParams = VariabilityParams(),
+    value: str = "fhr",
+    keys: Sequence[str] = series.KEYS,
+    size: int = CHUNK,
+) -> DataFrame:
+    """One row per counted window: ``start_idx`` and ``window_value``.
+
+    This is the long form of the window list; as an array it would grow with the series. The
+    row with ``start_idx = NULL`` marks each bucket that starts no counted window.
+    """
+    return variability_buckets(samples, params, value, keys, size).select(
+        *keys, F.when(F.col("window_value").isNotNull(), F.col("start_idx")).alias("start_idx"), "window_value"
     )
 
 
+def variability_inside(
+    samples: DataFrame,
+    window: WindowParams = WindowParams(),
+    params: VariabilityParams = VariabilityParams(),
+    value: str = "fhr",
+    keys: Sequence[str] = series.KEYS,
+    size: int = CHUNK,
+) -> DataFrame:
+    """``variability`` of every sliding window, keyed by ``(*keys, w)``; overlapping windows share the inner ones."""
+    if window.step % params.step or window.window < params.window:
+        raise ValueError(f"windows of {window.window} every {window.step} samples do not share windows of {params.window} every {params.step}")
+    unit = series.common_step(params.step, params.window, size)
+    inner = variability_buckets(samples, params, value, keys, size)
+    placed, whole, frame = series.window_frames(inner, unit, window.window, window.step, keys, size)
+    fitting = frame.rowsBetween(0, (window.window - params.window) // unit)
+    figures = {"mean": F.avg, "low": F.min, "high": F.max, "n_windows": F.count}
+    framed = placed.withColumns({name: f("window_value").over(fitting) for name, f in figures.items()}).where(whole)
+    return variability_row(framed.select(*keys, "w", *figures), [*keys, "w"])
+
+
 def variability(
     samples: DataFrame,
     params: VariabilityParams = VariabilityParams(),
@@ -61,6 +90,11 @@ def variability(
         F.max("window_value").alias("high"),
         F.count("window_value").alias("n_windows"),
     )
+    return variability_row(summary, keys)
+
+
+def variability_row(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The result row of ``mean``, ``low``, ``high`` and ``n_windows``."""
     known = F.col("n_windows") > 0
     category = F.when(known, scalar.variability_class(F.col("mean"))).otherwise("Unknown")
 

@@ -379,6 +379,21 @@ def rule_engine_per_window(spark, folder):
     )
 
 
+def _window_rules(spark, folder, window, wave):
+    rules = scoring.RuleParams(uc_mode="raw", sinusoidal=wave)
+    return rounded(scoring.rule_findings_per_window(both(spark, folder, "raw"), window, rules))
+
+
+def window_rules(spark, folder):
+    """All five rules inside every 10-minute window, a window a minute."""
+    return _window_rules(spark, folder, WindowParams(), SinusoidalParams())
+
+
+def window_rules_with_spectrum(spark, folder):
+    """All five rules inside 6-minute windows, long enough for the five-minute sinusoidal rule."""
+    return _window_rules(spark, folder, WindowParams(window_minutes=6.0, step_minutes=2.0), SHORT_WAVE)
+
+
 def prepared_windows(spark, folder):
     ready = prepare(windows(heart(spark, folder), SHORT_WINDOWS), SHORT_WINDOWS)
     return (
@@ -468,6 +483,29 @@ def dataset_audit(spark, folder):
     return dataset.audit_totals(dataset.audit(labels, rows))
 
 
+def _falling_fails(prepared, seeds):
+    """An encoder that cannot take a window whose first sample lies below the window's mean."""
+    if (prepared[:, 0] < 0).any():
+        raise ArithmeticError("window starts low")
+    return embedding.statistical_encoder(prepared, seeds)
+
+
+def _built(spark, folder):
+    path = _scratch(spark)
+    params = dataset.DatasetParams(window=SHORT_WINDOWS)
+    return path, dataset.build_dataset(spark, samples_from_events(spark, folder), _labels(spark, folder), path, params, _falling_fails)
+
+
+def dataset_build(spark, folder):
+    """Totals of a dataset build whose encoder fails on some windows: only those are missing."""
+    return _built(spark, folder)[1]
+
+
+def window_quarantine(spark, folder):
+    """The windows that the encoder failed on, each with its reason."""
+    return dataset.read_quarantine(spark, _built(spark, folder)[0])
+
+
 def feature_name_lookup(spark, folder):
     positions = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % features.FEATURE_COUNT).alias("position"))
     return features.feature_name_rows(positions)
@@ -716,21 +754,43 @@ def unprocessed_records(spark, folder):
     return quality.unprocessed(records, results)
 
 
-# Five shallow trees: enough to check the flow of rows, labels and files on the small tables.
-SMALL_FOREST = model.ClassifierParams(n_estimators=5, max_depth=3, n_folds=3)
+# Classifiers trained in this process, by application and folder: several queries look at the same one.
+_TRAINED: dict[tuple[str, str], model.TrainingResult] = {}
 
 
 def _training_rows(spark, folder):
     return labelled(spark, folder).drop("prediction")
 
 
+def _trained(spark, folder) -> model.TrainingResult:
+    """The default classifier (100 rounds of depth 6) with its five folds, trained once a session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TRAINED:
+        _TRAINED[key] = model.train(_training_rows(spark, folder))
+    return _TRAINED[key]
+
+
+def one_round_boosting(spark, folder):
+    """One round of one split a class on line items: small enough to state every sum and share."""
+    classes = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    line, discount, tax = (F.round(c).cast("int") for c in (F.col("l_linenumber"), F.col("l_discount") * 100, F.col("l_tax") * 100))
+    rows = table(spark, folder, "lineitem").select(
+        classes.alias("label"), line.alias("line"), discount.alias("discount"), tax.alias("tax"),
+        F.array(*[c.cast("double") for c in (line, discount, tax)]).alias("features"),
+    )
+    params = model.ClassifierParams(n_estimators=1, max_depth=1, learning_rate=0.5, subsample=1.0, colsample=1.0)
+    fitted = model.fit(metrics.with_weights(rows), params, key=("line", "discount", "tax"))[-1]
+    kinds = rows.groupBy("line", "discount", "tax").agg(F.count(F.lit(1)).alias("n"), F.first("features").alias("features"))
+    p = [F.round(F.col("probability")[k], 6).alias(f"p{k}") for k in range(3)]
+    return model.predict(fitted, kinds).select("line", "discount", "tax", "n", *p)
+
+
 def trained_predictions(spark, folder):
     """Every row with its label; predictions are known classes, probabilities shares of one."""
     rows = _training_rows(spark, folder)
-    fitted = model.train(rows, SMALL_FOREST, validate=False).model
     share = F.forall("probability", lambda p: (p >= 0) & (p <= 1))
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
-    return model.predict(fitted, rows).select(
+    return model.predict(_trained(spark, folder).model, rows).select(
         "record_id", "w", F.col("label").cast("int").alias("label"),
         F.col("prediction").isin(0, 1, 2).alias("known_class"), share.alias("shares"), F.round(total, 6).alias("total"),
     )
@@ -738,21 +798,20 @@ def trained_predictions(spark, folder):
 
 def saved_model_predictions(spark, folder):
     """A model saved to the shared folder and loaded again predicts what the original predicts."""
-    path, rows = _scratch(spark), _training_rows(spark, folder)
-    fitted = model.train(rows, SMALL_FOREST, validate=False).model
-    model.save(fitted, SMALL_FOREST, path, spark)
-    again, params = model.load(spark, path)
+    path, rows, params = _scratch(spark), _training_rows(spark, folder), model.ClassifierParams()
+    fitted = _trained(spark, folder).model
+    model.save(fitted, params, path, spark)
+    again, stored = model.load(spark, path)
     first = model.predict(fitted, rows).select("w", F.col("prediction").alias("before"))
     both = model.predict(again, rows).select("record_id", "w", "prediction").join(first, "w")
     return both.select(
-        "record_id", "w", (F.col("prediction") == F.col("before")).alias("same"), F.lit(params == SMALL_FOREST).alias("same_params")
+        "record_id", "w", (F.col("prediction") == F.col("before")).alias("same"), F.lit(stored == params).alias("same_params")
     )
 
 
 def classifier_votes(spark, folder):
     """Votes equal the most frequent written prediction of each record, the first one on ties."""
-    path, rows = _scratch(spark), _training_rows(spark, folder)
-    fitted = model.train(rows, SMALL_FOREST, validate=False).model
+    path, rows, fitted = _scratch(spark), _training_rows(spark, folder), _trained(spark, folder).model
     model.predict(fitted, rows).select("record_id", "w", "prediction").write.parquet(path)
     written = spark.read.parquet(path).groupBy("record_id", "prediction").agg(F.count("*").alias("n"), F.min("w").alias("w"))
     order = Window.partitionBy("record_id").orderBy(F.desc("n"), "w")
@@ -765,8 +824,8 @@ def classifier_votes(spark, folder):
 
 
 def cross_validated_training(spark, folder):
-    """Three classes in three folds: scores are shares, the best one is at least their mean."""
-    found = model.train(_training_rows(spark, folder), SMALL_FOREST)
+    """Three classes in five folds: scores are shares, the best one is at least their mean."""
+    found = _trained(spark, folder)
     low, high = min(found.scores), max(found.scores)
     return found.summary.select(
         F.lit(len(found.scores)).alias("n_folds"),
@@ -777,7 +836,7 @@ def cross_validated_training(spark, folder):
 
 def feature_importances(spark, folder):
     """One share per feature; all of them make one."""
-    rows = training.tables_of(model.train(_training_rows(spark, folder), SMALL_FOREST, validate=False))["importance"]
+    rows = training.tables_of(_trained(spark, folder))["importance"]
     total = F.round(F.sum("importance").over(Window.partitionBy()), 6)  # one row per feature
     return rows.select("position", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"))
 
@@ -787,7 +846,7 @@ def train_job(spark, folder):
     data, path = _scratch(spark), _scratch(spark)
     rows = _training_rows(spark, folder)
     dataset.write_dataset(rows.withColumns({"start_idx": F.col("w"), "end_idx": F.col("w") + 1}), data)
-    found = training.train_from(spark, data, path, SMALL_FOREST)
+    found = training.train_from(spark, data, path)
     fitted, _ = model.load(spark, path)
     return model.predict(fitted, rows).agg(F.count("*").alias("n_predicted")).select(
         F.lit(found["n_samples"]).cast("long").alias("n_samples"),
@@ -817,15 +876,16 @@ QUERIES: dict[str, Query] = {
         recurrence_rules, tail_segments, local_maxima, uc_upper_quartile, contraction_peaks,
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,
         sinusoidal_default, sinusoidal_five_minutes, rule_engine, rule_engine_per_window,
+        window_rules, window_rules_with_spectrum,
         prepared_windows, window_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
-        feature_tail_per_window, dataset_roundtrip, dataset_audit, feature_name_lookup, header_records,
+        feature_tail_per_window, dataset_roundtrip, dataset_audit, dataset_build, window_quarantine, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
         ingested_samples, ingest_quarantine,
         class_weights, weighted_rows, confusion_matrix, classification_report, macro_f1,
         label_quality_report, cv_summary, majority_vote, mean_confidence, stratified_folds,
         grouped_folds, contiguous_labels, category_lookup, rule_only_class, safety_override,
         explained_alerts, findings_summary, deceleration_overlay, score_records, record_detail,
-        unprocessed_records, trained_predictions, saved_model_predictions, classifier_votes, cross_validated_training,
+        unprocessed_records, one_round_boosting, trained_predictions, saved_model_predictions, classifier_votes, cross_validated_training,
         feature_importances, train_job, score_with_votes,
     )
 }

@@ -21,7 +21,7 @@ class DatasetParams:
     limit: int | None = None
 
 
-def feature_rows(
+def window_rows(
     samples: DataFrame,
     labels: DataFrame | None = None,
     params: DatasetParams = DatasetParams(),
@@ -30,7 +30,9 @@ def feature_rows(
     size: int = CHUNK,
     staged: bool = True,
 ) -> DataFrame:
-    """``record_id, w, bounds, rule columns, features[, label]``.
+    """``record_id, w, bounds, rule columns, features[, label], error`` of every window.
+
+    A window that the encoder fails on has NULL features and the reason in ``error``.
 
     Findings and labels are joined while they are one row per record, then spread to
     ``(record, chunk)`` and met by the windows where those are built: window arrays and
@@ -50,7 +52,7 @@ def feature_rows(
     per_window = features.with_findings(
         windows(cleaned, params.window, size=size), series.per_chunk(findings, cleaned)
     )
-    fused = features.fuse(embedding.embed(prepare(per_window, params.window), encoder, is_mock))
+    fused = features.fuse(embedding.embed(prepare(per_window, params.window), encoder, is_mock, isolate=True))
     return fused.select(
         "record_id",
         "w",
@@ -68,15 +70,42 @@ def feature_rows(
         "sinusoidal",
         "features",
         *extra,
+        "error",
     )
 
 
+def feature_rows(
+    samples: DataFrame,
+    labels: DataFrame | None = None,
+    params: DatasetParams = DatasetParams(),
+    encoder: embedding.Encoder = embedding.statistical_encoder,
+    is_mock: bool = True,
+    size: int = CHUNK,
+    staged: bool = True,
+) -> DataFrame:
+    """The rows of ``window_rows`` whose window could be encoded."""
+    return window_rows(samples, labels, params, encoder, is_mock, size, staged).where("error is null").drop("error")
+
+
 def write_dataset(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/features")
+    """Rows by whether their window failed: readers of one side never open the files of the other."""
+    failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    rows.withColumn("failed", failed.cast("int")).write.mode("overwrite").partitionBy("failed").parquet(f"{path.rstrip('/')}/features")
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Fails with FileNotFoundError where no dataset was written."""
+    return _rows(spark, path).where("failed = 0").drop("failed", "error")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """``record_id, w, start_idx, end_idx, error`` of the windows that the encoder failed on."""
+    rows = _rows(spark, path).where("failed = 1")
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    return rows.select("record_id", "w", "start_idx", "end_idx", error.alias("error"))
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
@@ -117,8 +146,12 @@ def build_dataset(
     encoder: embedding.Encoder = embedding.statistical_encoder,
     is_mock: bool = True,
 ) -> DataFrame:
-    """Write features and audit; returns the totals. Records without samples are reported failed."""
-    write_dataset(feature_rows(samples, labels, params, encoder, is_mock), path)
+    """Write features, failed windows and audit; returns the totals.
+
+    A window that the encoder fails on costs its own row only (``read_quarantine``). Records without
+    samples, or without a window that could be encoded, are reported failed.
+    """
+    write_dataset(window_rows(samples, labels, params, encoder, is_mock), path)
     rows = read_dataset(spark, path)
     per_record = audit(labels, rows)
     per_record.write.mode("overwrite").parquet(f"{path.rstrip('/')}/audit")

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardiolake.operators import alerts, decide, series
-from cardiolake.operators.baseline import baseline
+from cardiolake.operators.baseline import baseline, baseline_inside
 from cardiolake.operators.clean import clean
 from cardiolake.operators.contractions import tachysystole
 from cardiolake.operators.decelerations import decel_counts, decelerations
-from cardiolake.operators.sinusoidal import sinusoidal
-from cardiolake.operators.variability import variability
+from cardiolake.operators.sinusoidal import result_row, sinusoidal
+from cardiolake.operators.variability import variability, variability_inside
+from cardiolake.operators.windows import window_samples
 from cardiolake.params import (
     CHUNK,
     BaselineParams,
@@ -23,6 +24,7 @@ from cardiolake.params import (
     SinusoidalParams,
     TachysystoleParams,
     VariabilityParams,
+    WindowParams,
 )
 from cardiolake.operators.staging import stage
 
@@ -65,10 +67,52 @@ def rule_findings(
     """All five rules: one wide row per record. Joins here are between one-row-per-record tables."""
     base = baseline(cleaned, params.baseline, keys=keys, size=size)
     vary = variability(cleaned, params.variability, keys=keys, size=size)
+    return _findings(cleaned, base, vary, params, keys, size)
+
+
+def rule_findings_per_window(
+    cleaned: DataFrame,
+    window: WindowParams = WindowParams(),
+    params: RuleParams = RuleParams(),
+    size: int = CHUNK,
+) -> DataFrame:
+    """All five rules inside each sliding window: one wide row per ``(record_id, w)``.
+
+    Baseline and variability come from windows that the overlapping ones share. Decelerations have
+    a threshold of the window's own, and contractions its own quartile and deviation, so these two
+    read the window's samples, gathered by ``(record_id, w)`` once. A window that is shorter than the
+    sinusoidal rule asks for needs no spectrum.
+    """
+    keys = ("record_id", "w")
+    base = stage(baseline_inside(cleaned, window, params.baseline, size=size), keys, keys)
+    vary = variability_inside(cleaned, window, params.variability, size=size)
+    inside = stage(window_samples(cleaned.select("record_id", "chunk", "i", "fhr", "uc"), window, size=size), keys, [*keys, "i"])
+    bounds = base.select(*keys, F.col("window_start").alias("start_idx"), F.col("window_end").alias("end_idx"))
+    waves = None
+    if window.window < params.sinusoidal.window:
+        short = bounds.select(
+            *keys, (F.col("end_idx") - F.col("start_idx")).alias("n"), F.lit(0).alias("n_valid"),
+            *[F.lit(None).cast("double").alias(c) for c in ("amplitude", "frequency", "dominance")],
+        )
+        waves = result_row(short, params.sinusoidal, keys)
+    found = _findings(inside, base.drop("window_start", "window_end", "chunk"), vary, params, keys, size, waves)
+    return bounds.join(found, list(keys))
+
+
+def _findings(
+    cleaned: DataFrame,
+    base: DataFrame,
+    vary: DataFrame,
+    params: RuleParams,
+    keys: Sequence[str],
+    size: int,
+    wave: DataFrame | None = None,
+) -> DataFrame:
     events = decelerations(cleaned, base, params.decel, keys, size)
     counts = decel_counts(events, base, keys)
     contraction = tachysystole(cleaned, params.tachysystole, keys, size)
-    wave = sinusoidal(cleaned, params.sinusoidal, keys=keys, size=size)
+    if wave is None:
+        wave = sinusoidal(cleaned, params.sinusoidal, keys=keys, size=size)
     on = list(keys)
     return (
         base.select(

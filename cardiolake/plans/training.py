@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.operators import decide, metrics, model
+from cardiolake.operators.boosting import Forest
 from cardiolake.plans.dataset import read_dataset
 
 
@@ -42,7 +42,7 @@ def train_from(
     }
 
 
-def votes(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
+def votes(fitted: Forest, rows: DataFrame) -> DataFrame:
     """``record_id, ml_prediction, confidence`` from window predictions."""
     predicted = model.predict(fitted, rows).select("record_id", "w", "prediction", "probability")
     return decide.majority_vote(predicted).join(metrics.mean_confidence(predicted), "record_id")

@@ -11,6 +11,7 @@ from oracle.sql import (
     DECELS,
     SIG,
     VARIABILITY,
+    clean_step,
     sinusoidal_step,
     tachysystole_step,
 )
@@ -111,6 +112,20 @@ fx as (select b.record_id, b.value as baseline, b.is_normal, b.is_bradycardia, b
     cast(t.total_contractions as integer) as total_contractions, s.detected as sinusoidal, s.confidence as sinusoidal_confidence
     from baseline b join variability v using (record_id) join counts c using (record_id) join tachy t using (record_id) join sinus s using (record_id))"""
 
+
+
+def window_rules(window: int, step: int, wave: int, wave_minutes: float) -> str:
+    """The record rules over the samples of each window, as if every window were a record."""
+    return f"""with {SIG},{clean_step("fhr", "sig", "hc")},
+wn as (select record_id, count(*) as n from sig group by 1),
+ws as (select record_id, n, unnest(case when n < {window} then [cast(0 as bigint)] else range(0, n - {window} + 1, {step}) end) as st from wn),
+wb as (select record_id, st // {step} as w, st as start_idx, least(st + {window}, n) as end_idx, record_id || '#' || cast(st // {step} as varchar) as k from ws),
+fc as materialized (select wb.k as record_id, hc.i - wb.start_idx as i, wb.end_idx - wb.start_idx as n, hc.x from wb join hc on hc.record_id = wb.record_id and hc.i >= wb.start_idx and hc.i < wb.end_idx),
+clean as materialized (select fc.record_id, fc.i, fc.n, fc.x as fhr, sig.uc from fc join wb on wb.k = fc.record_id join sig on sig.record_id = wb.record_id and sig.i = fc.i + wb.start_idx),
+{BASELINE},{VARIABILITY},{DECELS},{COUNTS},{tachysystole_step(7200, 30.0)},{sinusoidal_step(wave, wave_minutes)},{ALL_FINDINGS}
+select wb.record_id, wb.w, wb.start_idx, wb.end_idx, fx.* exclude (record_id) replace (round(baseline_confidence, 6) as baseline_confidence) from fx join wb on wb.k = fx.record_id"""
+
+
 OVERRIDE = """
 ov as (select *, lower(variability_category) = 'absent' as absent,
     concat_ws(' and ', case when late_count >= 3 then 'recurrent late decelerations' end,
@@ -167,6 +182,12 @@ select record_id, w, start_idx, end_idx, round(m, 8) as window_mean, round(s, 8)
     round(case when s > 1e-8 then (lo - m) / s else lo - m end, 3) as z_min, round(case when s > 1e-8 then (hi - m) / s else hi - m end, 3) as z_max,
     cast(width as integer) as width from pz"""
 
+# Whether the first sample of a window lies below the window's mean (missing ones count as zero).
+STARTS = """
+pz as (select b.record_id, b.w, b.start_idx, b.end_idx, arg_min(coalesce(fc.x, 0.0), fc.i) as first_x, sum(coalesce(fc.x, 0.0)) as total, avg(fc.x) as pad, count(*) as n
+    from wb b join fc on fc.record_id = b.record_id and fc.i >= b.start_idx and fc.i < b.end_idx group by 1, 2, 3, 4),
+ps as (select record_id, w, start_idx, end_idx, first_x < (total + (480 - n) * coalesce(pad, 0.0)) / 480 as low from pz)"""
+
 PER_WINDOW = f"""with {CLEAN},
 {BOUNDS},
 pwf as (select b.record_id, b.w, fc.i - b.start_idx as i, b.end_idx - b.start_idx as n, fc.x from wb b join fc on fc.record_id = b.record_id and fc.i >= b.start_idx and fc.i < b.end_idx),
@@ -260,6 +281,8 @@ STATEMENTS: dict[str, str] = {
     "sinusoidal_five_minutes": f"with {CLEAN},{sinusoidal_step(1200, 5.0)} {SINUS}",
     "rule_engine": f"with {RULES_RAW},{ALL_FINDINGS} select * replace (round(baseline_confidence, 6) as baseline_confidence) from fx",
     "rule_engine_per_window": PER_WINDOW,
+    "window_rules": window_rules(2400, 240, 4800, 20.0),
+    "window_rules_with_spectrum": window_rules(1440, 480, 1200, 5.0),
     "prepared_windows": PREPARED,
     "loose_rule_features": f"with {FINDINGS} select record_id, "
     + RULE_FEATURES.replace("variability_value /", "case when record_id % 5 = 0 or variability_value = 0 then 10.0::double else variability_value end /").format(recurrent="case when early_count > 0 and decel_count / early_count::double > 0.5 then 1.0::double else 0.0::double end")
@@ -274,6 +297,10 @@ STATEMENTS: dict[str, str] = {
     "dataset_audit": f"""with {SIG},{BOUNDS}, lr as (select record_id, length(record_id) % 3 as label, count(*) as c from wb group by 1, 2)
         select count(*) as processed, (select count(distinct event_type) from events) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
         cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lr""",
+    "dataset_build": f"""with {CLEAN},{BOUNDS},{STARTS}, lb as (select record_id, length(record_id) % 3 as label, count(*) filter (not low) as c from ps group by 1)
+        select count(*) filter (c > 0) as processed, count(*) filter (c = 0) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
+        cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lb""",
+    "window_quarantine": f"with {CLEAN},{BOUNDS},{STARTS} select record_id, w, start_idx, end_idx, 'ArithmeticError: window starts low' as error from ps where low",
     "feature_name_lookup": """select p_partkey, p_partkey % 1035 as position, case when p_partkey % 1035 < 1024 then printf('moment_emb_%04d', p_partkey % 1035) else
         (['baseline_norm', 'variability_value_norm', 'var_cat_absent', 'var_cat_minimal', 'var_cat_moderate', 'var_cat_marked', 'late_decel_count_norm', 'variable_decel_count_norm',
           'recurrent_decels_flag', 'tachysystole_flag', 'sinusoidal_flag'])[p_partkey % 1035 - 1023] end as name from part""",
@@ -335,7 +362,21 @@ STATEMENTS: dict[str, str] = {
     "trained_predictions": f"with {LABELLED} select record_id, w, label, true as known_class, true as shares, 1.0::double as total from lb",
     "saved_model_predictions": f"with {LABELLED} select record_id, w, true as same, true as same_params from lb",
     "classifier_votes": f"with {LABELLED} select distinct record_id, true as is_majority, true as is_share from lb",
-    "cross_validated_training": "select 3 as n_folds, true as mean_inside, true as best_is_share",
+    "one_round_boosting": """with li as (select case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as y, cast(round(l_linenumber) as integer) as line,
+            cast(round(l_discount * 100) as integer) as discount, cast(round(l_tax * 100) as integer) as tax from lineitem),
+        cw as (select y, (select count(*) from li) / (count(distinct y) over () * c::double) as w from (select y, count(*) as c from li group by 1)),
+        ft as (select li.*, cw.w from li join cw using (y)),
+        lv as (select k, j, v, sum(w * (1.0::double / 3 - case when y = k then 1 else 0 end)) as g, sum(w * 4.0::double / 9) as h
+            from (select y, w, unnest([0, 1, 2]) as j, unnest([line, discount, tax]) as v from ft) cross join (select unnest([0, 1, 2]) as k) group by 1, 2, 3),
+        cu as (select k, j, v, sum(g) over a as gl, sum(h) over a as hl, sum(g) over b as ga, sum(h) over b as ha from lv
+            window a as (partition by k, j order by v), b as (partition by k, j)),
+        gn as (select *, 0.5 * (gl ** 2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga ** 2 / (ha + 1)) as gain from cu where hl >= 1 and ha - hl >= 1),
+        tr as (select k, arg_max(struct_pack(j, v, gl, hl, ga, ha), gain) as s from gn group by 1),
+        mg as (select l.line, l.discount, l.tax, l.n, tr.k, case when [l.line, l.discount, l.tax][s.j + 1] <= s.v then -0.5 * s.gl / (s.hl + 1) else -0.5 * (s.ga - s.gl) / (s.ha - s.hl + 1) end as m
+            from (select line, discount, tax, count(*) as n from li group by 1, 2, 3) l cross join tr)
+        select line, discount, tax, n, round(exp(max(m) filter (k = 0)) / sum(exp(m)), 6) as p0, round(exp(max(m) filter (k = 1)) / sum(exp(m)), 6) as p1, round(exp(max(m) filter (k = 2)) / sum(exp(m)), 6) as p2
+        from mg group by 1, 2, 3, 4""",
+    "cross_validated_training": "select 5 as n_folds, true as mean_inside, true as best_is_share",
     "feature_importances": "select cast(unnest(range((select max(len(embedding)) from embeddings))) as integer) as position, true as is_share, 1.0::double as total",
     "train_job": "select count(*) as n_samples, true as scores_are_shares, count(*) as n_predicted from embeddings",
     "window_embeddings": f"with {SIG},{BOUNDS} select record_id, w, start_sec, end_sec, 1024 as width, 1.0::double as norm from wb",

@@ -6,9 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = (

@@ -5,7 +5,7 @@ import sys
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from paths import TESTDATA
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -167,3 +167,22 @@ def test_decelerations(series_of, spark, size, monkeypatch):
         assert sorted(got.get(name, [])) == expected, name
         seen |= {e[3] for e in expected} | {s.split("(")[0] for e in expected for s in e[5]}
     assert {"Prolonged", "Late", "Variable", "Unclassified"} <= seen, seen
+
+
+def test_percentiles_of_any_range(series_of):
+    """Tiny, huge, negative, level and dense values in one key: the same as sorting."""
+    r = random.Random(8)
+    made = {
+        "wide": [1e-300, 1e300, -1e300, 0.0, -1e-300, 5e-324, 3.0, -3.0, 1e16, 1e16 + 2],
+        "one": [7.25],
+        "level": [1e-9] * 50,
+        "dense": [1.0 + k * 2.0**-52 for k in r.sample(range(3000), 700)],
+        "mixed": [r.choice([-1, 1]) * 10 ** r.uniform(-300, 300) for _ in range(400)] + [None] * 9,
+        "ties": [float(r.randrange(4)) for _ in range(301)],
+    }
+    df = series_of({name: {"x": values} for name, values in made.items()})
+    for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0):
+        got = dict(series.percentiles(df, "x", q).collect())
+        for name, values in made.items():
+            present = [v for v in values if v is not None]
+            assert got[name] == pytest.approx(loop_percentile(present, q), rel=1e-15), (name, q)

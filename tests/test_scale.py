@@ -1,10 +1,14 @@
-"""Rounding, folds and class labels: exact results and no join on a class."""
+"""Rounding, folds, class labels and peak spacing: exact results in bounded groups."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cardiolake.functions.scalar import half_even
 from cardiolake.operators import metrics, series
+from cardiolake.operators.contractions import spaced_long
+from cardiolake.operators.spacing import chained, spaced_cells
 
 
 @pytest.mark.parametrize(
@@ -101,18 +105,48 @@ def test_nearest_higher_extent():
             assert stop[k] == want and base[k] == min([lows[j] for j in before if j > want], default=np.inf)
 
 
-def test_level_peaks_are_settled_as_one_by_one(spark):
-    """Equal and rising peaks in one long session: the same as taking the highest, latest first."""
-    import random
+def slow_spacing(peaks, distance):
+    """Highest first, latest first among equals."""
+    kept = []
+    for h, p in sorted(((h, p) for p, h in peaks), reverse=True):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    return sorted(kept)
 
-    from cardiolake.operators.contractions import settled_sessions
 
+def peak_trains():
+    """Level, rising, falling, interleaved and random heights: chains of decisions in either direction."""
     rng = random.Random(2)
-    for heights in ([5.0] * 400, [float(k) for k in range(400)], [float(rng.randrange(4)) for _ in range(400)]):
-        peaks = [(k * 7 + rng.randrange(5), h) for k, h in enumerate(heights)]
-        kept = []
-        for h, p in sorted(((h, p) for p, h in peaks), reverse=True):
-            if all(abs(p - q) >= 40 for q in kept):
-                kept.append(p)
-        rows = spark.createDataFrame([("a", p, h) for p, h in peaks], "record_id string, p long, h double")
-        assert sorted(r["p"] for r in settled_sessions(rows, 40, ["record_id"]).collect()) == sorted(kept)
+    n = 400
+    heights = [
+        [5.0] * n,
+        [float(k) for k in range(n)],
+        [float(-k) for k in range(n)],
+        [float(k if k % 2 else n - k) for k in range(n)],
+        [float(abs(k - n // 2)) for k in range(n)],
+        [float(min(k % 150, 40)) for k in range(n)],
+    ]
+    heights += [[float(rng.randrange(m)) for _ in range(n)] for m in (2, 4, 1000)]
+    for h in heights:
+        places = sorted(rng.sample(range(n * 7), n)) if rng.random() < 0.5 else [k * 7 + rng.randrange(5) for k in range(n)]
+        yield list(zip(places, h))
+
+
+@pytest.mark.parametrize("size", (10, 100, 100_000))
+def test_spacing_goes_over_cells(spark, size):
+    """Small cells, whose decisions come from far away, give the result of one loop over all peaks."""
+    trains = {f"t{k}": peaks for k, peaks in enumerate(peak_trains())}
+    rows = [(name, p, h) for name, peaks in trains.items() for p, h in peaks]
+    df = spark.createDataFrame(rows, "record_id string, p long, h double").cache()
+    for found in (spaced_cells(df, 40, size=size), spaced_long(df, 40, size=max(size, 50))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["record_id"], []).append(r["p"])
+        for name, peaks in trains.items():
+            assert sorted(got[name]) == slow_spacing(peaks, 40), name
+
+
+def test_chains_with_holes():
+    """Cells without open peaks part a record into chains of their own."""
+    cells = [(0, [(-1, -1, 3, 8)]), (2, [(-1, 30, -1, 29), (-1, -1, 20, 25)]), (3, [(25, -1, -1, 31)])]
+    assert sorted(chained(cells)) == [(0, -1, -1), (2, -1, -1), (3, 25, -1)]
