@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions that run in tasks travel with the job, so executors need no copy of the package.
@@ -16,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSION = 1024
 
+# Module of a worker process that keeps loaded models.
+_LOADED = "cardiolake_loaded_models"
+
 # An encoder maps (prepared windows [b, width], seeds [b]) to embeddings [b, 1024].
 Encoder = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -41,6 +46,36 @@ def statistical_encoder(prepared: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.where(norm > 1e-8, out / np.maximum(norm, 1e-8), out).astype(np.float32)
 
 
+class ModelEncoder:
+    """An encoder whose model is loaded from files that are shipped to the workers.
+
+    ``load`` gets the local paths of ``files`` and returns a function from prepared windows to
+    embeddings. A worker process loads once, whatever number of batches and tasks it runs, and the model
+    sees at most ``batch_size`` windows at a time.
+    """
+
+    def __init__(self, spark: SparkSession, files: Sequence[str], load: Callable[[list[str]], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64):
+        self.names = []
+        for file in files:
+            spark.sparkContext.addFile(file)
+            self.names.append(file.rstrip("/").rpartition("/")[2])
+        self.load, self.batch_size, self.key = load, batch_size, uuid.uuid4().hex
+
+    def __call__(self, prepared: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        model = _model_of(self)
+        parts = [prepared[at : at + self.batch_size] for at in range(0, len(prepared), self.batch_size)]
+        return np.concatenate([np.asarray(model(part), np.float32) for part in parts]) if parts else np.zeros((0, DIMENSION), np.float32)
+
+
+def _model_of(encoder: ModelEncoder) -> Callable[[np.ndarray], np.ndarray]:
+    """The loaded model of an encoder, kept by the worker process under the encoder's key."""
+    # This module travels by value and is made anew for each task; what sys.modules holds stays.
+    held = sys.modules.setdefault(_LOADED, ModuleType(_LOADED)).__dict__
+    if encoder.key not in held:
+        held[encoder.key] = encoder.load([SparkFiles.get(name) for name in encoder.names])
+    return held[encoder.key]
+
+
 def _encoded(encoder: Encoder, prepared: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     out = np.asarray(encoder(prepared, seeds))
     if out.shape != (len(prepared), DIMENSION):

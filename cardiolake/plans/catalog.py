@@ -416,6 +416,28 @@ def window_embeddings(spark, folder):
     )
 
 
+def _load_weights(paths):
+    """A tiny network: the largest value of a window times each weight."""
+    import numpy as np
+
+    weights = np.array([float(line) for line in open(paths[0])])
+    return lambda prepared: prepared.max(axis=1, keepdims=True) * weights
+
+
+def model_embeddings(spark, folder):
+    """Windows encoded by a model that workers load from a shipped file of weights."""
+    path = _scratch(spark)
+    weights = table(spark, folder, "part").select(F.lit(1).alias("x")).limit(1).select(F.explode(F.expr("sequence(0, 1023)")).alias("k"))
+    lines = weights.select(F.format_string("%d", F.expr("k div 512")).alias("value"), "k").coalesce(1).sortWithinPartitions("k")
+    lines.select("value").write.text(path)
+    file = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).first()["f"]
+    encoder = embedding.ModelEncoder(spark, [file], _load_weights, batch_size=16)
+    ready = prepare(windows(heart(spark, folder), SHORT_WINDOWS), SHORT_WINDOWS)
+    found = embedding.embed(ready, encoder, is_mock=False)
+    at = lambda k: F.round(F.col("embedding")[k].cast("double"), 3)
+    return found.select("record_id", "w", F.size("embedding").alias("width"), at(511).alias("low"), at(512).alias("high"), "is_mock")
+
+
 def rule_feature_columns(spark, folder):
     named = features.rule_features(F.col("early_count"))
     return rounded(order_findings(spark, folder).select("record_id", *[c.alias(n) for n, c in named.items()]))
@@ -506,6 +528,18 @@ def window_quarantine(spark, folder):
     return dataset.read_quarantine(spark, _built(spark, folder)[0])
 
 
+def dataset_update(spark, folder):
+    """Rows after three builds into one dataset: all records, no change, and one record with a new version and label."""
+    path, samples = _scratch(spark), samples_from_events(spark, folder)
+    records = _labels(spark, folder).withColumn("version", F.lit("1"))
+    params = dataset.DatasetParams(window=SHORT_WINDOWS)
+    renewed = F.col("record_id") == "click-0"
+    later = records.withColumns({"version": F.when(renewed, "2").otherwise("1"), "label": F.when(renewed, 2).otherwise(F.col("label"))})
+    built = [dataset.update_dataset(spark, samples, r, path, params) for r in (records, records, later)]
+    rows = dataset.read_updated(spark, later, path)
+    return rows.select("record_id", "w", "start_idx", "end_idx", "label", *[F.lit(n).cast("long").alias(f"built_{k}") for k, n in enumerate(built)])
+
+
 def feature_name_lookup(spark, folder):
     positions = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % features.FEATURE_COUNT).alias("position"))
     return features.feature_name_rows(positions)
@@ -877,8 +911,8 @@ QUERIES: dict[str, Query] = {
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,
         sinusoidal_default, sinusoidal_five_minutes, rule_engine, rule_engine_per_window,
         window_rules, window_rules_with_spectrum,
-        prepared_windows, window_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
-        feature_tail_per_window, dataset_roundtrip, dataset_audit, dataset_build, window_quarantine, feature_name_lookup, header_records,
+        prepared_windows, window_embeddings, model_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
+        feature_tail_per_window, dataset_roundtrip, dataset_audit, dataset_build, window_quarantine, dataset_update, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
         ingested_samples, ingest_quarantine,
         class_weights, weighted_rows, confusion_matrix, classification_report, macro_f1,

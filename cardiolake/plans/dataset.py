@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +16,7 @@ from cardiolake.operators import embedding, features, series
 from cardiolake.operators.windows import prepare, windows
 from cardiolake.params import CHUNK, WindowParams
 from cardiolake.plans.scoring import RuleParams, clean_record_signals, rule_findings
-from cardiolake.operators.staging import stage
+from cardiolake.operators.staging import stage, written
 
 
 @dataclass(frozen=True)
@@ -159,3 +164,84 @@ def build_dataset(
     if totals.first()["processed"] == 0:
         raise RuntimeError("no record was processed")
     return totals
+
+
+# --- builds that go on where they ended --------------------------------------------------------
+
+
+def params_key(params: DatasetParams, encoder_name: str) -> str:
+    """Names everything but the samples that a record's rows depend on."""
+    return hashlib.sha256(f"{params!r}|{encoder_name}".encode()).hexdigest()
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """``record_id, version, label, params, turn, n_windows`` of every finished part of a dataset.
+
+    A part counts once its folder holds the marker that Spark writes last, so a build that was
+    cut off leaves nothing behind that readers see.
+    """
+    root = f"{path.rstrip('/')}/commits"
+    schema = "record_id string, version string, label int, params string, n_windows long"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    turns = [s.getPath().toString() for s in files.listStatus(place)] if files.exists(place) else []
+    done = [t for t in turns if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{t}/_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], f"{schema}, turn string")
+    return spark.read.schema(f"{schema}, turn string").option("basePath", root).parquet(*done)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last commit of each record."""
+    columns = ("version", "label", "params", "n_windows", "turn")
+    last = F.max_by(F.struct(*columns), "turn").alias("c")
+    return commits(spark, path).groupBy("record_id").agg(last).select("record_id", "c.*")
+
+
+def update_dataset(
+    spark: SparkSession,
+    samples: DataFrame,
+    records: DataFrame,
+    path: str,
+    params: DatasetParams = DatasetParams(),
+    encoder: embedding.Encoder = embedding.statistical_encoder,
+    encoder_name: str = "statistical",
+    is_mock: bool = True,
+) -> int:
+    """Build the rows of the records that are new or have changed; returns how many those are.
+
+    ``records`` has ``record_id, version, label``; a record is built again when its version, its label
+    or the parameters differ from its last commit. Nothing else of ``samples`` takes part, and
+    without a change they are not read at all. Rows go to a folder of their own, and the commit that names
+    it is written last: readers see all of a part or nothing, and a run that was cut off is
+    repeated. Records that are no longer listed stay in the log but not in ``read_updated``.
+    """
+    key = params_key(params, encoder_name)
+    wanted = records.select("record_id", F.col("version").cast("string"), F.col("label").cast("int"), F.lit(key).alias("params"))
+    had = current(spark, path).select("record_id", "version", "label", "params")
+    same = [wanted[c].eqNullSafe(had[c]) for c in ("record_id", "version", "label", "params")]
+    changed = written(wanted.join(had, reduce(and_, same), "left_anti"))
+    count = changed.count()
+    if not count:
+        return 0
+    turn = f"{int(time.time() * 1e6):020d}-{uuid.uuid4().hex[:8]}"
+    root = path.rstrip("/")
+    part = samples.join(changed.select("record_id"), "record_id", "left_semi")
+    rows = window_rows(part, changed.select("record_id", "label"), params, encoder, is_mock)
+    rows.withColumn("failed", F.col("error").isNotNull().cast("int")).write.partitionBy("failed").parquet(f"{root}/parts/turn={turn}")
+    made = spark.read.parquet(f"{root}/parts/turn={turn}").where("failed = 0").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    log = changed.join(made, "record_id", "left").na.fill(0, ["n_windows"])
+    log.select("record_id", "version", "label", "params", "n_windows").write.parquet(f"{root}/commits/turn={turn}")
+    return count
+
+
+def read_updated(spark: SparkSession, records: DataFrame, path: str) -> DataFrame:
+    """The rows of each listed record's last commit. Fails with FileNotFoundError where nothing was committed."""
+    last = current(spark, path).join(records.select("record_id"), "record_id", "left_semi").where("n_windows > 0")
+    turns = [r["turn"] for r in last.select("turn").distinct().collect()]  # a row an update
+    if not turns:
+        raise FileNotFoundError(f"no dataset under {path}; build it first")
+    root = f"{path.rstrip('/')}/parts"
+    rows = spark.read.option("basePath", root).parquet(*[f"{root}/turn={t}" for t in turns]).where("failed = 0")
+    rows = rows.withColumn("turn", F.col("turn").cast("string")).drop("failed", "error")
+    return rows.join(last.select("record_id", "turn"), ["record_id", "turn"], "left_semi").drop("turn")

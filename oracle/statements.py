@@ -300,6 +300,9 @@ STATEMENTS: dict[str, str] = {
     "dataset_build": f"""with {CLEAN},{BOUNDS},{STARTS}, lb as (select record_id, length(record_id) % 3 as label, count(*) filter (not low) as c from ps group by 1)
         select count(*) filter (c > 0) as processed, count(*) filter (c = 0) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
         cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lb""",
+    "dataset_update": f"""with {SIG},{BOUNDS} select record_id, w, start_idx, end_idx, cast(case when record_id = 'click-0' then 2 else length(record_id) % 3 end as integer) as label,
+        (select count(*) from wn) as built_0, cast(0 as bigint) as built_1, cast(1 as bigint) as built_2 from wb""",
+    "model_embeddings": f"""select record_id, w, 1024 as width, 0.0::double as low, z_max as high, false as is_mock from ({PREPARED})""",
     "window_quarantine": f"with {CLEAN},{BOUNDS},{STARTS} select record_id, w, start_idx, end_idx, 'ArithmeticError: window starts low' as error from ps where low",
     "feature_name_lookup": """select p_partkey, p_partkey % 1035 as position, case when p_partkey % 1035 < 1024 then printf('moment_emb_%04d', p_partkey % 1035) else
         (['baseline_norm', 'variability_value_norm', 'var_cat_absent', 'var_cat_minimal', 'var_cat_moderate', 'var_cat_marked', 'late_decel_count_norm', 'variable_decel_count_norm',
