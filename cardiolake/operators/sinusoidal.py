@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from cardiolake.params import CHUNK, SinusoidalParams
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Segments that are transformed at a time.
+_TOGETHER = 64
+
+
 def confidence(dominance: Column, amplitude: Column, params: SinusoidalParams) -> Column:
     center = (params.min_amplitude + params.max_amplitude) / 2
     reach = (params.max_amplitude - params.min_amplitude) / 2
@@ -52,33 +56,43 @@ def segment_figures(
 
 
 def spectrum(segments: DataFrame, params: SinusoidalParams, keys: Sequence[str]) -> DataFrame:
-    """Dominant in-band frequency and share of in-band magnitude per record.
+    """Dominant in-band frequency and share of in-band magnitude of each row's ``values``.
 
-    A discrete Fourier transform has no built-in expression; each group is one bounded segment.
+    A discrete Fourier transform has no built-in expression. Segments are bounded arrays, transformed
+    together in Arrow batches; no record is a Python group of its own.
     """
     step = 1.0 / params.sampling_rate
     low, high = params.min_cycles_per_minute / 60, params.max_cycles_per_minute / 60
     names = list(keys)
 
-    def transform(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("k")["x"].to_numpy(dtype=float)
-        mean = np.nanmean(x)
-        size = np.abs(np.fft.rfft(np.where(np.isnan(x), mean, x) - mean))[1 : (len(x) + 1) // 2]
-        frequency = np.arange(1, len(size) + 1) * (1.0 / (len(x) * step))
+    def figures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.nanmean(x, axis=1, keepdims=True)
+        size = np.abs(np.fft.rfft(np.where(np.isnan(x), mean, x) - mean, axis=1))[:, 1 : (x.shape[1] + 1) // 2]
+        frequency = np.arange(1, size.shape[1] + 1) * (1.0 / (x.shape[1] * step))
         band = (frequency >= low) & (frequency <= high)
-        out = group[names].head(1).copy()
-        total = size.sum()
-        out["frequency"] = frequency[band][size[band].argmax()] if band.any() else np.nan
-        out["dominance"] = size[band].sum() / total if total > 0 else 0.0
-        return out
+        total, inside = size.sum(axis=1), size[:, band]
+        dominant = frequency[band][inside.argmax(axis=1)] if band.any() else np.full(len(x), np.nan)
+        return dominant, np.divide(inside.sum(axis=1), total, out=np.zeros(len(x)), where=total > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(names))
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype(float), lists.offsets.to_numpy()
+            lengths = np.diff(offsets)
+            frequency, dominance = np.full(len(lengths), np.nan), np.zeros(len(lengths))
+            for n in np.unique(lengths):
+                rows = np.flatnonzero(lengths == n)
+                for at in range(0, len(rows), _TOGETHER):
+                    some = rows[at : at + _TOGETHER]
+                    frequency[some], dominance[some] = figures(flat[offsets[some][:, None] + np.arange(n)])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], pa.array(frequency, from_pandas=True), pa.array(dominance)],
+                names=[*names, "frequency", "dominance"],
+            )
 
     types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    return (
-        segments.groupBy(*keys)
-        .applyInPandas(transform, f"{key_schema}, frequency double, dominance double")
-        .withColumn("frequency", F.nanvl("frequency", F.lit(None).cast("double")))
-    )
+    return segments.select(*keys, "values").mapInArrow(run, f"{key_schema}, frequency double, dominance double")
 
 
 def sinusoidal(
@@ -92,7 +106,9 @@ def sinusoidal(
     last, figures = segment_figures(samples, params, value, keys, size)
     long_enough = F.col("n") >= params.window
     usable = long_enough & (F.col("n_valid") >= params.window * 0.5)
-    segments = last.select(*keys, "k", "x").join(figures.where(usable).select(*keys), list(keys))
+    chosen = last.select(*keys, "k", "x").join(figures.where(usable).select(*keys), list(keys))
+    segments = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))
+    segments = segments.withColumn("values", F.transform("s", lambda p: p.x))
     rows = figures.join(spectrum(segments, params, keys), list(keys), "left")
     return result_row(rows, params, keys)
 

@@ -38,6 +38,7 @@ from cardiolake.plans import dataset, scoring, training
 from cardiolake.operators.staging import shared_folder, stage
 from cardiolake.sources import headers, signals
 from cardiolake.sources.tables import samples_from_events, table
+from cardiolake.streaming.windows import stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -407,6 +408,27 @@ def prepared_windows(spark, folder):
     )
 
 
+def streamed_windows(spark, folder):
+    """Windows of a stream of sample files, ten in turn and each with samples of the next: those of the batch plan."""
+    path = _scratch(spark)
+    start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i") / 4)
+    samples = samples_from_events(spark, folder).select("record_id", "i", "fhr", start.alias("ts"))
+    turn = F.expr("least(9, i div 2400 % 10 + if(i % 7 = 3, 1, 0))")
+    ahead = (F.max("ts") + F.expr("interval 1 day")).alias("ts")
+    last = samples.agg(ahead).selectExpr("'end' as record_id", "0L as i", "cast(null as double) as fhr", "ts")
+    parted = samples.withColumn("turn", turn).persist()
+    for k in range(10):  # files are taken by age
+        parted.where(F.col("turn") == k).drop("turn").write.mode("append").parquet(f"{path}/in")
+    last.write.mode("append").parquet(f"{path}/in")
+    parted.unpersist()
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    found = stream_windows(stream, SHORT_WINDOWS, delay_seconds=7200)
+    out = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    out.start(f"{path}/out").awaitTermination()
+    rows = spark.read.parquet(f"{path}/out").where("record_id <> 'end'")
+    return rounded(rows.select("record_id", "w", "start_idx", "end_idx", "n_present", "sum_present"))
+
+
 def window_embeddings(spark, folder):
     """One unit vector per window."""
     ready = prepare(windows(heart(spark, folder), SHORT_WINDOWS), SHORT_WINDOWS)
@@ -911,7 +933,7 @@ QUERIES: dict[str, Query] = {
         spaced_heart_peaks, tachysystole_per_record, tachysystole_raw_uc, contraction_count,
         sinusoidal_default, sinusoidal_five_minutes, rule_engine, rule_engine_per_window,
         window_rules, window_rules_with_spectrum,
-        prepared_windows, window_embeddings, model_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
+        prepared_windows, streamed_windows, window_embeddings, model_embeddings, rule_feature_columns, loose_rule_features, feature_rows,
         feature_tail_per_window, dataset_roundtrip, dataset_audit, dataset_build, window_quarantine, dataset_update, feature_name_lookup, header_records,
         header_quarantine, header_outcomes, header_metadata, first_records, decode_signals,
         ingested_samples, ingest_quarantine,

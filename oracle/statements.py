@@ -284,6 +284,7 @@ STATEMENTS: dict[str, str] = {
     "window_rules": window_rules(2400, 240, 4800, 20.0),
     "window_rules_with_spectrum": window_rules(1440, 480, 1200, 5.0),
     "prepared_windows": PREPARED,
+    "streamed_windows": f"with {CLEAN},{BOUNDS} select b.record_id, b.w, b.start_idx, b.end_idx, count(fc.x) as n_present, round(sum(fc.x), 6) as sum_present from wb b join fc on fc.record_id = b.record_id and fc.i >= b.start_idx and fc.i < b.end_idx group by 1, 2, 3, 4",
     "loose_rule_features": f"with {FINDINGS} select record_id, "
     + RULE_FEATURES.replace("variability_value /", "case when record_id % 5 = 0 or variability_value = 0 then 10.0::double else variability_value end /").format(recurrent="case when early_count > 0 and decel_count / early_count::double > 0.5 then 1.0::double else 0.0::double end")
     + " from fx",
