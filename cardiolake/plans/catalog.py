@@ -128,13 +128,30 @@ def order_headers(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(""),
         F.concat(F.lit("#----- Additional parameters for record "), name),
         ph_line,
-        F.concat(F.lit("#Gest. weeks  "), (F.lit(32) + key % 11).cast("string")),
-        F.concat(F.lit("#Hypertension "), (key % 2).cast("string")),
-        F.concat(F.lit("#Age          "), (F.lit(18) + F.col("o_custkey") % 25).cast("string")),
+        *[F.concat(F.lit(f"#{name:<13}"), value) for name, value in _clinical_values(key, F.col("o_custkey")).items()],
     )
     return table(spark, folder, "orders").select(name.alias("record_id"), content.alias("content"))
 
 
+def _clinical_values(key: Column, customer: Column) -> dict[str, Column]:
+    """Texts of the clinical header lines; a NULL leaves the line out, some values cannot be read."""
+    tenths = lambda c: F.format_string("%.1f", c / 10)
+    whole = {
+        "Apgar1": customer % 11, "Apgar5": (customer + key) % 11, "Gest. weeks": F.lit(32) + key % 11, "Weight(g)": F.lit(1500) + customer % 3000,
+        "Sex": F.lit(1) + key % 2, "Age": F.lit(18) + customer % 25, "Parity": customer % 5, "Diabetes": (key % 3 == 0).cast("int"),
+        "Hypertension": key % 2, "Preeclampsia": (key % 7 == 0).cast("int"), "Meconium": customer % 2, "Presentation": F.lit(1) + customer % 3,
+        "Induced": (key + customer) % 2, "I.stage": F.lit(30) + customer % 400, "II.stage": F.when(key % 5 > 0, key % 120),
+        "Deliv. type": F.lit(1) + (key + 1) % 2, "Pos. II.st.": F.lit(12000) + customer % 7221,
+    }
+    return {
+        "BDecf": tenths(customer % 130),
+        "pCO2": F.when(key % 11 == 4, "NaN").otherwise(tenths(key % 90)),
+        "BE": F.concat(F.lit("-"), tenths(customer % 140 + 1)),
+        "Gravidity": F.when(key % 13 == 2, "n/a").otherwise((customer % 9).cast("string")),
+        **{name: value.cast("string") for name, value in whole.items()},
+    }
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Three-class labels and predictions per embedding row."""
     v, l = F.col("vec_id"), F.col("label")
@@ -589,11 +606,7 @@ def header_outcomes(spark, folder):
 
 def header_metadata(spark, folder):
     parsed = headers.parse_headers(order_headers(spark, folder)).where("error is null")
-    return rounded(
-        headers.clinical_metadata(parsed).select(
-            "record_id", "num_samples", "duration_min", "fhr_gain", "fhr_baseline", "gest_weeks", "hypertension", "maternal_age"
-        )
-    )
+    return rounded(headers.clinical_metadata(parsed))
 
 
 def first_records(spark, folder):

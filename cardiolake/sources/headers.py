@@ -163,12 +163,17 @@ def outcome_labels(headers: DataFrame) -> DataFrame:
 
 
 def clinical_metadata(parsed: DataFrame) -> DataFrame:
-    """31 typed columns per record; gains and true baselines come from the signal lines."""
+    """31 typed columns per record; gains and true baselines come from the signal lines.
+
+    What is absent, unreadable or not a number is NULL.
+    """
     fhr, uc = channel("signals", "FHR"), channel("signals", "UC")
-    typed = [
-        F.get(F.array(F.col("comments")[key]), F.lit(0)).try_cast(kind).alias(name)
-        for key, (name, kind) in METADATA.items()
-    ]
+
+    def typed_value(key: str, kind: str) -> Column:
+        value = F.get(F.array(F.col("comments")[key]), F.lit(0)).try_cast(kind)
+        return F.nanvl(value, F.lit(None).cast("double")) if kind == "double" else value
+
+    typed = [typed_value(key, kind).alias(name) for key, (name, kind) in METADATA.items()]
     return parsed.select(
         "record_id",
         F.col("sampling_rate").alias("sampling_freq"),

@@ -312,8 +312,14 @@ STATEMENTS: dict[str, str] = {
         case when k % 3 = 0 then null else 1 end as uc_position, case when k % 3 = 0 then null else 50.0::double end as uc_gain from hd where not bad_line and not no_fhr""",
     "header_quarantine": f"with {HEADERS} select record_id, case when bad_line then 'unreadable record line' else 'no FHR signal' end as error from hd where bad_line or no_fhr",
     "header_outcomes": f"with {HEADERS} select record_id, ph, case when ph < 7.15 then 2 when ph < 7.20 then 1 else 0 end as label from hd",
-    "header_metadata": f"""with {HEADERS} select record_id, n as num_samples, round(n / 240.0::double, 6) as duration_min, 100.0::double as fhr_gain, 0 as fhr_baseline, cast(32 + k % 11 as integer) as gest_weeks,
-        cast(k % 2 as integer) as hypertension, cast(18 + c % 25 as integer) as maternal_age from hd where not bad_line and not no_fhr""",
+    "header_metadata": f"""with {HEADERS} select record_id, 4.0::double as sampling_freq, n as num_samples, 100.0::double as fhr_gain, 0 as fhr_baseline, case when k % 3 > 0 then 50.0::double end as uc_gain,
+        case when k % 3 > 0 then 0 end as uc_baseline, 2 as num_signals, round(n / 240.0::double, 6) as duration_min, ph as "pH",
+        (c % 130) / 10.0::double as "BDecf", case when k % 11 <> 4 then (k % 90) / 10.0::double end as "pCO2", -((c % 140 + 1) / 10.0::double) as "BE",
+        cast(c % 11 as integer) as "Apgar1", cast((c + k) % 11 as integer) as "Apgar5", cast(32 + k % 11 as integer) as gest_weeks, cast(1500 + c % 3000 as double) as weight_g, cast(1 + k % 2 as integer) as sex,
+        cast(18 + c % 25 as integer) as maternal_age, case when k % 13 <> 2 then cast(c % 9 as double) end as gravidity, cast(c % 5 as integer) as parity, cast(k % 3 = 0 as integer) as diabetes,
+        cast(k % 2 as integer) as hypertension, cast(k % 7 = 0 as integer) as preeclampsia, cast(c % 2 as integer) as meconium, cast(1 + c % 3 as integer) as presentation, cast((k + c) % 2 as integer) as induced,
+        cast(30 + c % 400 as integer) as stage1_min, case when k % 5 > 0 then cast(k % 120 as integer) end as stage2_min, cast(1 + (k + 1) % 2 as integer) as delivery_type, cast(12000 + c % 7221 as integer) as pos_stage2
+        from hd where not bad_line and not no_fhr""",
     "first_records": "select distinct cast(o_orderkey as varchar) as record_id from orders order by 1 limit 20",
     "decode_signals": f"with {SIG} select record_id, i, round(round(fhr * 100) / 100, 2) as fhr, round(round(uc * 50) / 50, 2) as uc from sig",
     "ingested_samples": f"""with {SIG} select record_id, i, round(round(fhr * 100) / 100, 2) as fhr, round(round(uc * 50) / 50, 2) as uc from sig
