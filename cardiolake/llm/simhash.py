@@ -157,7 +157,7 @@ def groups(
 # so 280 of 1,024 is more than ten deviations above it and more than ten below chance (512).
 PLANES, PRINTS, APART = 16, 32, 280
 _STEP = 0x9E3779B97F4A7C15
-# Members of a print's variant that meet pair by pair; larger collections are linked to their least member.
+# Members of a print's variant that may meet pair by pair; more of them are linked to the least one.
 _PAIRED = 8
 
 
@@ -194,8 +194,9 @@ def close_cells(near: DataFrame) -> DataFrame:
 
     Each print emits its ball of radius 1, so two nodes meet where a print differs in at most two
     bits. A print has eight bits more than the count of nodes needs (24 to 32), so chance meetings
-    stay rare, and where few meet they are paired and told apart by all bits. Where many meet, they
-    are linked to the least of them: links grow with the members, and none is left out.
+    stay rare. Where many meet, they are linked to the least of them: links grow with the members, and
+    none is left out. Where few meet that are not connected so, they are paired and told apart by
+    all bits.
     """
     width = min(32, max(24, near.count().bit_length() + 8))
     keys = []
@@ -209,14 +210,19 @@ def close_cells(near: DataFrame) -> DataFrame:
     keyed = near.select("node", F.explode(F.flatten(F.array(*keys))).alias("key"))
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
     met = written(keyed.join(lists, "key"), "alike-met")
-    few = met.filter(F.col("members") <= _PAIRED).select("key", "node")
-    pairs = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key")
-    pairs = pairs.filter("u < v").select("u", "v").distinct()
-    side = lambda c: near.select(F.col("node").alias(c), F.col("bits").alias(f"bits{c}"))
+    many = met.filter(F.col("members") > _PAIRED).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    joined = written(components(many, "alike-many").withColumnRenamed("root", "part"), "alike-parts")
+    few = met.filter(F.col("members") <= _PAIRED).select("key", "node").join(joined, "node", "left")
+    few = few.withColumn("part", F.coalesce("part", "node"))
+    mixed = few.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+    few = written(few.join(mixed, "key"), "alike-few")
+    side = lambda c: few.select("key", F.col("node").alias(c), F.col("part").alias(f"part{c}"))
+    pairs = side("u").join(side("v"), "key").filter("partu < partv").select("u", "v").distinct()
+    bits = lambda c: near.select(F.col("node").alias(c), F.col("bits").alias(f"bits{c}"))
     differ = sum(F.bit_count(F.col("bitsu")[i].bitwiseXOR(F.col("bitsv")[i])) for i in range(PLANES))
-    close = pairs.join(side("u"), "u").join(side("v"), "v").filter(differ <= APART).select("u", "v")
-    many = met.filter(F.col("members") > _PAIRED).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    found = components(close.unionByName(many), "alike-cells")
+    close = pairs.join(bits("u"), "u").join(bits("v"), "v").filter(differ <= APART).select("u", "v")
+    within = joined.select(F.col("node").alias("u"), F.col("part").alias("v"))
+    found = components(close.unionByName(within), "alike-cells")
     return found.select(jaccard.cell_of(0, "root"), "node")
 
 
