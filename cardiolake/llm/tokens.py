@@ -16,8 +16,10 @@ _PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _MIXED = re.compile(r"[^\S \t-\r][ \t-\r]")
 # Marks that form one pre-token after letters (the apostrophe may belong to the word).
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+# White space (and the null character) that makes regular expressions decide; pairs that make a run without it.
+_RARE = "".join(c for c in map(chr, range(0x3001)) if c == "\0" or (c.isspace() and c not in " \n"))
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 MAX_WORDS = 400_000
-_AT_ONCE = 250
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,7 +53,7 @@ class Encoder:
     ' word', each distinct piece is encoded once, and ids are joined from a table. A new piece of
     Latin-1 letters, perhaps with marks after it, is one or two pre-tokens and goes to the
     tokenizer's BPE model as such; other pieces go through the whole tokenizer, as does every text of
-    another kind of tokenizer. The table is emptied when it holds ``max_words`` pieces.
+    another kind of tokenizer. The table holds ``max_words`` pieces at most.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
@@ -63,8 +65,10 @@ class Encoder:
         self.kind = _kind(path)
         self.model = self.tokenizer.model
         self.max_words = max_words
-        self.known: dict[str, bytes] = {}
+        self.model_tokens = self.model.tokenize
+        self.known = _Known(self)
         self.letters = str.maketrans(_byte_letters())
+        self.space = " ".translate(self.letters)
         self.marks = {"": b""}
         self.feed = self._plain(["\n"])[0] if self.kind == "byte" else b""
 
@@ -76,75 +80,61 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        out, others = {}, []
-        tokenize, letters = self.model.tokenize, self.letters
-        for piece in pieces:
-            space, head = piece[0] == " ", b""
-            if piece[0] == "\n":
-                head = self.feed
-            rest = piece[1:] if space or piece[0] == "\n" else piece
-            word = rest.rstrip(_MARKS)
-            if not word.isalpha() or max(word) > "\xff":
-                others.append(piece)
-                continue
-            marks = rest[len(word) :]
-            end = self.marks.get(marks)
-            if end is None:
-                end = self.marks[marks] = self._plain([marks])[0]
-                if len(self.marks) > 10_000:
-                    self.marks = {"": b""}
-            if self.kind == "word":
-                word = word.lower()
-            elif space:
-                word = " " + word
-            tokens = tokenize(word.encode().decode("latin-1").translate(letters))
-            out[piece] = head + array("I", [t.id for t in tokens]).tobytes() + end
-        if others:
-            out.update(zip(others, self._plain(others)))
-        return out
+    def _fresh(self, piece: str) -> bytes:
+        """The ids of one piece."""
+        first = piece[0]
+        rest = piece[1:] if first in " \n" else piece
+        word = rest.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._plain([piece])[0]
+        marks = rest[len(word) :]
+        end = self.marks.get(marks)
+        if end is None:
+            end = self.marks[marks] = self._plain([marks])[0]
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+        if self.kind == "word":
+            word = word.lower()
+        if not word.isascii():  # ASCII letters are written as themselves
+            if max(word) > "\xff":
+                return self._plain([piece])[0]
+            word = word.encode().decode("latin-1").translate(self.letters)
+        if first == " " and self.kind == "byte":
+            word = self.space + word
+        ids = array("I", [t.id for t in self.model_tokens(word)]).tobytes()
+        return (self.feed + ids + end) if first == "\n" else ids + end
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; NULL counts as empty."""
-        out: list[bytes] = []
-        for low in range(0, len(texts), _AT_ONCE):
-            out += self._block(texts[low : low + _AT_ONCE])
-        return out
-
-    def _block(self, texts: Sequence[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        get = self.known.get
-        waiting, new = [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.kind == "other" or _MIXED.search(text):
-                out[i] = self._plain([text])[0]
-                continue
-            if "\0" in text or _RUN.search(text):
-                pieces = _PIECES.findall(text)
-            else:
-                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            ids = list(map(get, pieces))
-            missing = [k for k, x in enumerate(ids) if x is None]
-            if missing:
-                names = [pieces[k] for k in missing]
-                new.update(names)
-                waiting.append((i, ids, missing, names))
-            else:
-                out[i] = b"".join(ids)
-        new.discard("")
-        fresh = self._fresh(new) if new else {}
-        fresh[""] = b""
-        for i, ids, missing, names in waiting:
-            for k, name in zip(missing, names):
-                ids[k] = fresh[name]
-            out[i] = b"".join(ids)
-        if len(self.known) + len(fresh) > self.max_words:
-            self.known.clear()
-        if len(fresh) <= self.max_words:
-            self.known.update(fresh)
-        return out
+        return [self._text(text) if text else b"" for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        # With spaces and line feeds as its only white space, a text needs no regular expression.
+        plain = not any(c in text for c in _RARE)
+        if self.kind == "other" or (not plain and _MIXED.search(text)):
+            return self._plain([text])[0]
+        runs = any(p in text for p in _PAIRS) if plain else "\0" in text or _RUN.search(text)
+        if runs:
+            pieces = _PIECES.findall(text)
+        else:
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return b"".join(map(self.known.__getitem__, pieces))
+
+
+class _Known(dict):
+    """Ids by piece; a new piece is encoded when it is first asked for. Emptied at ``max_words`` pieces."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        if len(self) >= self.encoder.max_words:
+            self.clear()
+        found = self[piece] = self.encoder._fresh(piece)
+        return found
 
 
 @functools.lru_cache(maxsize=4)
