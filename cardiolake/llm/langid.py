@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
 UNKNOWN = "und"
 
@@ -223,7 +222,7 @@ def label_texts(net: Network | None, texts: list[str | None], block: int = 4096)
 
     waiting = 0
     for i, text in enumerate(texts):
-        if not text or not _LETTER.search(text):
+        if not text or not any(map(str.isalpha, text)):
             continue
         found = windows_of(text.encode("utf-8", "surrogatepass"))
         count[i] = len(found)
