@@ -11,8 +11,8 @@ from cardiolake.llm.shared import WORD, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CELLS = 4096
-# A prime above any number of blocks of a source: multiplying by it permutes block numbers.
-STEP = 2_147_483_647
+# Rounds that permute the blocks of a source in a pass.
+ROUNDS = 24
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -220,7 +220,7 @@ def mix(
         .withColumn("passes", F.expr("if(source_size > 0, goal div source_size, 0L)"))
         .withColumn("rest", F.expr("goal - passes * source_size"))
         .withColumn("short", F.expr("n_blocks * step - source_size"))
-        .withColumn("turns", F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda e: _turn(seed, e)))
+        .withColumn("turns", F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda e: _keys(seed, e)))
         .withColumn("last_at", _place(F.expr("n_blocks - 1"), F.get("turns", F.col("passes").cast("int"))))
         .withColumn(
             "blocks",
@@ -282,15 +282,26 @@ def mix(
     )
 
 
-def _turn(seed: int, e: Column) -> Column:
+def _keys(seed: int, e: Column) -> Column:
+    """The round keys of a pass over a source."""
     n = F.greatest(F.col("n_blocks"), F.lit(1).cast("long"))
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("source_no"), e), n)
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.transform(rounds, lambda r: F.pmod(F.xxhash64(F.lit(seed), F.col("source_no"), e, r), n))
 
 
-def _place(b: Column, turn: Column) -> Column:
-    """Where block ``b`` of a source stands in a pass: a permutation, as STEP is prime and larger."""
+def _place(b: Column, keys: Column) -> Column:
+    """Where block ``b`` of a source stands in a pass: a permutation by swap-or-not rounds.
+
+    A round pairs each place x with key - x and swaps the two or not by a hash that both share, so
+    every round, and all of them together, permute the places 0 to n - 1 for any n.
+    """
     n = F.greatest(F.col("n_blocks"), F.lit(1).cast("long"))
-    return F.pmod(b * F.lit(STEP).cast("long") + turn, n)
+
+    def step(x: Column, key: Column) -> Column:
+        other = F.pmod(key - x, n)
+        return F.when(F.xxhash64(key, F.col("source_no"), F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+
+    return F.aggregate(keys, b.cast("long"), step)
 
 
 def taken(takes: str | Column = "takes") -> Column:

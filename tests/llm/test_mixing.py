@@ -1,6 +1,6 @@
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +46,24 @@ def test_mix_query(spark, sf001):
     assert all(abs(taken[s] - goal[s]) <= 0.5 for s in sizes)
 
 
+def test_blocks_stand_in_permuted_order(spark):
+    """Every place once, for any number of blocks; no rotation, and passes and sources differ."""
+    sizes = (1, 2, 3, 6, 7, 9, 11, 31, 63, 126, 200)
+    rows = [(n, s, e, b) for n in sizes for s in range(2) for e in range(2) for b in range(n)]
+    df = spark.createDataFrame(rows, "n_blocks long, source_no long, e long, b long")
+    placed = df.withColumn("place", mixing._place(F.col("b"), mixing._keys(5, F.col("e")))).collect()
+    order = defaultdict(dict)
+    for r in placed:
+        order[r["n_blocks"], r["source_no"], r["e"]][r["b"]] = r["place"]
+    for (n, _, _), at in order.items():
+        assert sorted(at.values()) == list(range(n))
+        steps = Counter((at[b + 1] - at[b]) % n for b in range(n - 1))
+        assert n < 31 or max(steps.values()) < n / 4
+    for n in (31, 63, 126, 200):
+        kinds = [tuple(order[n, s, e][b] for b in range(n)) for s in range(2) for e in range(2)]
+        assert len(set(kinds)) == 4
+
+
 @pytest.mark.parametrize("block_words", [1, 7, 64])
 def test_blocks_shards_and_texts(spark, sf001, block_words):
     docs = sf001.filter("doc_id < 40")
