@@ -99,6 +99,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def frequent_words(counts: DataFrame, most: int) -> list:
     """(word, n) of the most frequent words, at most ``most``, in descending order.
 
+    None where the highest counts are shared by more words than that: all are group members then.
+
     A histogram over sixteenths of the count's binary logarithm (about a thousand rows at most) tells
     from which count on words fit, so that no task sends a list of its own.
     """
@@ -317,9 +319,11 @@ def score(
     ends = counts.filter("word = X''").first()
     frequent = hot_rows[: shape.frequent]
     groups = np.zeros((shape.groups, 3))
-    least = (frequent[-1]["n"], bytes(frequent[-1]["word"])) if frequent else (0, b"")
     # All words that come after the frequent ones, by group: tokens, distinct words, words seen once.
-    after = (F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > F.lit(bytearray(least[1]))))
+    after = F.lit(True)
+    if frequent:
+        n, word = frequent[-1]["n"], F.lit(bytearray(frequent[-1]["word"]))
+        after = (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word))
     tail = (
         counts.filter("word <> X''")
         .filter(after)

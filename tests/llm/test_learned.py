@@ -44,6 +44,13 @@ def test_language_of_odd_rows(spark, odd, docs_of):
     assert langid.predict(odd.limit(0), net).collect() == []
 
 
+def test_digits_are_no_letters(spark, docs_of):
+    """Superscripts, fractions, circled and Roman numerals are numbers; letters of any script count."""
+    rows = [(1, "²½ ① Ⅷ 12 _", "en"), (2, "日本", "xx"), (3, "ª", "en"), (4, "a plain text of words", "en"), (5, "und ein anderer Satz", "de")]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(rows), F.col("lang").isNotNull()).collect()}
+    assert found[1] == "und" and all(found[d] != "und" for d in (2, 3, 4, 5))
+
+
 def test_windows_cover_the_whole_text():
     for n in (0, 1, 255, 256, 257, 1000, 5121):
         data = bytes(i % 251 for i in range(n))
@@ -91,6 +98,20 @@ def test_probabilities_of_a_context_sum_to_one(docs_of):
     assert 0 < total < 1 and 0 < first < 1 and total + first < 1
 
 
+@pytest.mark.parametrize("known", [1, 50, 500])
+def test_equally_frequent_words_are_group_members(docs_of, known):
+    """More words of the highest count than a task may hold: none is frequent, and shares stay shares."""
+    learn = [(i, " ".join(f"w{(i * 10 + j) % 200}" for j in range(20))) for i in range(20)]
+    probes = [(1000 + i, f"w{i}") for i in range(200)] + [(2000, "never-seen"), (2001, "")]
+    shape = lm.Shape(frequent=20, groups=5, known=known, dim=4, batch=32)
+    rows = lm.score(docs_of(learn + probes), F.col("doc_id") < 1000, shape=shape).collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    # P(w end) of all words, the unknown token and nothing: parts of one.
+    total = sum(10 ** score[d] for d in (*range(1000, 1200), 2000, 2001))
+    assert 0 < total < 1 and all(v < 0 for v in score.values())
+    assert {r["n_known"] for r in rows if 1000 <= r["doc_id"] < 1200} == {2}
+
+
 def test_scorer_is_normalised():
     rng = np.random.default_rng(0)
     n, d = 30, 4
