@@ -369,7 +369,9 @@ def scan(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[
 def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) links among the sets of each cell: what similar pairs inside cells connect."""
     figures = sets.select("node", "n", "held").distinct()
-    dealt = blocks(members.join(figures, "node"), percent)
+    # Read several times: written, so that no plan holds the components of the cells more than once.
+    members = written(members.join(figures, "node"), "jaccard-cells")
+    dealt = blocks(members, percent)
     spark = sets.sparkSession
     bundles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = F.col("weight") <= _SCAN
@@ -404,6 +406,7 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(d1, d2, component_id) of every set, by the (node, root) rows of linked ones."""
+    found = written(found, "jaccard-roots")
     roots = nodes.select("d1", "d2", "node", "first_id").join(found, "node", "left")
     roots = roots.withColumn("root", F.coalesce("root", "node"))
     first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
