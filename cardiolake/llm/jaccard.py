@@ -16,6 +16,8 @@ from cardiolake.llm.shared import components, dropped, new_path, written
 
 # Sets of one scan hold about this many shingles; larger collections are cut into blocks of this size.
 _SCAN = 100_000
+# Rows that a task looks at together.
+_ROWS = 1_000
 # Subsets are enumerated for sets of at most this many shingles, whatever the cost model says.
 _SUBSETS = 24
 
@@ -63,7 +65,7 @@ def heads(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
 
     (d1, d2) is a 128-bit digest of the shingle set, (text1, text2) one of the text; ``need`` shared
     shingles among the least ones are what a set with a partner has. ``sure`` of them are met in
-    another set of the same Arrow batch already, and ``head`` holds the others, which the cluster has to
+    another set of the same ``_ROWS`` rows already, and ``head`` holds the others, which the cluster has to
     look up. Of shingles met in a batch only the first holder sends one, as ``met`` with a second holder,
     so a frequent shingle is sent once a batch. A set that its batch has met before sends nothing.
     """
@@ -73,7 +75,7 @@ def heads(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, _ROWS) for whole in batches for low in range(0, max(1, whole.num_rows), _ROWS)):
             size, seen = batch.num_rows, {}
             digests, counts, needs, sure = np.zeros((size, 2), np.int64), np.zeros(size, np.int64), [], np.zeros(size, np.int64)
             tokens, owners = [], []

@@ -19,7 +19,7 @@ _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(
 # White space (and the null character) that makes regular expressions decide; pairs that make a run without it.
 _RARE = "".join(c for c in map(chr, range(0x3001)) if c == "\0" or (c.isspace() and c not in " \n"))
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
