@@ -271,27 +271,39 @@ def grow(
     sums_schema = "forest int, k int, node int, sums binary"
     node = ["forest", "k", "node"]
 
-    def added(group: pa.Table) -> np.ndarray:
-        total = np.zeros(features * max_bins * 2)
-        for held in group["sums"]:
-            total += np.frombuffer(held.as_buffer(), np.float64)
-        return total
+    def of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        """Each node of sorted rows with its sums added up."""
+        key, total = None, np.zeros(0)
+        for batch in batches:
+            for i, at in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                held = np.frombuffer(batch.column("sums")[i].as_buffer(), np.float64)
+                if at == key:
+                    total += held
+                    continue
+                if key is not None:
+                    yield key, total
+                key, total = at, held.copy()
+        if key is not None:
+            yield key, total
 
-    def partial(group: pa.Table) -> pa.Table:
-        first = group.select(node).slice(0, 1)
-        return first.append_column("sums", pa.array([added(group).tobytes()], pa.binary()))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, total in of_nodes(batches):
+            keys = [pa.array([v], pa.int32()) for v in at]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([total.tobytes()], pa.binary())], names=[*node, "sums"])
 
     def split_of(turn: int):
-        def split(group: pa.Table) -> pa.Table:
-            f, k = group["forest"][0].as_py(), group["k"][0].as_py()
-            sums = added(group).reshape(features, max_bins, 2) / unit
-            allowed = columns_of(seed, turn, f * width + k, features, column_share)
-            found = best_split(sums, allowed, penalty, least_weight, least_gain)
-            g, h = sums[0].sum(axis=0)
-            row = group.select(node).slice(0, 1)
-            for name, value in zip(("gain", "feature", "bin", "gl", "hl", "g", "h"), (*found, float(g), float(h))):
-                row = row.append_column(name, pa.array([value]))
-            return row
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, columns = [], {}
+            for at, total in of_nodes(batches):
+                tree = at[0] * width + at[1]
+                if tree not in columns:
+                    columns[tree] = columns_of(seed, turn, tree, features, column_share)
+                sums = total.reshape(features, max_bins, 2) / unit
+                found = best_split(sums, columns[tree], penalty, least_weight, least_gain)
+                rows.append((*at, *found, *sums[0].sum(axis=0).tolist()))
+            types = [pa.int32()] * 3 + [pa.float64(), pa.int64(), pa.int64()] + [pa.float64()] * 4
+            arrays = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*node, "gain", "feature", "bin", "gl", "hl", "g", "h"])
 
         return split
 
@@ -306,8 +318,10 @@ def grow(
                 sums = state.mapInArrow(run, sums_schema)
                 if tasks > _FAN:
                     salted = sums.withColumn("_salt", F.spark_partition_id() % _FAN)
-                    sums = salted.groupBy(*node, "_salt").applyInArrow(partial, sums_schema)
-                splits += sums.groupBy(*node).applyInArrow(split_of(turn), split_schema).collect()  # a row a node
+                    by_salt = salted.repartition(*node, "_salt").sortWithinPartitions(*node)
+                    sums = by_salt.select(*node, "sums").mapInArrow(partial, sums_schema)
+                by_node = sums.repartition(*node).sortWithinPartitions(*node)
+                splits += by_node.mapInArrow(split_of(turn), split_schema).collect()  # a row a node
             open_ = []
             for s in sorted(splits, key=lambda r: (r["forest"], r["k"], r["node"])):
                 trees, k, i = growing[s["forest"]], s["k"], s["node"]

@@ -545,9 +545,9 @@ def dataset_audit(spark, folder):
 
 
 def _falling_fails(prepared, seeds):
-    """An encoder that cannot take a window whose first sample lies below the window's mean."""
-    if (prepared[:, 0] < 0).any():
-        raise ArithmeticError("window starts low")
+    """An encoder that cannot take a window whose first sample lies above the window's mean."""
+    if (prepared[:, 0] > 0).any():
+        raise ArithmeticError("window starts high")
     return embedding.statistical_encoder(prepared, seeds)
 
 

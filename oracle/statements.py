@@ -182,11 +182,11 @@ select record_id, w, start_idx, end_idx, round(m, 8) as window_mean, round(s, 8)
     round(case when s > 1e-8 then (lo - m) / s else lo - m end, 3) as z_min, round(case when s > 1e-8 then (hi - m) / s else hi - m end, 3) as z_max,
     cast(width as integer) as width from pz"""
 
-# Whether the first sample of a window lies below the window's mean (missing ones count as zero).
+# Whether the first sample of a window lies above the window's mean (missing ones count as zero).
 STARTS = """
 pz as (select b.record_id, b.w, b.start_idx, b.end_idx, arg_min(coalesce(fc.x, 0.0), fc.i) as first_x, sum(coalesce(fc.x, 0.0)) as total, avg(fc.x) as pad, count(*) as n
     from wb b join fc on fc.record_id = b.record_id and fc.i >= b.start_idx and fc.i < b.end_idx group by 1, 2, 3, 4),
-ps as (select record_id, w, start_idx, end_idx, first_x < (total + (480 - n) * coalesce(pad, 0.0)) / 480 as low from pz)"""
+ps as (select record_id, w, start_idx, end_idx, first_x > (total + (480 - n) * coalesce(pad, 0.0)) / 480 as high from pz)"""
 
 PER_WINDOW = f"""with {CLEAN},
 {BOUNDS},
@@ -298,13 +298,13 @@ STATEMENTS: dict[str, str] = {
     "dataset_audit": f"""with {SIG},{BOUNDS}, lr as (select record_id, length(record_id) % 3 as label, count(*) as c from wb group by 1, 2)
         select count(*) as processed, (select count(distinct event_type) from events) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
         cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lr""",
-    "dataset_build": f"""with {CLEAN},{BOUNDS},{STARTS}, lb as (select record_id, length(record_id) % 3 as label, count(*) filter (not low) as c from ps group by 1)
+    "dataset_build": f"""with {CLEAN},{BOUNDS},{STARTS}, lb as (select record_id, length(record_id) % 3 as label, count(*) filter (not high) as c from ps group by 1)
         select count(*) filter (c > 0) as processed, count(*) filter (c = 0) as failed, cast(sum(c) as bigint) as n_windows, cast(coalesce(sum(c) filter (label = 0), 0) as bigint) as label_0,
         cast(coalesce(sum(c) filter (label = 1), 0) as bigint) as label_1, cast(coalesce(sum(c) filter (label = 2), 0) as bigint) as label_2 from lb""",
     "dataset_update": f"""with {SIG},{BOUNDS} select record_id, w, start_idx, end_idx, cast(case when record_id = 'click-0' then 2 else length(record_id) % 3 end as integer) as label,
         (select count(*) from wn) as built_0, cast(0 as bigint) as built_1, cast(1 as bigint) as built_2 from wb""",
     "model_embeddings": f"""select record_id, w, 1024 as width, 0.0::double as low, z_max as high, false as is_mock from ({PREPARED})""",
-    "window_quarantine": f"with {CLEAN},{BOUNDS},{STARTS} select record_id, w, start_idx, end_idx, 'ArithmeticError: window starts low' as error from ps where low",
+    "window_quarantine": f"with {CLEAN},{BOUNDS},{STARTS} select record_id, w, start_idx, end_idx, 'ArithmeticError: window starts high' as error from ps where high",
     "feature_name_lookup": """select p_partkey, p_partkey % 1035 as position, case when p_partkey % 1035 < 1024 then printf('moment_emb_%04d', p_partkey % 1035) else
         (['baseline_norm', 'variability_value_norm', 'var_cat_absent', 'var_cat_minimal', 'var_cat_moderate', 'var_cat_marked', 'late_decel_count_norm', 'variable_decel_count_norm',
           'recurrent_decels_flag', 'tachysystole_flag', 'sinusoidal_flag'])[p_partkey % 1035 - 1023] end as name from part""",
