@@ -10,8 +10,7 @@ then settles with its two neighbours known.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
-from itertools import product
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,28 +71,72 @@ class Cell:
         self.before, self.before_h = np.append(NONE, p[p < self.low]), np.append(0.0, h[p < self.low])
         self.after, self.after_h = np.append(NONE, p[p >= self.high]), np.append(0.0, h[p >= self.high])
 
-    def answers(self) -> Iterator[tuple[int, int, int, int]]:
-        """(before, after, first, last): what stays at the own borders, for each pair that can be."""
-        pairs = list(product(range(len(self.before)), range(len(self.after))))
-        for at in range(0, len(pairs), _AT_ONCE):
-            i, j = np.array(pairs[at : at + _AT_ONCE]).T
-            kept, possible = kept_given(self.p, self.h, self.distance, self.before[i], self.after[j], self.before_h[i], self.after_h[j])
+    def _run(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``kept_given`` for pairs of neighbour numbers."""
+        return kept_given(self.p, self.h, self.distance, self.before[i], self.after[j], self.before_h[i], self.after_h[j])
+
+    def _edges(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last peak that stays, where they are close enough to a border to matter."""
+        some, top = kept.any(axis=0), len(self.p) - 1
+        first = self.p[kept.argmax(axis=0)]
+        last = self.p[top - kept[::-1].argmax(axis=0)]
+        first = np.where(some & (first < self.low + self.distance - 1), first, NONE)
+        return first, np.where(some & (last > self.high - self.distance), last, NONE)
+
+    def answers(self) -> list[tuple[int, int, int, list[int]]]:
+        """(after, first, last, befores): what stays at the own borders, for the pairs that can be.
+
+        First each side alone. A neighbour that no staying peak is close to changes nothing. One that a
+        staying peak of higher rank is close to cannot be: nothing else would make that peak give way. Only
+        if both sides push a peak aside is the pair tried as such.
+        """
+        n_before, n_after = len(self.before), len(self.after)
+        nothing = lambda n: np.zeros(n, int)
+        right, right_can = self._run(nothing(n_after), np.arange(n_after))  # no neighbour before
+        left, left_can = self._run(np.arange(n_before), nothing(n_before))  # no neighbour after
+        right_edges, left_edges = self._edges(right), self._edges(left)
+
+        def met(kept: np.ndarray, at: int, height: float, side: int) -> tuple[np.ndarray, np.ndarray]:
+            """Cases where a peak that stays is close to the neighbour, and where it ranks above it."""
+            near = np.abs(self.p - at) < self.distance
+            above = near & ((self.h > height) | ((self.h == height) & (side < 0)))
+            return kept[near].any(axis=0), kept[above].any(axis=0)
+
+        pushed_by_after = [met(left, self.after[j], self.after_h[j], 1) if j else (nothing(n_before) > 0,) * 2 for j in range(n_after)]
+        found: dict[tuple[int, int, int], list[int]] = {}
+        both = []
+        for i in range(n_before):
+            pushed, never = met(right, self.before[i], self.before_h[i], -1) if i else (nothing(n_after) > 0,) * 2
+            for j in range(n_after):
+                if never[j]:
+                    continue
+                if not pushed[j]:
+                    can, first, last = right_can[j], right_edges[0][j], right_edges[1][j]
+                elif pushed_by_after[j][1][i]:
+                    continue
+                elif not pushed_by_after[j][0][i]:
+                    can, first, last = left_can[i], left_edges[0][i], left_edges[1][i]
+                else:
+                    both.append((i, j))
+                    continue
+                if can:
+                    found.setdefault((int(self.after[j]), int(first), int(last)), []).append(int(self.before[i]))
+        for at in range(0, len(both), _AT_ONCE):
+            i, j = np.array(both[at : at + _AT_ONCE]).T
+            kept, possible = self._run(i, j)
+            first, last = self._edges(kept)
             for case in np.flatnonzero(possible):
-                stays = self.p[kept[:, case]]
-                first = int(stays[0]) if len(stays) and stays[0] < self.low + self.distance - 1 else NONE
-                last = int(stays[-1]) if len(stays) and stays[-1] > self.high - self.distance else NONE
-                yield int(self.before[i[case]]), int(self.after[j[case]]), first, last
+                key = int(self.after[j[case]]), int(first[case]), int(last[case])
+                found.setdefault(key, []).append(int(self.before[i[case]]))
+        return [(*key, befores) for key, befores in found.items()]
 
     def settled(self, before: int, after: int) -> pa.Table:
         i, j = self.before.tolist().index(before), self.after.tolist().index(after)
-        one = lambda values, k: values[k : k + 1]
-        kept, _ = kept_given(
-            self.p, self.h, self.distance, one(self.before, i), one(self.after, j), one(self.before_h, i), one(self.after_h, j)
-        )
+        kept, _ = self._run(np.array([i]), np.array([j]))
         return self.table.filter(pa.array(kept[:, 0]))
 
 
-def chained(cells: list[tuple[int, list[tuple[int, int, int, int]]]]) -> Iterator[tuple[int, int, int]]:
+def chained(cells: Iterable[tuple[int, list[tuple[int, int, int, list[int]]]]]) -> Iterator[tuple[int, int, int]]:
     """(cell, before, after) that all cells of a record agree on; cells ascend.
 
     A border has a state: the last peak that stays before it and the first one after it. Forward,
@@ -116,8 +159,9 @@ def chained(cells: list[tuple[int, list[tuple[int, int, int, int]]]]) -> Iterato
             yield from read_off()
             trail, numbers = [], []
         by_left: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for before, after, first, last in answers:
-            by_left.setdefault((before, first), []).append((last, after))
+        for after, first, last, befores in answers:
+            for before in befores:
+                by_left.setdefault((before, first), []).append((last, after))
         # Nothing stays before the first cell of a chain, whatever it keeps first.
         states = trail[-1] if trail else [s for s in by_left if s[0] == NONE]
         trail.append({right: left for left in states for right in by_left.get(left, ())})
@@ -138,21 +182,23 @@ def spaced_cells(opened: DataFrame, distance: int, keys: Sequence[str] = series.
     placed = series.with_halo(opened.select(*columns), reach, reach, span, "p")
     types = {f.name: f for f in placed.schema}
     schema = T.StructType([types[c] for c in (*keys, "p", "h")])
-    pair = T.StructType([T.StructField(n, T.LongType()) for n in ("before", "after", "first", "last")])
-    answer_schema = T.StructType([*[types[c] for c in place], T.StructField("answers", T.ArrayType(pair))])
+    names = ("after", "first", "last", "befores")
+    longs = T.ArrayType(T.LongType())
+    case = T.StructType([T.StructField(n, longs if n == "befores" else T.LongType()) for n in names])
+    answer_schema = T.StructType([*[types[c] for c in place], T.StructField("answers", T.ArrayType(case))])
     choice_schema = T.StructType([*[types[c] for c in place], *[T.StructField(n, T.LongType()) for n in ("before", "after")]])
 
     def answer(group: pa.Table) -> pa.Table:
         cell = Cell(group, span, distance)
-        found = [dict(zip(("before", "after", "first", "last"), a)) for a in cell.answers()] if len(cell.p) else []
+        found = [dict(zip(names, a)) for a in cell.answers()] if len(cell.p) else []
         row = group.select(place).slice(0, 1 if found else 0)
-        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("before", "after", "first", "last")]))
+        kind = pa.list_(pa.struct([(n, pa.list_(pa.int64()) if n == "befores" else pa.int64()) for n in names]))
         return row.append_column("answers", pa.array([found] if found else [], kind))
 
     def choose(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         rows = zip(group["chunk"].to_pylist(), group["answers"].to_pylist())
-        found = sorted(chained((c, [(a["before"], a["after"], a["first"], a["last"]) for a in answers]) for c, answers in rows))
+        found = sorted(chained((c, [tuple(a[n] for n in names) for a in answers]) for c, answers in rows))
         out = group.select(place)
         return out.append_column("before", pa.array([f[1] for f in found], pa.int64())).append_column(
             "after", pa.array([f[2] for f in found], pa.int64())

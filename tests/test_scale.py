@@ -148,5 +148,5 @@ def test_spacing_goes_over_cells(spark, size):
 
 def test_chains_with_holes():
     """Cells without open peaks part a record into chains of their own."""
-    cells = [(0, [(-1, -1, 3, 8)]), (2, [(-1, 30, -1, 29), (-1, -1, 20, 25)]), (3, [(25, -1, -1, 31)])]
+    cells = [(0, [(-1, 3, 8, [-1])]), (2, [(30, -1, 29, [-1]), (-1, 20, 25, [-1])]), (3, [(-1, -1, 31, [25])])]
     assert sorted(chained(cells)) == [(0, -1, -1), (2, -1, -1), (3, 25, -1)]
