@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardiolake.llm.tokens import encoder
+from cardiolake.llm.tokens import MAX_WORDS, encoder
 
 # sequence_id: 5 bits of length class, 24 bits of task, 34 bits of running number.
 _CLASS_SHIFT, _TASK_SHIFT = 58, 34
@@ -31,6 +31,7 @@ def pack(
     text_col: str = "text",
     end_id: int = 0,
     most: int = 1024,
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Cut every document into pieces of power-of-two length; each piece is a sequence of its own.
 
@@ -42,7 +43,8 @@ def pack(
     One pass, no shuffle: sequence numbers come from the task and a running number in it, so a
     rerun task gives the same rows. A document of any length is cut piece by piece. NULL or empty
     texts are one piece that holds the end id; repeated rows are packed each on their own; an empty
-    table gives no rows. Other columns are ignored, whatever their names.
+    table gives no rows. Other columns are ignored, whatever their names. ``max_words`` bounds the
+    table of known pieces that a task holds (about 200 bytes each).
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the longest piece must be a power of two")
@@ -61,7 +63,7 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, max_words).encode
         task = TaskContext.get().partitionId() << _TASK_SHIFT
         used = [0] * most.bit_length()
         for batch in batches:

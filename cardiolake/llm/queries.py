@@ -25,6 +25,9 @@ from cardiolake.llm import (
 from cardiolake.llm.shared import fold
 from cardiolake.llm.statements import STATEMENTS  # noqa: F401  read by the entry
 
+# Known pieces that a task of op3 and op6 holds: about 160 MB. The pipeline's tasks hold other tables too and take fewer.
+PIECES = 800_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -49,7 +52,7 @@ def op2_cross_polytope_neighbours(spark: SparkSession, folder: str) -> DataFrame
 
 
 def op3_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(documents(spark, folder), vocabulary("byte_bpe_50k.json"), end_id=0, most=1024)
+    packed = packing.pack(documents(spark, folder), vocabulary("byte_bpe_50k.json"), end_id=0, most=1024, max_words=PIECES)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -63,7 +66,7 @@ def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    found = token_file.roundtrip(documents(spark, folder), vocabulary("word_bpe_49k.json"), end_id=1)
+    found = token_file.roundtrip(documents(spark, folder), vocabulary("word_bpe_49k.json"), end_id=1, max_words=PIECES)
     n_tokens = F.expr("octet_length(ids) div 4")
     return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm.shared import new_path, position, range_cuts, shuffle_parts, written
-from cardiolake.llm.tokens import encoder
+from cardiolake.llm.tokens import MAX_WORDS, encoder
 
 _DOCS_AT_ONCE = 500
 _ROWS_IN_BATCH = 256
@@ -151,6 +151,7 @@ def write(
     end_id: int = 1,
     length: int = 2048,
     shards: int | None = None,
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Write all documents in ascending order of their id and return the manifest, one row a shard.
 
@@ -168,7 +169,7 @@ def write(
     ordered = placed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool = encoder(tokenizer, max_words)
         kind, _ = _id_type(max(tool.id_count, end_id + 1))
         end = np.array([end_id], kind)
         writer, at, done = None, None, []

@@ -69,7 +69,7 @@ class Encoder:
         self.known = _Known(self)
         self.letters = str.maketrans(_byte_letters())
         self.space = " ".translate(self.letters)
-        self.marks = {"": b""}
+        self.marks: dict[str, bytes] = {}
         self.feed = self._plain(["\n"])[0] if self.kind == "byte" else b""
 
     @property
@@ -84,15 +84,17 @@ class Encoder:
         """The ids of one piece."""
         first = piece[0]
         rest = piece[1:] if first in " \n" else piece
-        word = rest.rstrip(_MARKS)
+        word, end = rest, b""
         if not word.isalpha():
-            return self._plain([piece])[0]
-        marks = rest[len(word) :]
-        end = self.marks.get(marks)
-        if end is None:
-            end = self.marks[marks] = self._plain([marks])[0]
-            if len(self.marks) > 10_000:
-                self.marks = {"": b""}
+            word = rest.rstrip(_MARKS)
+            if not word.isalpha():
+                return self._plain([piece])[0]
+            marks = rest[len(word) :]
+            end = self.marks.get(marks)
+            if end is None:
+                end = self.marks[marks] = self._plain([marks])[0]
+                if len(self.marks) > 10_000:
+                    self.marks = {}
         if self.kind == "word":
             word = word.lower()
         if not word.isascii():  # ASCII letters are written as themselves
@@ -138,6 +140,6 @@ class _Known(dict):
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per process and tokenizer file."""
-    return Encoder(path)
+def encoder(path: str, max_words: int = MAX_WORDS) -> Encoder:
+    """One encoder per process, tokenizer file and table size."""
+    return Encoder(path, max_words)
