@@ -109,14 +109,23 @@ def embed(
             for k in range(len(prepared)):
                 yield from tried(prepared[k : k + 1], seeds[k : k + 1])
 
-    @F.pandas_udf("embedding array<float>, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for prepared, seeds in batches:
-            found = list(tried(np.stack(prepared.to_numpy()), seeds.to_numpy())) if len(prepared) else []
-            yield pd.DataFrame(found, columns=["embedding", "error"])
-
-    out = windows.withColumn("_encoded", run("prepared", F.xxhash64(*seed_columns)))
-    found = {"embedding": F.col("_encoded.embedding"), "is_mock": F.lit(is_mock)}
-    if isolate:
-        found["error"] = F.col("_encoded.error")
-    return out.withColumns(found).drop("_encoded")
+            found = [row for row, _ in tried(np.stack(prepared.to_numpy()), seeds.to_numpy())] if len(prepared) else []
+            yield pd.Series(found, dtype=object)
+
+    @F.pandas_udf("string")
+    def reasons(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for prepared, seeds in batches:
+            yield pd.Series(
+                [None if p is None else next(tried(p[None, :], np.array([s])))[1] for p, s in zip(prepared, seeds)], dtype=object
+            )
+
+    # A deterministic function would be copied into filters on its result and run again there.
+    run, reasons = run.asNondeterministic(), reasons.asNondeterministic()
+    seed = F.xxhash64(*seed_columns)
+    out = windows.withColumns({"embedding": run("prepared", seed), "is_mock": F.lit(is_mock)})
+    if isolate:  # only failing windows are sent again, for their reason
+        out = out.withColumn("error", reasons(F.when(F.col("embedding").isNull(), F.col("prepared")), seed))
+    return out
