@@ -130,7 +130,9 @@ def order_headers(spark: SparkSession, folder: str) -> DataFrame:
         ph_line,
         *[F.concat(F.lit(f"#{name:<13}"), value) for name, value in _clinical_values(key, F.col("o_custkey")).items()],
     )
-    return table(spark, folder, "orders").select(name.alias("record_id"), content.alias("content"))
+    # Two numbers move; the texts are written and parsed by all cores, also where a file is one part.
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey", "o_custkey")
+    return orders.select(name.alias("record_id"), content.alias("content"))
 
 
 def _clinical_values(key: Column, customer: Column) -> dict[str, Column]:

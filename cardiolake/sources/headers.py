@@ -68,24 +68,24 @@ def _token(tokens: Column, at: int) -> Column:
     return F.get(tokens, F.lit(at))
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once a row whatever reads it.
+
+    Conditions on a generated column stay above it; on a projected one they move down to the
+    table and repeat all the parsing that led to it, once for every place that names it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_headers(headers: DataFrame) -> DataFrame:
     """One row per header: record fields, ``signals`` array, ``comments`` map, ``error``.
 
     Lines are array elements of their row, so nothing is shuffled. ``error`` is NULL for usable
     records; callers split the rest off as quarantine.
     """
-    pair = r"^#([^-].*?)\s+(\S+)$"
     lines = F.transform(F.split("content", r"\r?\n"), lambda l: F.trim(l))
-    staged = headers.select(
-        "record_id",
-        F.filter(lines, lambda l: (l != "") & ~l.startswith("#")).alias("_data"),
-        F.transform(
-            F.filter(lines, lambda l: F.regexp_like(l, F.lit(pair))),
-            lambda l: F.struct(
-                F.trim(F.regexp_extract(l, pair, 1)).alias("key"), F.regexp_extract(l, pair, 2).alias("value")
-            ),
-        ).alias("_comments"),
-    )
+    staged = _held(headers.select("record_id", "content"), _lines=lines).drop("content")
+    staged = _held(staged, _data=F.filter("_lines", lambda l: (l != "") & ~l.startswith("#")))
     head = F.split(F.get("_data", F.lit(0)), r"\s+")
 
     def signal(t: Column, position: Column) -> Column:
@@ -104,32 +104,40 @@ def parse_headers(headers: DataFrame) -> DataFrame:
             F.array_join(F.slice(t, 9, F.greatest(F.size(t) - 8, F.lit(0))), " ").alias("name"),
         )
 
-    parsed = staged.withColumn("_head", head).withColumns(
-        {
-            "n_signals": _token(F.col("_head"), 1).try_cast("int"),
-            "sampling_rate": F.regexp_extract(
-                F.coalesce(_token(F.col("_head"), 2), F.lit("")), rf"^({NUMBER})", 1
-            ).try_cast("double"),
-            "n_samples": _token(F.col("_head"), 3).try_cast("long"),
-        }
+    staged = _held(staged, _head=head)
+    staged = _held(
+        staged,
+        n_signals=_token(F.col("_head"), 1).try_cast("int"),
+        sampling_rate=F.regexp_extract(
+            F.coalesce(_token(F.col("_head"), 2), F.lit("")), rf"^({NUMBER})", 1
+        ).try_cast("double"),
+        n_samples=_token(F.col("_head"), 3).try_cast("long"),
     )
     wanted = F.slice("_data", F.lit(2), F.greatest(F.coalesce("n_signals", F.lit(0)), F.lit(0)))
     tokens = F.transform(wanted, lambda l: F.split(l, r"\s+"))
-    signals = F.transform(tokens, signal)
-    # The first line of a repeated key counts.
-    repeated = F.size(F.array_distinct(F.transform("_comments", lambda c: c["key"]))) < F.size("_comments")
-    firsts = F.filter(
-        "_entries", lambda e, k: ~F.exists(F.slice("_entries", F.lit(1), k), lambda o: o["key"] == e["key"])
-    )
-    parsed = parsed.withColumns({"signals": signals, "_entries": F.col("_comments")}).withColumn(
-        "comments", F.map_from_entries(F.when(repeated, firsts).otherwise(F.col("_entries")))
-    )
+    staged = _held(staged, signals=F.transform(tokens, signal))
     error = (
         F.when(F.col("n_signals").isNull() | F.col("n_samples").isNull(), "unreadable record line")
         .when(F.size("signals") != F.col("n_signals"), "missing signal lines")
         .when(channel("signals", "FHR").isNull(), "no FHR signal")
     )
-    return parsed.select(
+    # Comments come last: whoever does not read them does not look for them either.
+    pair = r"^#([^-].*?)\s+(\S+)$"
+    marked = F.filter("_lines", lambda l: l.startswith("#"))
+    pairs = F.transform(
+        marked,
+        lambda l: F.struct(
+            F.trim(F.regexp_extract(l, pair, 1)).alias("key"), F.regexp_extract(l, pair, 2).alias("value")
+        ),
+    )
+    # A line that is no pair has no value; the first line of a repeated key counts.
+    staged = _held(staged, error=error).withColumn("_entries", F.filter(pairs, lambda c: c["value"] != ""))
+    repeated = F.size(F.array_distinct(F.transform("_entries", lambda c: c["key"]))) < F.size("_entries")
+    firsts = F.filter(
+        "_entries", lambda e, k: ~F.exists(F.slice("_entries", F.lit(1), k), lambda o: o["key"] == e["key"])
+    )
+    comments = F.map_from_entries(F.when(repeated, firsts).otherwise(F.col("_entries")))
+    return staged.withColumn("comments", comments).select(
         "record_id",
         "n_signals",
         "sampling_rate",
@@ -137,7 +145,7 @@ def parse_headers(headers: DataFrame) -> DataFrame:
         (F.col("n_samples") / F.col("sampling_rate")).alias("duration_seconds"),
         "signals",
         "comments",
-        error.alias("error"),
+        "error",
     )
 
 
@@ -167,7 +175,8 @@ def clinical_metadata(parsed: DataFrame) -> DataFrame:
 
     What is absent, unreadable or not a number is NULL.
     """
-    fhr, uc = channel("signals", "FHR"), channel("signals", "UC")
+    parsed = _held(parsed, _fhr=channel("signals", "FHR"), _uc=channel("signals", "UC"))
+    fhr, uc = F.col("_fhr"), F.col("_uc")
 
     def typed_value(key: str, kind: str) -> Column:
         value = F.get(F.array(F.col("comments")[key]), F.lit(0)).try_cast(kind)

@@ -255,3 +255,19 @@ def test_broken_signal_files_are_set_apart(spark, tmp_path):
     assert set(errors) == {"short", "absent", "packed", "spread"}
     assert "short: 399 of 400" in errors["short"] and "missing" in errors["absent"]
     assert {r["record_id"]: r["n"] for r in tables["samples"].groupBy("record_id").agg(F.count("*").alias("n")).collect()} == {"good": 100, "longer": 100}
+
+
+def test_headers_are_parsed_once(spark):
+    """A condition on the outcome repeats no parsing, comments cost only those who read them, and nothing changes."""
+    text = HEADER.format(id="7", n=9, ph="7.1") + "#pH  6.9\n#odd\n# two words  x\n#-- no pair\n"
+    rows = spark.createDataFrame([("7", text), ("8", "8 one 4 9"), ("9", None)], "record_id string, content string")
+    parsed = headers.parse_headers(rows.repartition(2))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    used = plan(parsed.where("error is null").select("record_id", "signals", "error"))
+    assert used.count("split(content") == 1 and "[^-]" not in used
+    assert plan(headers.clinical_metadata(parsed.where("error is null"))).count("split(content") == 1
+    found = {r["record_id"]: r for r in parsed.collect()}
+    assert [found[k]["error"] for k in "789"] == [None, "unreadable record line", "unreadable record line"]
+    assert found["7"]["comments"]["pH"] == "7.1" and found["7"]["comments"]["two words"] == "x"
+    assert not {"odd", "-- no", "-- Outcome"} & set(found["7"]["comments"]) and found["8"]["comments"] == {}
+    assert found["9"]["comments"] is None and len(found["7"]["signals"]) == 2
