@@ -29,8 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _EXACT = 51
 # Bytes of the sums that a task holds; levels with more nodes take several passes.
 _SUMS = 64 << 20
+# Rows below which another task costs more than it saves.
+_ROWS_A_TASK = 2_000
 # Rounds after which the rows' margins are written anew.
-_ROUNDS_KEPT = 10
+_ROUNDS_KEPT = 5
 # Tasks whose sums of one node meet in one group; more are added up in two steps.
 _FAN = 256
 
@@ -51,11 +53,13 @@ class Trees:
 
     def nodes(self, tree: int, bins: np.ndarray, depth: int) -> np.ndarray:
         """The node that each row of ``bins`` (row, feature) has reached after ``depth`` steps."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        feature, places = self.feature[tree].astype(np.intp), np.arange(self.feature.shape[1])
+        first = np.where(feature >= 0, 2 * places + 1, places)  # a leaf leads to itself
+        ends = np.where(feature >= 0, self.bin[tree], 255).astype(np.uint8)
+        feature, flat, starts = np.maximum(feature, 0), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        at = np.zeros(len(bins), np.intp)
         for _ in range(depth):
-            feature = self.feature[tree, at]
-            right = bins[rows, np.maximum(feature, 0)] > self.bin[tree, at]
-            at = np.where(feature >= 0, 2 * at + 1 + right, at)
+            at = first.take(at) + (flat.take(starts + feature.take(at)) > ends.take(at))
         return at
 
 
@@ -158,23 +162,22 @@ def drawn(draw: np.ndarray, turn: int, share: float) -> np.ndarray:
 
 
 def columns_of(seed: int, turn: int, tree: int, count: int, share: float) -> np.ndarray:
-    """Features that a tree may split on, drawn once."""
-    chosen = np.random.default_rng([seed, turn, tree]).permutation(count)[: max(1, int(count * share))]
-    return np.isin(np.arange(count), chosen)
+    """Features that a tree may split on, drawn once, ascending."""
+    return np.sort(np.random.default_rng([seed, turn, tree]).permutation(count)[: max(1, int(count * share))])
 
 
-def gradients(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivative of the log loss for class k, times the row's weight."""
-    p = softmax(margins)[:, k]
-    single = margins.shape[1] == 1
+def gradients(shares: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of the log loss for class k, times the row's weight, where its ``softmax`` is ``shares``."""
+    p = shares[:, k]
+    single = shares.shape[1] == 1
     target = y == 1 if single else y == k
     return (p - target) * weight, np.maximum((1 if single else 2) * p * (1 - p), 1e-16) * weight
 
 
-def best_split(sums: np.ndarray, allowed: np.ndarray, penalty: float, least: float, gain: float) -> tuple[float, int, int, float, float]:
+def best_split(sums: np.ndarray, penalty: float, least: float, gain: float) -> tuple[float, int, int, float, float]:
     """(gain, feature, bin, g, h) of the best split of a node, g and h of its left side; -1 without one.
 
-    ``sums`` is (feature, bin, 2). The smaller feature and bin win ties; gains that differ by rounding only are ties.
+    ``sums`` is (feature, bin, 2), of the features that may be split on. The smaller feature and bin win ties; gains that differ by rounding only are ties.
     """
     left = np.cumsum(sums, axis=1)
     g, h = left[0, -1]
@@ -183,7 +186,7 @@ def best_split(sums: np.ndarray, allowed: np.ndarray, penalty: float, least: flo
     gr, hr = g - gl, h - hl
     with np.errstate(divide="ignore", invalid="ignore"):
         found = 0.5 * (gl**2 / (hl + penalty) + gr**2 / (hr + penalty) - g**2 / (h + penalty)) - gain
-    found[(hl < least) | (hr < least) | ~allowed[:, None]] = -np.inf
+    found[(hl < least) | (hr < least)] = -np.inf
     best = found.max(initial=-np.inf)
     if not best > 1e-7:
         return 0.0, -1, 0, 0.0, 0.0
@@ -217,11 +220,17 @@ def grow(
     cuts = feature_cuts(df, max_bins)
     width = 1 if len(classes) == 2 else len(classes)
     count, features = folds + 1, len(cuts)
+    drawn_columns = max(1, int(features * column_share))
     forests = [Forest(list(classes), cuts) for _ in range(count)]
     state = written(_start(df, cuts, key, seed, folds))
     per_pass = max(1, _SUMS // (max(features, 1) * max_bins * 16))
+    sizes = state.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows")).first()
+    total_weight = sizes["weight"] or 0.0
+    # Every level reads all rows: they lie in as many parts as tasks run at once, whatever the tables' files were.
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, sizes["rows"] // _ROWS_A_TASK)
+    if state.rdd.getNumPartitions() < wanted:
+        state = written(state.repartition(wanted))
     tasks = state.rdd.getNumPartitions()
-    total_weight = state.agg(F.sum("weight")).first()[0] or 0.0
     unit = 2.0 ** min(30, _EXACT - int(total_weight).bit_length())
     pending: list[list[Trees]] = []  # rounds that the written margins do not hold: the trees of each forest
 
@@ -238,30 +247,35 @@ def grow(
         return y, weight, fold, draw, x, margins
 
     def sums_of(turn: int, level: int, open_: list[tuple[int, int, int]], growing: list[Trees], older: list[list[Trees]]):
-        slots = {node: i for i, node in enumerate(open_)}
+        trees: dict[int, dict[int, list[int]]] = {}  # the open nodes of each tree follow each other
+        for f, k, i in open_:
+            trees.setdefault(f, {}).setdefault(k, []).append(i)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(open_), features * max_bins, 2))
+            total = np.zeros((len(open_), 2, drawn_columns, max_bins))
+            columns = {(f, k): columns_of(seed, turn, f * width + k, features, column_share) for f in trees for k in trees[f]}
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 y, weight, fold, draw, x, margins = decode(batch, older)
-                base = x + np.arange(features) * max_bins
-                chosen = drawn(draw, turn, row_share)
-                for f, k in sorted({node[:2] for node in open_}):
-                    learns = chosen & ((fold != f) | (f == folds))
-                    at = growing[f].nodes(k, x, level)
-                    place = np.array([slots.get((f, k, i), -1) for i in range(2 << level)])
-                    slot = np.where(learns, place[at], -1)
-                    rows = np.flatnonzero(slot >= 0)
-                    if not len(rows):
-                        continue
-                    local, inverse = np.unique(slot[rows], return_inverse=True)
-                    index = (base[rows] + (inverse * features * max_bins)[:, None]).ravel()
-                    for side, values in enumerate(gradients(margins[rows, f], y[rows], weight[rows], k)):
-                        found = np.bincount(index, np.repeat(np.rint(values * unit), features), len(local) * features * max_bins)
-                        total[local, :, side] += found.reshape(len(local), -1)
-            met = np.flatnonzero(total.any(axis=(1, 2)))
+                chosen, low = drawn(draw, turn, row_share), 0
+                for f in trees:
+                    rows = np.flatnonzero(chosen & ((fold != f) | (f == folds)))
+                    mine, shares = x[rows], softmax(margins[rows, f])
+                    by_column, index = np.ascontiguousarray(mine.T), np.empty(len(rows), np.intp)
+                    for k, nodes in trees[f].items():
+                        n, at = len(nodes), growing[f].nodes(k, mine, level)
+                        place = np.full((2 << level), n, np.intp)  # rows of closed nodes go behind the others
+                        place[nodes] = np.arange(n)
+                        start = place[at] * max_bins
+                        sides = [np.rint(v * unit) for v in gradients(shares, y[rows], weight[rows], k)]
+                        for c, j in enumerate(columns[f, k]):
+                            np.add(start, by_column[j], out=index)
+                            for side, values in enumerate(sides):
+                                found = np.bincount(index, values, (n + 1) * max_bins)
+                                total[low : low + n, side, c] += found[: n * max_bins].reshape(n, max_bins)
+                        low += n
+            met = np.flatnonzero(total.any(axis=(1, 2, 3)))
             columns = [pa.array([open_[i][c] for i in met], pa.int32()) for c in range(3)]
             held = pa.array([total[i].tobytes() for i in met], pa.binary())
             yield pa.RecordBatch.from_arrays([*columns, held], names=["forest", "k", "node", "sums"])
@@ -298,9 +312,10 @@ def grow(
                 tree = at[0] * width + at[1]
                 if tree not in columns:
                     columns[tree] = columns_of(seed, turn, tree, features, column_share)
-                sums = total.reshape(features, max_bins, 2) / unit
-                found = best_split(sums, columns[tree], penalty, least_weight, least_gain)
-                rows.append((*at, *found, *sums[0].sum(axis=0).tolist()))
+                sums = np.moveaxis(total.reshape(2, drawn_columns, max_bins), 0, 2) / unit
+                gain, j, b, gl, hl = best_split(sums, penalty, least_weight, least_gain)
+                j = int(columns[tree][j]) if j >= 0 else j
+                rows.append((*at, gain, j, b, gl, hl, *sums[0].sum(axis=0).tolist()))
             types = [pa.int32()] * 3 + [pa.float64(), pa.int64(), pa.int64()] + [pa.float64()] * 4
             arrays = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*node, "gain", "feature", "bin", "gl", "hl", "g", "h"])
@@ -344,7 +359,8 @@ def grow(
             def renew(batches: Iterator[pa.RecordBatch], older: list[list[Trees]] = older) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     margins = decode(batch, older)[5].reshape(batch.num_rows, -1)
-                    lists = pa.array(list(margins), pa.list_(pa.float64()))
+                    ends = np.arange(len(margins) + 1, dtype=np.int32) * margins.shape[1]
+                    lists = pa.ListArray.from_arrays(ends, margins.ravel())
                     yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists], names=batch.schema.names)
 
             state = written(state.mapInArrow(renew, state.schema))

@@ -125,3 +125,14 @@ def test_saved_model(spark, tmp_path):
     # Nothing to learn: every class has the same share.
     level = model.train(df.withColumn("features", F.array(F.lit(1.0))), params, validate=False)
     assert model.importances(level.model) == [0.0]
+
+
+def test_one_part_of_input_is_read_by_all_cores(spark, monkeypatch):
+    x, y, _ = made(200, 3, 7)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(len(x))], "i long, features array<double>, y int").coalesce(1)
+    alone, parts, real = boosting.grow(df, [0, 1, 2], 2, 2, column_share=0.5, key=["i"])[-1], [], boosting.written
+    monkeypatch.setattr(boosting, "_ROWS_A_TASK", 20, raising=False)
+    monkeypatch.setattr(boosting, "written", lambda d: parts.append(d.rdd.getNumPartitions()) or real(d))
+    shared = boosting.grow(df, [0, 1, 2], 2, 2, column_share=0.5, key=["i"])[-1]
+    assert parts == [1, spark.sparkContext.defaultParallelism]
+    assert all((s.value == t.value).all() and (s.gain == t.gain).all() for s, t in zip(alone.rounds, shared.rounds))
