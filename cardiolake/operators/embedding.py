@@ -18,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSION = 1024
 
+# Windows that an encoder gets and a worker holds results of at a time, however many a batch has.
+_AT_ONCE = 256
+
 # Module of a worker process that keeps loaded models.
 _LOADED = "cardiolake_loaded_models"
 
@@ -92,8 +95,9 @@ def embed(
 ) -> DataFrame:
     """Add ``embedding`` and ``is_mock`` to prepared windows, in Arrow batches.
 
-    Seeds come from the window key, so the result does not depend on process or partition. A window
-    that the encoder fails on fails the job; with ``isolate`` its batch is tried again row by row,
+    Seeds come from the window key, so the result does not depend on process or partition. The encoder gets
+    a few hundred windows at a time, so a worker's memory does not grow with its rows. A window
+    that the encoder fails on fails the job; with ``isolate`` those windows are tried again row by row,
     and the failing rows get a NULL embedding and the reason in ``error``.
     """
 
@@ -112,8 +116,10 @@ def embed(
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for prepared, seeds in batches:
-            found = [row for row, _ in tried(np.stack(prepared.to_numpy()), seeds.to_numpy())] if len(prepared) else []
-            yield pd.Series(found, dtype=object)
+            for at in range(0, max(len(prepared), 1), _AT_ONCE):
+                some, keys = prepared.to_numpy()[at : at + _AT_ONCE], seeds.to_numpy()[at : at + _AT_ONCE]
+                found = [row for row, _ in tried(np.stack(some), keys)] if len(some) else []
+                yield pd.Series(found, dtype=object)
 
     @F.pandas_udf("string")
     def reasons(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -117,3 +117,18 @@ def test_a_build_that_was_cut_off_is_repeated(spark, recordings, tmp_path):
     assert dataset.update_dataset(spark, recordings, records, path, PARAMS) == 2
     rows = dataset.read_updated(spark, records, path).select("record_id", "w").collect()
     assert len(rows) == len(set(rows)) > 0
+
+
+def test_an_encoder_never_gets_a_whole_batch(spark):
+    def few(prepared, seeds):
+        if len(prepared) > 256:
+            raise ArithmeticError(f"{len(prepared)} windows at once")
+        return embedding.statistical_encoder(prepared, seeds)
+
+    wave = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.sin(F.col("start_idx") + k).cast("float"))
+    ready = spark.range(0, 700, 1, 1).select(F.lit("a").alias("record_id"), F.col("id").alias("start_idx")).withColumn("prepared", wave)
+    at_once = embedding.embed(ready, few).collect()
+    parted = embedding.embed(ready.repartition(9), few, isolate=True).orderBy("start_idx").collect()
+    assert [r["start_idx"] for r in at_once] == list(range(700)) and not [r for r in parted if r["error"]]
+    assert np.allclose([r["embedding"] for r in at_once], [r["embedding"] for r in parted], atol=1e-6)
+    assert embedding.embed(ready.limit(0), few).collect() == []
