@@ -427,6 +427,14 @@ def prepared_windows(spark, folder):
     )
 
 
+def _files_a_trigger(spark: SparkSession, path: str, triggers: int = 10) -> int:
+    """Files that a stream takes at once: eight, or so many that ``triggers`` of them take all that lie there.
+
+    A trigger reads and writes the state of every partition, so their number must not grow with the files.
+    """
+    return max(8, -(-len(spark.read.parquet(path).inputFiles()) // triggers))
+
+
 def streamed_windows(spark, folder):
     """Windows of a stream of sample files, ten in turn and each with samples of the next: those of the batch plan."""
     path = _scratch(spark)
@@ -440,7 +448,7 @@ def streamed_windows(spark, folder):
         parted.where(F.col("turn") == k).drop("turn").write.mode("append").parquet(f"{path}/in")
     last.write.mode("append").parquet(f"{path}/in")
     parted.unpersist()
-    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", _files_a_trigger(spark, f"{path}/in")).parquet(f"{path}/in")
     found = stream_windows(stream, SHORT_WINDOWS, delay_seconds=7200)
     out = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     out.start(f"{path}/out").awaitTermination()

@@ -90,3 +90,11 @@ def test_stream_of_files_equals_the_batch(spark, series_of, tmp_path):
         assert (g["start_idx"], g["end_idx"], g["n_present"]) == (r["start_idx"], r["end_idx"], r["n_present"])
         assert g["values"] == pytest.approx(r["values"])
         assert g["sum_present"] == pytest.approx(r["sum_present"])
+
+
+@pytest.mark.parametrize("files,expected", [(5, 8), (123, 13)])
+def test_triggers_do_not_grow_with_the_files(spark, tmp_path, files, expected):
+    from cardiolake.plans.catalog import _files_a_trigger
+
+    spark.range(0, files, 1, files).write.parquet(str(tmp_path / "in"))
+    assert _files_a_trigger(spark, str(tmp_path / "in")) == expected
