@@ -153,9 +153,9 @@ def groups(
 
 # --- groups by similarity -------------------------------------------------------------------
 
-# 1,024 bits are cut into 32 prints; a pair at likeness 0.8 differs in 15 % of its bits,
-# so 280 of 1,024 is more than ten deviations above it and more than ten below chance (512).
-PLANES, PRINTS, APART = 16, 32, 280
+# 1,024 bits hold 36 prints of 28 bits, whatever the number of nodes; a pair at likeness 0.8 differs in
+# 15 % of its bits, so 280 of 1,024 is more than ten deviations above it and more than ten below chance (512).
+PLANES, PRINTS, WIDTH, APART = 16, 36, 28, 280
 _STEP = 0x9E3779B97F4A7C15
 # Members of a print's variant that may meet pair by pair; more of them are linked to the least one.
 _PAIRED = 8
@@ -193,20 +193,19 @@ def close_cells(near: DataFrame) -> DataFrame:
     """(cell, node): candidates among (node, bits), together where prints connect them.
 
     Each print emits its ball of radius 1, so two nodes meet where a print differs in at most two
-    bits. A print has eight bits more than the count of nodes needs (24 to 32), so chance meetings
-    stay rare. Where many meet, they are linked to the least of them: links grow with the members, and
+    bits: whether two do does not depend on how many others there are. By chance a key has less than one
+    member up to nine million nodes. Where many meet, they are linked to the least of them: links grow with the members, and
     none is left out. Where few meet that are not connected so, they are paired and told apart by
     all bits.
     """
-    width = min(32, max(24, near.count().bit_length() + 8))
     keys = []
     for i in range(PRINTS):
-        word, shift = divmod(i * width, BITS)
+        word, shift = divmod(i * WIDTH, BITS)
         value = F.shiftrightunsigned(F.col("bits")[word], shift)
-        if shift + width > BITS:
+        if shift + WIDTH > BITS:
             value = value.bitwiseOR(F.shiftleft(F.col("bits")[word + 1], BITS - shift))
-        value = value.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 40))
-        keys.append(_variants(value, ball(1, list(range(width)))))
+        value = value.bitwiseAND(F.lit((1 << WIDTH) - 1)).bitwiseOR(F.lit(i << 40))
+        keys.append(_variants(value, ball(1, list(range(WIDTH)))))
     keyed = near.select("node", F.explode(F.flatten(F.array(*keys))).alias("key"))
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
     met = written(keyed.join(lists, "key"), "alike-met")

@@ -259,3 +259,16 @@ def test_alike_of_odd_rows(odd):
     by = {r["doc_id"]: r["component_id"] for r in rows}
     assert len(rows) == 9 and by == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, None: None}
     assert simhash.alike(odd.limit(0)).collect() == []
+
+
+def test_close_cells_do_not_depend_on_the_number_of_nodes(spark, monkeypatch):
+    """Two nodes are together or not whatever number of others is reported beside them."""
+    flips = [0, 1, 24] + [29 * i + k for i in range(1, 32) for k in (0, 9, 20)]
+    words = [sum(1 << p % 64 for p in flips if p // 64 == w) for w in range(simhash.PLANES)]
+    far = [v - (1 << 64) if v >> 63 else v for v in words]
+    near = spark.createDataFrame([(1, [0] * 16), (2, far), (3, [0] * 15 + [3])], "node long, bits array<long>")
+    cells = lambda: sorted(r["node"] for r in simhash.close_cells(near).collect())
+    few = cells()
+    monkeypatch.setattr(type(near), "count", lambda self: 1 << 20)
+    assert cells() == few and {1, 3} <= set(few)
+    assert simhash.PRINTS * simhash.WIDTH <= simhash.PLANES * simhash.BITS
