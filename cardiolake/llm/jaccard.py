@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardiolake.llm.shared import components, dropped, new_path, written
+from cardiolake.llm.shared import components, dropped, merged, new_path, written
 
 # Sets of one scan hold about this many shingles; larger collections are cut into blocks of this size.
 _SCAN = 100_000
@@ -133,7 +133,7 @@ def promising(rows: DataFrame) -> DataFrame:
     met = F.min(F.least("d1", "other")).over(over) != F.max(F.greatest("d1", "other")).over(over)
     shared = sent.select("d1", met.alias("met")).filter("met").groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
     figures = rows.filter("need > 0").groupBy("d1").agg(F.min("need").alias("need"), F.max("sure").alias("sure"))
-    both = figures.join(shared, "d1", "left")
+    both = figures.join(merged(shared), "d1", "left")
     return both.filter(F.col("sure") + F.coalesce("shared", F.lit(0)) >= F.col("need")).select("d1")
 
 
@@ -143,7 +143,7 @@ def opened(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     found = written(heads(docs, id_col, text_col, words, percent), path=path)
     rows = written(found.select("id", "text1", "text2", "d1", "d2", "n"), "jaccard-rows")
     nodes = written(nodes_of(rows), "jaccard-nodes")
-    open_ = nodes.join(promising(found), "d1").select("node", "n", "text.text1", "text.text2")
+    open_ = nodes.join(merged(promising(found)), "d1").select("node", "n", "text.text1", "text.text2")
     open_ = written(open_, "jaccard-open")
     dropped(docs.sparkSession, path)
     return rows, nodes, open_
@@ -162,7 +162,7 @@ def texts_of(docs: DataFrame, chosen: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     texts = docs.select(F.xxhash64(text).alias("text1"), F.xxhash64(text, F.lit(1)).alias("text2"), text.alias("text"))
     # Chosen sets grow with the input, so they are never broadcast.
-    return texts.join(chosen.hint("merge"), ["text1", "text2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(merged(chosen), ["text1", "text2"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def postings(docs: DataFrame, chosen: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -183,15 +183,15 @@ def shared_postings(all_: DataFrame, sizes: DataFrame, percent: int) -> DataFram
     """(node, n, token, df) of the shingles held by several sets, of the sets whose shared ones may do."""
     path = new_path(all_.sparkSession, "jaccard-shared")
     held = all_.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    found = written(all_.join(held, "token").select("node", "token", "df"), path=path)
+    found = written(all_.join(merged(held), "token").select("node", "token", "df"), path=path)
     enough = (
         found.groupBy("node")
         .agg(F.count(F.lit(1)).alias("held"))
-        .join(sizes, "node")
+        .join(merged(sizes), "node")
         .filter(F.col("held") * 100 >= F.col("n") * percent)
         .select("node", "n", "held")
     )
-    sets = written(found.join(enough, "node"), "jaccard-sets")
+    sets = written(found.join(merged(enough), "node"), "jaccard-sets")
     dropped(all_.sparkSession, path)
     return sets
 
@@ -317,8 +317,8 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     by_class = members.groupBy("cell", "class").agg(F.ceil(F.sum("held") / _SCAN).cast("int").alias("count"))
     nearby = by_class.select("cell", (F.col("class") - 1).alias("class"), F.col("count").alias("above"))
     below = by_class.select("cell", (F.col("class") + 1).alias("class"), F.col("count").alias("under"))
-    counts = by_class.join(nearby, ["cell", "class"], "left").join(below, ["cell", "class"], "left").join(weights, "cell")
-    placed = members.join(counts, ["cell", "class"])
+    counts = by_class.join(merged(nearby), ["cell", "class"], "left").join(merged(below), ["cell", "class"], "left")
+    placed = members.join(merged(counts.join(merged(weights), "cell")), ["cell", "class"])
     own = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
     part = lambda c, x, d, y: F.struct(c.alias("c"), x.alias("x"), d.alias("d"), y.alias("y"))
     c, x, n = F.col("class"), F.col("x"), F.col("count")
@@ -372,7 +372,7 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) links among the sets of each cell: what similar pairs inside cells connect."""
     figures = sets.select("node", "n", "held").distinct()
     # Read several times: written, so that no plan holds the components of the cells more than once.
-    members = written(members.join(figures, "node"), "jaccard-cells")
+    members = written(members.join(merged(figures), "node"), "jaccard-cells")
     dealt = blocks(members, percent)
     spark = sets.sparkSession
     bundles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -409,7 +409,7 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(d1, d2, component_id) of every set, by the (node, root) rows of linked ones."""
     found = written(found, "jaccard-roots")
-    roots = nodes.select("d1", "d2", "node", "first_id").join(found, "node", "left")
+    roots = nodes.select("d1", "d2", "node", "first_id").join(merged(found), "node", "left")
     roots = roots.withColumn("root", F.coalesce("root", "node"))
     first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return roots.join(first, "root").select("d1", "d2", "component_id")

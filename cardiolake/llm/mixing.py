@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardiolake.llm.shared import WORD, written
+from cardiolake.llm.shared import WORD, merged, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CELLS = 4096
@@ -237,7 +237,8 @@ def mix(
     known = starts.drop("cell_size").join(
         plan.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))
     ).drop("own").withColumnsRenamed({"source": "s", "cell": "c"})
-    rows = sized.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
+    # Sizes are one row a document, small as a file and several times as large in memory.
+    rows = sized.join(merged(known), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
     within = Window.partitionBy("source", "cell").orderBy("order", "id", "digest")
     ahead = within.rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("cell_start") + F.coalesce(F.sum("size").over(ahead), F.lit(0).cast("long"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+# Rows up to which Spark may broadcast a table by its own estimate; above, tables are merged.
+_BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +48,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """``table`` for one side of a join that sorts and merges: neither side is broadcast.
+
+    Spark sizes a table by its compressed files and by the widths of its columns. It knows neither what
+    compression saves nor how long the arrays are that ``explode`` turns into rows, so a table of 8 MB
+    that explodes to 2 GB would be sent whole to the driver.
+    """
+    return table.hint("merge")
+
+
 def position(cuts: Sequence, value: Column) -> Column:
     """How many of the ascending ``cuts`` are at most ``value``, by binary search; 0 for NULL."""
     if not cuts:
@@ -79,14 +91,16 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
     Each round maps every node to the neighbour (or itself) that comes first in a new random order
     and replaces nodes by their images, so the edge list shrinks by a constant factor a round
-    whatever its shape. Work per round is two hash joins and two combinable aggregates; a node with
-    any number of links is reduced on the map side. Edges, labels and roots never leave the cluster.
+    whatever its shape. Work per round is two joins and two combinable aggregates; a node with
+    any number of links is reduced on the map side. Edges, labels and roots never leave the cluster,
+    but for maps of few nodes (by their count, not by Spark's estimate) that a join may broadcast.
     Links to itself or to NULL are ignored.
     """
     edges = written(edges.select("u", "v").filter("u <> v").distinct(), name)
     maps: list[DataFrame] = []
     turn = 0
     while not edges.isEmpty():
+        side = merged if 2 * edges.count() > _BROADCAST_ROWS else lambda table: table
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("node"))  # noqa: E731, B023
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = both.groupBy(F.col("u").alias("node")).agg(F.min(rank(F.col("v"))).alias("other"))
@@ -94,9 +108,9 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
             first.select("node", F.least(rank(F.col("node")), F.col("other"))["node"].alias("image")),
             f"{name}-map",
         )
-        maps.append(image)
-        left = image.select(F.col("node").alias("u"), F.col("image").alias("a"))
-        right = image.select(F.col("node").alias("v"), F.col("image").alias("b"))
+        maps.append(side(image))
+        left = side(image.select(F.col("node").alias("u"), F.col("image").alias("a")))
+        right = side(image.select(F.col("node").alias("v"), F.col("image").alias("b")))
         edges = written(
             edges.join(left, "u")
             .join(right, "v")

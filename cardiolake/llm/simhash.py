@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardiolake.llm import jaccard
-from cardiolake.llm.shared import components, written
+from cardiolake.llm.shared import components, merged, written
 
 BITS = 64
 _AT_ONCE = 1 << 14
@@ -208,18 +208,19 @@ def close_cells(near: DataFrame) -> DataFrame:
         keys.append(_variants(value, ball(1, list(range(WIDTH)))))
     keyed = near.select("node", F.explode(F.flatten(F.array(*keys))).alias("key"))
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
-    met = written(keyed.join(lists, "key"), "alike-met")
+    # A node has 1,044 keys, so neither they nor their lists are broadcast, whatever Spark takes them for.
+    met = written(keyed.join(merged(lists), "key"), "alike-met")
     many = met.filter(F.col("members") > _PAIRED).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     joined = written(components(many, "alike-many").withColumnRenamed("root", "part"), "alike-parts")
-    few = met.filter(F.col("members") <= _PAIRED).select("key", "node").join(joined, "node", "left")
+    few = met.filter(F.col("members") <= _PAIRED).select("key", "node").join(merged(joined), "node", "left")
     few = few.withColumn("part", F.coalesce("part", "node"))
     mixed = few.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    few = written(few.join(mixed, "key"), "alike-few")
+    few = written(few.join(merged(mixed), "key"), "alike-few")
     side = lambda c: few.select("key", F.col("node").alias(c), F.col("part").alias(f"part{c}"))
-    pairs = side("u").join(side("v"), "key").filter("partu < partv").select("u", "v").distinct()
+    pairs = side("u").join(merged(side("v")), "key").filter("partu < partv").select("u", "v").distinct()
     bits = lambda c: near.select(F.col("node").alias(c), F.col("bits").alias(f"bits{c}"))
     differ = sum(F.bit_count(F.col("bitsu")[i].bitwiseXOR(F.col("bitsv")[i])) for i in range(PLANES))
-    close = pairs.join(bits("u"), "u").join(bits("v"), "v").filter(differ <= APART).select("u", "v")
+    close = pairs.join(merged(bits("u")), "u").join(merged(bits("v")), "v").filter(differ <= APART).select("u", "v")
     within = joined.select(F.col("node").alias("u"), F.col("part").alias("v"))
     found = components(close.unionByName(within), "alike-cells")
     return found.select(jaccard.cell_of(0, "root"), "node")
@@ -244,7 +245,7 @@ def alike(
     prints = written(wide_prints(docs, open_.drop("n"), text_col, words), "alike-prints")
     postings = prints.select("node", F.explode("tokens").alias("token"))
     sets = jaccard.shared_postings(postings, open_.select("node", "n"), percent)
-    near = written(prints.select("node", "bits").join(sets.select("node").distinct(), "node"), "alike-near")
+    near = written(prints.select("node", "bits").join(merged(sets.select("node").distinct()), "node"), "alike-near")
     links = jaccard.cell_links(close_cells(near), sets, percent)
     label = jaccard.labelled(nodes, components(links, "alike-links"))
-    return rows.select("id", "d1", "d2").join(label, ["d1", "d2"]).select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "d1", "d2").join(merged(label), ["d1", "d2"]).select(F.col("id").alias(id_col), "component_id")

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from cardiolake.llm import simhash, syncmers
+from cardiolake.llm import jaccard, shared, simhash, syncmers
 from cardiolake.llm.shared import components, position
 from cardiolake.llm.queries import QUERIES
 
@@ -272,3 +272,47 @@ def test_close_cells_do_not_depend_on_the_number_of_nodes(spark, monkeypatch):
     monkeypatch.setattr(type(near), "count", lambda self: 1 << 20)
     assert cells() == few and {1, 3} <= set(few)
     assert simhash.PRINTS * simhash.WIDTH <= simhash.PLANES * simhash.BITS
+
+
+def plans_of_written(monkeypatch, *modules):
+    """{table: plan as first made}, filled in as the modules write their tables."""
+    plans, write = {}, shared.written
+
+    def written(df, name="table", path=None):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plans[name if path is None else path.rpartition("/")[2].rpartition("-")[0]] = plan
+        return write(df, name, path)
+
+    for module in modules:
+        monkeypatch.setattr(module, "written", written)
+    return plans
+
+
+def test_alike_broadcasts_no_table_that_spark_sizes_too_low(docs_of, monkeypatch):
+    plans = plans_of_written(monkeypatch, simhash, jaccard)
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    rows = [(2 * i + j, " ".join(w[: 60 - j])) for i, w in enumerate(words) for j in (0, 1)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs_of(rows)).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+    # Keys and shingles come of an explode, the others are one row a document or more.
+    for name in ("alike-met", "alike-few", "alike-near", "jaccard-open", "jaccard-shared", "jaccard-sets"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
+
+
+def test_components_merge_maps_of_many_nodes(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    table = spark.createDataFrame(edges, "u long, v long")
+
+    def grouped():
+        members = {}
+        for r in components(table).collect():
+            members.setdefault(r["root"], set()).add(r["node"])
+        return sorted(map(sorted, members.values()))
+
+    few = grouped()
+    monkeypatch.setattr(shared, "_BROADCAST_ROWS", 0)
+    plans = plans_of_written(monkeypatch, shared)
+    assert grouped() == few and len(few) > 20
+    assert plans["links"].count("SortMergeJoin") == 2 and "Broadcast" not in plans["links"]

@@ -143,3 +143,9 @@ def test_null_source_comes_last(docs_of):
     goal = {r["source"]: r["target"] for r in rows}
     expected = slow_targets({"z": 100, None: 100, "a": 100})
     assert goal == pytest.approx(expected)
+
+
+def test_sizes_are_not_broadcast(docs_of):
+    mixed = mixing.mix(docs_of([(i, "one two three", None, "s") for i in range(20)]))
+    assert "SortMergeJoin" in mixed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in mixed.collect()) == list(range(20))
